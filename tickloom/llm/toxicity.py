@@ -1,7 +1,7 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Texts are sets of words (64-bit hashes, so that no two words share a weight by chance of a small
-table). A logistic model is fitted on a bounded sample of labelled rows; its loss has a second term
+Texts are sets of words and of the beginnings of words, which catch inflected forms that no label
+has (64-bit hashes, so that no two features share a weight by chance of a small table). A logistic model is fitted on a bounded sample of labelled rows; its loss has a second term
 for pairs of labelled texts that differ only in an identity term: the squared change of the score.
 A pair comes from a text that names a group, with the term exchanged for another one and for none,
 and, as few texts name groups, from texts of both labels into which terms are put. Weights of
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
-from .textnum import U64, slices, words
+from .textnum import U64, hash_spans, mix64, slices, utf8, word_spans
 
 #: Words that name groups of people; any other list can be given.
 IDENTITY_TERMS = (
@@ -41,15 +41,29 @@ class ToxicityModel:
     fitted: bool = True
 
 
+#: Bytes of the beginnings of words that are features, besides the whole word.
+STEMS = (4, 5, 6)
+
+
+def _features(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Feature hashes of every word of a slice, one array for whole words and each length of stem, and each row's first index."""
+    raw, offsets = utf8(column)
+    starts, ends, first = word_spans(raw, offsets, alnum=True)
+    out = [hash_spans(raw, starts, ends)]
+    out += [mix64(hash_spans(raw, starts, np.minimum(ends, starts + k)) + U64(k)) for k in STEMS]
+    return out, first
+
+
 def _hashes(terms: Sequence[str]) -> np.ndarray:
-    return np.unique(words(pa.array([" ".join(terms)]), alnum=True)[0])
+    """Features of the terms, their stems included, so that those learn nothing about groups either."""
+    return np.unique(np.concatenate(_features(pa.array([" ".join(terms)]))[0]))
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in slices(batch.column(2)):
-            hashes, first = words(batch.column(2).slice(lo, hi - lo), alnum=True)
-            sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            kinds, first = _features(batch.column(2).slice(lo, hi - lo))
+            sets = [np.unique(np.concatenate([x[a:b] for x in kinds])) for a, b in zip(first[:-1], first[1:], strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, dtype=U64)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["id", "y", "words"])
@@ -61,7 +75,7 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_rows: int = 12_000,
+    max_rows: int = 8_000,
     identity_terms: Sequence[str] = IDENTITY_TERMS,
     counterfactual: float = 1.0,
     l1: float = 4e-5,
@@ -92,7 +106,10 @@ def train(
 def _fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, identity: np.ndarray, counterfactual: float, l1: float, rounds: int, min_rows: int) -> ToxicityModel:
     keys, col, seen = np.unique(flat, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(y)), sizes)
-    frequent = np.flatnonzero((seen >= min_rows) | np.isin(keys, identity))
+    share = y.mean()
+    lift = np.bincount(col, np.repeat(y, sizes), minlength=len(keys)) - seen * share
+    telling = np.abs(lift) > 3 * np.sqrt(seen * share * (1 - share))
+    frequent = np.flatnonzero((seen >= min_rows) & telling | np.isin(keys, identity))
     to = np.full(len(keys), -1)
     to[frequent] = np.arange(len(frequent))
     known = to[col] >= 0
@@ -139,17 +156,23 @@ def _fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, identity: np.ndarra
 
 
 def _score(model: ToxicityModel, threshold: float):
+    low = np.zeros(1 << 16, dtype=bool)  # most words are no key: their last bits say so
+    low[(model.keys & U64(0xFFFF)).astype(np.int64)] = True
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
-                hashes, first = words(batch.column(1).slice(lo, hi - lo), alnum=True)
                 z = np.full(hi - lo, model.bias)
-                if len(model.keys) and len(hashes):
-                    at = np.searchsorted(model.keys, hashes)
-                    at[at == len(model.keys)] = 0
-                    hit = np.flatnonzero(model.keys[at] == hashes)
-                    of = np.searchsorted(first, hit, side="right") - 1
-                    both = np.unique(of * len(model.keys) + at[hit])
+                if len(model.keys):
+                    kinds, first = _features(batch.column(1).slice(lo, hi - lo))
+                    both = []
+                    for hashes in kinds:
+                        maybe = np.flatnonzero(low[(hashes & U64(0xFFFF)).astype(np.int64)])
+                        at = np.searchsorted(model.keys, hashes[maybe])
+                        at[at == len(model.keys)] = 0
+                        same = model.keys[at] == hashes[maybe]
+                        both.append((np.searchsorted(first, maybe[same], side="right") - 1) * len(model.keys) + at[same])
+                    both = np.unique(np.concatenate(both))
                     z += np.bincount(both // len(model.keys), model.weights[both % len(model.keys)], minlength=hi - lo)
                 score = 1 / (1 + np.exp(-np.clip(z, -40, 40))) if model.fitted else np.zeros(hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
