@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, language, line_dedup, near_dup, pii, secrets, toxicity
+from . import chat, decontam, fingerprint, language, line_dedup, mixing, near_dup, pii, secrets, toxicity
 from .common import held_out
 
 
@@ -53,6 +53,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.predict(docs, language.train(docs))
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
