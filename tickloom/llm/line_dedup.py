@@ -6,9 +6,9 @@ first line (by document, then position) stays.
 
 Lines within the threshold share one of ``max_edits + 1`` segments of the shorter one, at a place
 that the lengths bound. Every line so goes into an index under its segments, and probes it with its
-own substrings at those places, for each length that its partner can have. A candidate pair must
-also agree in the parities of its characters' counts but for twice the threshold. What is left is
-verified on the lines themselves with a bit-parallel edit distance in a band along the diagonal.
+own substrings at those places, for each length that its partner can have. The counts of a candidate
+pair's characters must also agree but for two an edit; a signature has them modulo four. What is left is verified
+on the lines themselves with a bit-parallel edit distance in a band along the diagonal.
 
 Keys and lines are hashes; the text of a line travels only if the line is in a candidate pair.
 """
@@ -29,6 +29,8 @@ from .textnum import U64, mix64, slices
 #: Bits of the table that tells which lines are in a candidate pair: 1 MB, whatever the input.
 TABLE_BITS = 23
 SEEN = 1 << 18
+#: Counters in a signature, of two bits each; characters share them by their last five bits, so that a-z have their own.
+LANES = 32
 _BASE = 0x2545F4914F6CDD1D
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -62,46 +64,51 @@ class Lines:
         self.prefix = np.zeros(n + 1, dtype=U64)
         np.cumsum(codes * _powers(bits, _BASE)[:n], out=self.prefix[1:])
         self.id = mix64(self.hash(self.start, self.end) ^ self.length.astype(U64) * U64(0x9E3779B97F4A7C15))
-        flags = np.concatenate([np.left_shift(U64(1), codes & U64(15)), [U64(0)]])
-        self.parity = np.bitwise_xor.reduceat(flags, np.stack([self.start, self.end], axis=1).reshape(-1))[::2] if len(self.start) else np.zeros(0, dtype=U64)
+        self.signature = self._counts()
+
+    def _counts(self) -> np.ndarray:
+        """Signature of each line: its characters' counts modulo four, low bits in the low half."""
+        if not len(self.start):
+            return np.zeros(0, dtype=U64)
+        line = np.repeat(np.arange(len(self.start)), self.length)
+        at = np.arange(len(line)) + np.repeat(self.start - np.concatenate([[0], np.cumsum(self.length)[:-1]]), self.length)
+        counts = np.bincount(line * LANES + (self.points[at] & (LANES - 1)), minlength=len(self.start) * LANES).reshape(-1, LANES)
+        low, high = (((counts >> bit & 1).astype(U64) << np.arange(LANES, dtype=U64)).sum(axis=1, dtype=U64) for bit in (0, 1))
+        return low | high << U64(LANES)
 
     def hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return (self.prefix[hi] - self.prefix[lo]) * self.inverse[lo]
 
     def pick(self, rows: np.ndarray) -> None:
-        for name in ("start", "end", "doc", "position", "length", "id", "parity"):
+        for name in ("start", "end", "doc", "position", "length", "id", "signature"):
             setattr(self, name, getattr(self, name)[rows])
 
     def text(self, k: int) -> str:
         return self.points[self.start[k] : self.end[k]].tobytes().decode("utf-32-le", "surrogatepass")
 
-    def _key(self, lo: np.ndarray, size: np.ndarray, length: np.ndarray, segment: int, rows: np.ndarray) -> np.ndarray:
-        key = mix64(self.hash(lo, lo + size) ^ mix64(length.astype(U64) * U64(64) + U64(segment)))
-        return key & U64(0xFFFFFFFFFFFF0000) | self.parity[rows]
+    def _key(self, lo: np.ndarray, size: np.ndarray, length: np.ndarray, segment: int) -> np.ndarray:
+        return mix64(self.hash(lo, lo + size) ^ mix64(length.astype(U64) * U64(64) + U64(segment)))
 
-    def segments(self, max_edits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Index rows: key with the parities in its last 16 bits, and line."""
-        every = np.arange(len(self.id))
+    def segments(self, max_edits: int) -> np.ndarray:
+        """Index keys, a row for each line."""
         keys = []
         for i in range(max_edits + 1):
             at, size = segment(self.length, max_edits, i)
-            keys.append(self._key(self.start + at, size, self.length, i, every))
-        return np.concatenate(keys), np.tile(self.id, max_edits + 1)
+            keys.append(self._key(self.start + at, size, self.length, i))
+        return np.stack(keys, axis=1)
 
     def probes(self, max_edits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Probe rows: of substrings that can be a segment of a line as long or shorter."""
-        keys, ids = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=U64)]
+        """Probe keys, of substrings that can be a segment of a line as long or shorter: a row for each line, and which of them there are."""
+        keys, there = [], []
         for gap in range(max_edits + 1):
-            rows = np.flatnonzero(self.length - gap >= least)
-            length = self.length[rows] - gap
+            length = np.maximum(self.length - gap, least)
             for i in range(max_edits + 1):
                 at, size = segment(length, max_edits, i)
                 for shift in range(max(-i, gap - (max_edits - i)), min(i, gap + max_edits - i) + 1):
-                    ok = (at + shift >= 0) & (at + shift + size <= self.length[rows])
-                    sub = rows[ok]
-                    keys.append(self._key(self.start[sub] + at[ok] + shift, size[ok], length[ok], i, sub))
-                    ids.append(self.id[sub])
-        return np.concatenate(keys), np.concatenate(ids)
+                    ok = (self.length - gap >= least) & (at + shift >= 0) & (at + shift + size <= self.length)
+                    keys.append(self._key(self.start + np.where(ok, at + shift, 0), np.where(ok, size, 0), length, i))
+                    there.append(ok)
+        return np.stack(keys, axis=1), np.stack(there, axis=1)
 
 
 def segment(length: np.ndarray, max_edits: int, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,34 +129,35 @@ def _walk(least: int, emit: Callable[[Lines, pa.Array], pa.RecordBatch | None]):
     return run
 
 
-def _emit_keys(max_edits: int, least: int, probe: bool):
+def _lists(values: np.ndarray, there: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[there].view(np.int64)))
+
+
+def _emit_lines(max_edits: int, least: int):
+    """Every line's place; for the first of equal lines that a task meets, its keys too."""
+
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # lines that this task has sent; forgotten when it grows, which only repeats rows
+        seen: set[int] = set()  # forgotten when it grows, which only repeats keys
 
-        def emit(lines: Lines, _: pa.Array) -> pa.RecordBatch | None:
-            ids, first = np.unique(lines.id, return_index=True)
-            new = np.array([x not in seen for x in ids.tolist()], dtype=bool)
+        def emit(lines: Lines, ids: pa.Array) -> pa.RecordBatch:
+            distinct, first = np.unique(lines.id, return_index=True)
+            fresh_ = np.array([x not in seen for x in distinct.tolist()], dtype=bool)
             if len(seen) > SEEN:
                 seen.clear()
-            seen.update(ids[new].tolist())
-            if not new.any():
-                return None
-            lines.pick(np.sort(first[new]))
-            keys, of = lines.probes(max_edits, least) if probe else lines.segments(max_edits)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(of.view(np.int64))], names=["key", "line"])
+            seen.update(distinct[fresh_].tolist())
+            new = np.zeros((len(lines.id), 1), dtype=bool)
+            new[first[fresh_]] = True
+            index = lines.segments(max_edits)
+            probe, there = lines.probes(max_edits, least)
+            columns = [ids.take(pa.array(lines.doc)), pa.array(lines.position.astype(np.int32)), pa.array(lines.id.view(np.int64)), pa.array(lines.signature.view(np.int64)), _lists(index, np.repeat(new, index.shape[1], axis=1)), _lists(probe, there & new)]
+            return pa.RecordBatch.from_arrays(columns, names=["doc", "position", "line", "signature", "segments", "probes"])
 
         yield from _walk(least, emit)(batches)
 
     return start
 
 
-def _emit_places(least: int):
-    def emit(lines: Lines, ids: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(lines.doc)), pa.array(lines.position.astype(np.int32)), pa.array(lines.id.view(np.int64))], names=["doc", "position", "line"])
-
-    return _walk(least, emit)
-
-
 def _emit_texts(least: int, words: np.ndarray):
     table = np.zeros(1 << (TABLE_BITS - 6), dtype=U64)
     table[words[:, 0].astype(np.int64)] = words[:, 1]
@@ -232,16 +240,22 @@ def _verify(max_edits: int):
     return run
 
 
-def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2, least: int = 20) -> DataFrame:
-    """Pairs ``a, b`` of different lines (as hashes) at most ``max_edits`` apart, of lines of ``least`` code points or more."""
+def read_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Documents as ``id, text``, and their lines with places, signatures and keys."""
     if least <= max_edits:
         raise ValueError("lines must be longer than the threshold")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    index, probe = (base.mapInArrow(_emit_keys(max_edits, least, p), "key long, line long").select(F.col("key").alias(f"key_{c}"), F.col("line").alias(c)) for p, c in ((False, "a"), (True, "b")))
-    # the join is on an expression, so that only the two numbers are shuffled
-    same = F.shiftrightunsigned("key_a", 16) == F.shiftrightunsigned("key_b", 16)
-    near = F.bit_count(F.col("key_a").bitwiseXOR(F.col("key_b")).bitwiseAND(65535)) <= 2 * max_edits
-    pairs = index.hint("merge").join(probe, same & (F.col("a") != F.col("b")) & near)
+    return base, stash(base.mapInArrow(_emit_lines(max_edits, least), "doc long, position int, line long, signature long, segments array<long>, probes array<long>"), "lines")
+
+
+def line_links(base: DataFrame, lines: DataFrame, max_edits: int, least: int) -> DataFrame:
+    """Pairs ``a, b`` of different lines (as hashes) at most ``max_edits`` apart."""
+    index, probe = (lines.select(F.explode(keys).alias("key"), F.col("signature").alias(f"signature_{c}"), F.col("line").alias(c)) for keys, c in (("segments", "a"), ("probes", "b")))
+    differ = F.col("signature_a").bitwiseXOR(F.col("signature_b"))
+    low, high = differ.bitwiseAND((1 << LANES) - 1), F.shiftrightunsigned(differ, LANES)
+    # counts differ by one modulo four where low bits differ, by two where only high ones do
+    near = F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low))) <= 2 * max_edits
+    pairs = index.hint("merge").join(probe, "key").where((F.col("a") != F.col("b")) & near)
     pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     lines = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
     slot = F.shiftrightunsigned("line", 64 - TABLE_BITS)
@@ -262,10 +276,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row without id keeps its text. Rows that share an id count as one document: a line that
     goes goes from each. Added columns get leading underscores where their names are taken.
     """
-    links = line_links(docs, id_col, text_col, max_edits, least)
-    found = components(links)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    places = stash(base.mapInArrow(_emit_places(least), "doc long, position int, line long"), "places")
+    base, lines = read_lines(docs, id_col, text_col, max_edits, least)
+    found = components(line_links(base, lines, max_edits, least))
+    places = lines.select("doc", "position", "line")
     same = places.groupBy("line").agg(F.min(F.struct("doc", "position")).alias("first"), F.count("*").alias("n"))
     same = same.join(found, F.col("line") == F.col("node"), "left").select("line", F.coalesce("root", "line").alias("root"), "first", "n")
     group = same.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).where("total > 1")
