@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 BUCKETS = 1024
 
 
-def with_rank(df: DataFrame, number: Column, ties: Sequence[str], out: str = "rank", groups: Sequence[str] = (), total: str | None = None) -> DataFrame:
-    """Adds ``out``, the row's place from 1 by ``number`` (a hash below 2**32) and ``ties``, within ``groups``; and the group's size.
+def with_rank(df: DataFrame, number: Column, ties: Sequence[str], out: str = "rank", groups: Sequence[str] = (), total: str | None = None, upper: float = float(1 << 32)) -> DataFrame:
+    """Adds ``out``, the row's place from 1 by ``number`` (from 0 up to ``upper``) and ``ties``, within ``groups``; and the group's size.
 
     Rows are numbered within ranges of the hash, which are as many tasks; the ranges' counts, at
     most ``BUCKETS`` a group, give each range its start.
     """
-    d = df.withColumn("n_", number).withColumn("b_", F.floor(F.col("n_") * BUCKETS / F.lit(float(1 << 32))).cast("int"))
+    d = df.withColumn("number_", number).withColumn("b_", F.floor(F.col("number_") * BUCKETS / F.lit(upper)).cast("int"))
     sizes = d.groupBy(*groups, "b_").agg(F.count("*").alias("c_"))
     w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     ahead = F.coalesce(F.sum("c_").over(w.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -24,8 +24,14 @@ def with_rank(df: DataFrame, number: Column, ties: Sequence[str], out: str = "ra
     same = F.col("b_") == F.col("bb_")
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"{g}_g_"))
-    inside = F.row_number().over(Window.partitionBy(*groups, "b_").orderBy("n_", *ties))
-    d = d.withColumn("r_", inside).join(sizes, same).withColumn(out, (F.col("r_") + F.col("ahead_")).cast("long"))
+    inside = F.row_number().over(Window.partitionBy(*groups, "b_").orderBy("number_", *ties))
+    d = d.withColumn("place_", inside).join(sizes, same).withColumn(out, (F.col("place_") + F.col("ahead_")).cast("long"))
     if total:
         d = d.withColumn(total, F.col("total_"))
-    return d.drop("n_", "b_", "r_", "bb_", "ahead_", "total_", *(f"{g}_g_" for g in groups))
+    return d.drop("number_", "b_", "place_", "bb_", "ahead_", "total_", *(f"{g}_g_" for g in groups))
+
+
+def with_order(df: DataFrame, key: str, out: str = "rank", groups: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """``with_rank`` by an integer column that is not negative; its greatest value is looked up first."""
+    top = df.agg(F.max(key)).first()[0]
+    return with_rank(df, F.col(key), [key], out, groups, total, float((top or 0) + 1))
