@@ -177,7 +177,7 @@ def near_duplicates(
     close = star.where(den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n")).select("a", "b")
 
     named = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
-    texts = base.join(named, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = base.hint("merge").join(named, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = stash(texts, "texts")
     left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     pairs = close.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
