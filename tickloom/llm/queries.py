@@ -84,4 +84,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TEMPLATE = chat.ChatTemplate()
+
+
+def _chat_sql() -> str:
+    """Op 4 from the turns themselves: what is read back must be what went in."""
+    escaped = lambda c: f"(length({c}) + " + " + ".join(f"length({c}) - length(replace({c}, '{x}', ''))" for x in ("\\", *_TEMPLATE.heads)) + ")"
+    marks = " ".join(f"WHEN role = '{r}' THEN {len(b) + len(a)}" for r, (b, a) in _TEMPLATE.markers.items())
+    other = f"{sum(len(m) for m in _TEMPLATE.other)} + {escaped('role')}"
+    loss = "FILTER (role IN (" + ", ".join(f"'{r}'" for r in _TEMPLATE.loss) + "))"
+    return f"""WITH probe AS (SELECT '</s>[INST] ok [/INST]' AS x), t AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', x FROM probe UNION ALL SELECT -1, 1, 'assistant', x FROM probe),
+g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said, coalesce(string_agg(text, '' ORDER BY turn, role, text) {loss}, '') AS learned,
+  sum({escaped('text')} + CASE {marks} ELSE {other} END)::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM g"""
+
+
+#: Op 5 by comparing all sets that share a shingle.
+_NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": _chat_sql(),
+    "op5_minhash_near_dedup": _NEAR_SQL,
+}
