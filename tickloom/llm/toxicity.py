@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, stash
 from .textnum import U64, hash_spans, mix64, slices, utf8, word_spans
 
 #: Words that name groups of people; any other list can be given.
@@ -92,28 +92,40 @@ def train(
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # bounded, so it can be broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(_word_sets, "id long, y int, words array<long>")
-    table = rows.toArrow().sort_by([("id", "ascending")])
-    y = table.column("y").to_numpy().astype(np.float64)
-    if len(y) == 0 or y.min() == y.max():
+    rows = stash(rows, "words")
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
+    if not 0 < size["pos"] < size["n"]:
         return ToxicityModel(np.zeros(0, dtype=U64), np.zeros(0), 0.0, False)
+    # features are screened where they are; the driver gets only those that tell
+    share = size["pos"] / size["n"]
+    seen = rows.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).where(F.col("n") >= min_rows)
+    telling = seen.where(F.abs(F.col("pos") - F.col("n") * share) > 3 * F.sqrt(F.col("n") * share * (1 - share))).select("w").toArrow()
+    identity = _hashes(identity_terms)
+    keys = np.union1d(telling.column("w").to_numpy().view(U64), identity)
+    table = rows.mapInArrow(_only(keys), rows.schema).toArrow().sort_by([("id", "ascending")])
+    y = table.column("y").to_numpy().astype(np.float64)
     lists = table.column("words").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
     sizes = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy().view(U64)
-    return _fit(flat, sizes, y, _hashes(identity_terms), counterfactual, l1, rounds, min_rows)
+    return _fit(flat, sizes, y, identity, counterfactual, l1, rounds)
+
+
+def _only(keys: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
+            known = np.isin(flat, keys)
+            ends = np.concatenate([[0], np.cumsum(known)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[known].view(np.int64)))], names=["id", "y", "words"])
+
+    return run
 
 
-def _fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, identity: np.ndarray, counterfactual: float, l1: float, rounds: int, min_rows: int) -> ToxicityModel:
-    keys, col, seen = np.unique(flat, return_inverse=True, return_counts=True)
+def _fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, identity: np.ndarray, counterfactual: float, l1: float, rounds: int) -> ToxicityModel:
+    keys, col = np.unique(flat, return_inverse=True)
     row = np.repeat(np.arange(len(y)), sizes)
-    share = y.mean()
-    lift = np.bincount(col, np.repeat(y, sizes), minlength=len(keys)) - seen * share
-    telling = np.abs(lift) > 3 * np.sqrt(seen * share * (1 - share))
-    frequent = np.flatnonzero((seen >= min_rows) & telling | np.isin(keys, identity))
-    to = np.full(len(keys), -1)
-    to[frequent] = np.arange(len(frequent))
-    known = to[col] >= 0
-    row, col, keys = row[known], to[col[known]], keys[frequent]
     absent = np.setdiff1d(identity, keys)
     keys = np.concatenate([keys, absent])
     named = np.flatnonzero(np.isin(keys, identity))
