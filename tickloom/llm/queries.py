@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "version")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
