@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from .common import fresh, stash
 
 
+#: Sources up to which their table (about 60 bytes a source) is broadcast.
+MAX_BROADCAST = 50_000
+
+
 @dataclass(frozen=True)
 class SourcePlan:
     """One source's tokens, weight, budget in tokens and documents."""
@@ -115,6 +119,8 @@ def schedule(
     spark = docs.sparkSession
     fields = "source string, total long, quota double, share double, buckets int, epochs int"
     table = spark.createDataFrame([(p.source, p.tokens, float(p.budget), p.weight * block_tokens, max(1, min(-(-p.docs // 512), math.isqrt(p.docs) * 8)), max(1, math.ceil(p.budget / p.tokens - 1e-9)) if p.tokens else 1) for p in plans], fields)
+    # a row a source: broadcast up to a bound, so that a hot source is not one task; beyond it AQE splits it
+    table = F.broadcast(table) if len(plans) <= MAX_BROADCAST else table.hint("merge")
     taken = rows.join(table, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     taken = taken.withColumn("h", _hash(seed, F.col("epoch"), F.col("doc_id"))).withColumn("bucket", F.floor(F.shiftrightunsigned("h", 32) / F.lit(float(1 << 32)) * F.col("buckets")).cast("int"))
     sums = taken.groupBy("source", "epoch", "bucket").agg(F.sum("tokens").alias("n"))
