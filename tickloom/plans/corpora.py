@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tickloom.functions import codec
@@ -17,6 +14,7 @@ from tickloom.operators import generate as G
 from tickloom.operators import mixer as M
 from tickloom.operators import tokens as X
 from tickloom.sources import readers, sinks
+from tickloom.sources.sinks import scratch
 
 from . import market
 from . import sql as Q
@@ -25,12 +23,6 @@ from .registry import register, table
 from .samples import SAMPLES, samples
 
 
-def scratch(spark) -> str:
-    """A new folder for what a query writes and reads again: in spark.checkpoint.dir where it is set."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='tickloom-')}/{uuid.uuid4().hex}"
-
-
 def docs(spark, d):
     return table(spark, d, "documents")
 

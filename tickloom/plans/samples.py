@@ -12,6 +12,7 @@ from tickloom.operators import series as S
 from tickloom.operators import simulate as T
 from tickloom.operators import stats as A
 from tickloom.operators import validate as V
+from tickloom.sources.sinks import materialised
 
 from . import sql as Q
 from .market import TEXTS, candles, charts, ranged
@@ -253,7 +254,7 @@ def long_slices(spark, d):
 
 def corpus(spark, d):
     """Sliced charts, both trends, all samples: rows of the corpus schema."""
-    s = long_slices(spark, d)
+    s = materialised(long_slices(spark, d))
     k = s.select("symbol", "start_idx", F.posexplode("candles").alias("i", "x")).select("symbol", "start_idx", "i", "x.*")
     texts = s.select("symbol", "start_idx", codec.chart_text(F.col("candles")).alias("text"))
     both = R.samples(D.events(k, "BULL"), k, texts).unionByName(R.samples(D.events(k, "BEAR"), k, texts))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.corpus import compaction_parts
@@ -10,6 +13,19 @@ from tickloom.operators.corpus import compaction_parts
 CORPUS = "text string, source string, token_length long, meta string"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset (as in tests), a temporary one."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base or tempfile.mkdtemp(prefix='tickloom-')}/{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back, for plans that use it in many places."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def to_corpus(df: DataFrame) -> DataFrame:
     """``df`` in the corpus schema; missing columns get empty values."""
     empty = {"text": F.lit(""), "source": F.lit(""), "token_length": F.lit(0), "meta": F.lit("{}")}
