@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.hashing import pick
@@ -114,3 +114,16 @@ def step_budget(tokens: Column, block: int, batch: int, warmup_share: float = 0.
     """Steps that so many tokens give, and how many of them warm up."""
     steps = F.floor(tokens / (block * batch))
     return steps, F.floor(steps * warmup_share)
+
+
+def nucleus(logits: DataFrame, group: str, token: str, logit: str, top_k: int = 50, top_p: float = 0.9, temperature: float = 1.0) -> DataFrame:
+    """``group, token, p``: the chances left of each group's tokens after cutting to the ``top_k`` greatest and, of those, to the
+    fewest that hold ``top_p``; made to sum to 1. A group is one step's vocabulary. Ties go to the smaller token."""
+    w = Window.partitionBy(group).orderBy(F.desc(logit), token)
+    d = logits.withColumn("r_", F.row_number().over(w)).where(F.col("r_") <= top_k)
+    whole = Window.partitionBy(group)
+    e = F.exp((F.col(logit) - F.max(logit).over(whole)) / temperature)
+    d = d.withColumn("e_", e).withColumn("p_", F.col("e_") / F.sum("e_").over(whole))
+    before = F.coalesce(F.sum("p_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    d = d.withColumn("b_", before).where(F.col("b_") < top_p)
+    return d.select(group, token, (F.col("p_") / F.sum("p_").over(whole)).alias("p"))

@@ -126,3 +126,12 @@ def slices(charts: DataFrame, length: int = 20, count: int = 4, seed: int | str
     lo = F.when(F.col("n") < length, 0).otherwise(pick(seed, "symbol", "source_idx", "k") % (F.col("n") - length + 1)).cast("int")
     s = s.withColumn("lo", lo).withColumn("hi", F.least(F.col("lo") + length, F.col("n")))
     return s.select("symbol", (F.col("source_idx") * 10 + F.col("k")).alias("start_idx"), "source_idx", "lo", "hi", F.slice("candles", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("candles"))
+
+
+def without_overlaps(spans: DataFrame, keys: tuple[str, ...], order: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Spans ``[lo, hi)`` of each group that overlap no span kept before them, in order: a fold over a group's few spans."""
+    g = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi")))).alias("all"))
+    kind = dict(g.dtypes)["all"]
+    clear = lambda kept, x: ~F.exists(kept, lambda k: (k["lo"] < x["hi"]) & (x["lo"] < k["hi"]))
+    kept = F.aggregate("all", F.array().cast(kind), lambda acc, x: F.when(clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return g.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.o").alias(order), F.col("k.lo").alias(lo), F.col("k.hi").alias(hi))

@@ -466,6 +466,39 @@ def _(spark, d):
     return items.select("symbol", "start_idx", "note", "positive", "template_mode", "n_events", F.size("negatives").alias("n_negatives"))
 
 
+_LOGIT = "((doc_id * 7919) % 101)::DOUBLE / 20"
+
+
+@register(
+    "o11_nucleus",
+    f"""WITH l AS (SELECT source, doc_id, {_LOGIT} AS logit FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY logit DESC, doc_id) AS r FROM l),
+    e AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY source)) / 0.8::DOUBLE) AS e FROM r WHERE r <= 20), p AS (SELECT *, e / sum(e) OVER (PARTITION BY source) AS p FROM e),
+    b AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY source ORDER BY logit DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p)
+    SELECT source, doc_id, round(p / sum(p) OVER (PARTITION BY source), 6) AS p FROM b WHERE b < 0.7::DOUBLE""",
+)
+def _(spark, d):
+    logits = docs(spark, d).select("source", "doc_id", ((F.col("doc_id") * 7919 % 101) / F.lit(20.0)).alias("logit"))
+    return E.nucleus(logits, "source", "doc_id", "logit", 20, 0.7, 0.8)
+
+
+@register("k7_saved_state", "SELECT count(*)::BIGINT AS done, sum(n_chars)::BIGINT AS tokens FROM documents")
+def _(spark, d):
+    path = f"{scratch(spark)}/state.json"
+    total = docs(spark, d).agg(F.count("*").alias("done"), F.sum("n_chars").alias("tokens")).first()
+    sinks.save_state(spark, path, {"done": 0, "tokens": 0})
+    sinks.save_state(spark, path, total.asDict())
+    state = sinks.load_state(spark, path)
+    return spark.createDataFrame([(state["done"], state["tokens"])], "done long, tokens long")
+
+
+@register("k8_cached_table", "SELECT doc_id, n_chars FROM documents WHERE n_chars > 100")
+def _(spark, d):
+    path = scratch(spark)
+    build = lambda: docs(spark, d).select("doc_id", "n_chars").where("n_chars > 100")
+    sinks.cached(spark, path, build)
+    return sinks.cached(spark, path, lambda: build().limit(0))  # it is there, so this is not built
+
+
 # tokens
 
 

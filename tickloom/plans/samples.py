@@ -247,6 +247,19 @@ def _(spark, d):
     return long_slices(spark, d).select("symbol", "start_idx", "lo", "hi", F.array_join(F.transform("candles", lambda c: c["c"].cast("string")), " ").alias("closes"))
 
 
+@register(
+    "j8_disjoint_slices",
+    Q.query(
+        f"""{SLICES}, keep(symbol, start_idx, k, kept) AS (SELECT symbol, start_idx, 0, [lo] FROM sl WHERE k = 0 UNION ALL SELECT s.symbol, s.start_idx, s.k, CASE WHEN len(list_filter(kept, lambda x: x < s.lo + 20 AND s.lo < x + 20)) = 0 THEN list_append(kept, s.lo) ELSE kept END
+        FROM keep p JOIN sl s ON s.symbol = p.symbol AND s.start_idx = p.start_idx AND s.k = p.k + 1)""",
+        "SELECT symbol, start_idx AS source_idx, unnest(kept)::BIGINT AS lo FROM keep WHERE k = 3",
+    ),
+)
+def _(spark, d):
+    s = long_slices(spark, d).withColumn("k", F.col("start_idx") % 10)
+    return R.without_overlaps(s, ("symbol", "source_idx"), "k").select("symbol", "source_idx", "lo")
+
+
 def long_slices(spark, d):
     texts = S.chart_dataset(ranged(spark, d, 100), 100, 10, 100, Q.SCALE)
     return R.slices(texts.select("symbol", "start_idx", codec.parse_candles(F.col("text")).alias("candles")))

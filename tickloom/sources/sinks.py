@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +61,38 @@ def stats_json(df: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, order: str, n: int = 3, text: str = "text") -> DataFrame:
     return df.orderBy(order).limit(n).withColumn(text, F.substring(text, 1, 200))
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def save_state(spark: SparkSession, path: str, state: dict) -> None:
+    """Writes a small JSON state so that a reader sees the old one or the new one: a file beside it is renamed over it."""
+    target, fs = _path(spark, path)
+    new, _ = _path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
+    out.close()
+    if not fs.rename(new, target):  # some stores do not rename over a file
+        fs.delete(target, False)
+        if not fs.rename(new, target):
+            raise OSError(f"cannot replace {path}")
+
+
+def load_state(spark: SparkSession, path: str) -> dict | None:
+    target, fs = _path(spark, path)
+    if not fs.exists(target):
+        return None
+    return json.loads("".join(r["value"] for r in spark.read.text(path).collect()))  # one small file
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], previous: str | None = None) -> DataFrame:
+    """The table at ``path``, built if it is not there whole; ``previous`` is then deleted."""
+    done, fs = _path(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        build().write.mode("overwrite").parquet(path)
+        if previous is not None:
+            fs.delete(_path(spark, previous)[0], True)
+    return spark.read.parquet(path)
