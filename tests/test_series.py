@@ -174,3 +174,15 @@ def test_first_fields(spark):
     t = F.col("t")
     r = df.select(E.with_first_field(t, "T", F.lit("BEAR")).alias("a"), E.with_first_field(t, "ZZ", F.lit("1")).alias("b"), E.first_field(t, "C").alias("c")).first()
     assert tuple(r) == ("E1_T=BEAR E1_C=4 E2_T=BEAR", None, "4")
+
+
+@pytest.mark.parametrize("rows", [1, 7, 100])
+def test_trailing_extremes(spark, rows):
+    rng = random.Random(rows)
+    values = [rng.randrange(1000) for _ in range(450)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "symbol string, idx long, v int")
+    df = S.with_trailing(df, F.col("v"), "hi", rows)
+    got = {r["idx"]: (r["hi"], r["lo"]) for r in S.with_trailing(df, F.col("v"), "lo", rows, greatest=False).collect()}
+    for i in range(len(values)):
+        part = values[max(0, i - rows + 1) : i + 1]
+        assert got[i] == (max(part), min(part))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.codec import chart_text, to_bin, true_range
+from tickloom.functions.ranking import with_order
 
 PRICES = ("open", "high", "low", "close")
 #: Scale factors by symbol and timeframe are a table that callers join; this is the default.
@@ -31,9 +32,19 @@ def bars_from_events(events: DataFrame, per_bar: int = 3) -> DataFrame:
     return bars.where(F.col("n") == per_bar).select("symbol", "idx", *((F.col(x[0]) / 100.0).alias(x) for x in PRICES))
 
 
+def _with_previous(df: DataFrame, value: str, out: str, key: str, order: str, size: int) -> DataFrame:
+    """Adds the value of the row before. Rows meet within blocks of ``size``; a block's first row gets the last of the block before by a join on blocks."""
+    w = Window.partitionBy(key, "block_").orderBy(order)
+    d = df.withColumn("block_", F.floor(F.col(order) / size)).withColumn("within_", F.lag(value).over(w))
+    first = F.col(order) == F.min(order).over(Window.partitionBy(key, "block_"))
+    ends = d.groupBy(F.col(key).alias("key_"), (F.col("block_") + 1).alias("next_")).agg(F.max_by(value, order).alias("end_"))
+    d = d.withColumn("first_", first).join(ends, (F.col(key) == F.col("key_")) & (F.col("block_") == F.col("next_")), "left")
+    return d.withColumn(out, F.when(F.col("first_"), F.col("end_")).otherwise(F.col("within_"))).drop("block_", "within_", "first_", "key_", "next_", "end_")
+
+
 def with_true_range(bars: DataFrame) -> DataFrame:
-    last = F.lag("close").over(Window.partitionBy("symbol").orderBy("idx"))
-    return bars.withColumn("tr", true_range(F.col("high"), F.col("low"), last))
+    d = _with_previous(bars, "close", "last_", "symbol", "idx", EWM_BLOCK)
+    return d.withColumn("tr", true_range(F.col("high"), F.col("low"), F.col("last_"))).drop("last_")
 
 
 def with_ewm(df: DataFrame, value: str, out: str, period: int, key: str = "symbol", order: str = "idx") -> DataFrame:
@@ -50,9 +61,9 @@ def with_ewm(df: DataFrame, value: str, out: str, period: int, key: str = "symbo
     keep = 1.0 - alpha
     size = min(EWM_BLOCK, max(1, int(250 / -math.log10(keep))))  # powers stay within a double
     block, at = F.floor(F.col(order) / size), F.col(order) % size
+    df = _with_previous(df, value, "before_", key, order, size)
     inside = Window.partitionBy(key, "block_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    first = F.lag(value).over(Window.partitionBy(key).orderBy(order)).isNull()
-    weight = F.when(first, 1.0).otherwise(alpha)
+    weight = F.when(F.col("before_").isNull(), 1.0).otherwise(alpha)
     term = F.col(value) * weight * F.pow(F.lit(keep), -at.cast("double"))
     df = df.withColumn("block_", block).withColumn("at_", at).withColumn("term_", term)
     df = df.withColumn("local_", F.sum("term_").over(inside) * F.pow(F.lit(keep), F.col("at_").cast("double")))
@@ -66,7 +77,7 @@ def with_ewm(df: DataFrame, value: str, out: str, period: int, key: str = "symbo
     ends = ends.select(F.col(key).alias("key_"), F.col("block_").alias("b_"), carried.alias("carried_"))
     joined = df.join(ends, (F.col(key) == F.col("key_")) & (F.col("block_") == F.col("b_")))
     mean = F.col("local_") + F.col("carried_") * F.pow(F.lit(keep), (F.col("at_") + 1).cast("double"))
-    return joined.withColumn(out, F.when(F.col(value).isNotNull(), mean)).drop("block_", "at_", "term_", "local_", "key_", "b_", "carried_")
+    return joined.withColumn(out, F.when(F.col(value).isNotNull(), mean)).drop("before_", "block_", "at_", "term_", "local_", "key_", "b_", "carried_")
 
 
 def with_atr(bars: DataFrame, period: int = 100) -> DataFrame:
@@ -106,11 +117,19 @@ def chart_dataset(bars: DataFrame, window: int = 200, stride: int = 10, period:
 
 
 def forward_moves(bars: DataFrame, window: int, forward: int, stride: int, scale: float) -> DataFrame:
-    """Bins between the highest high and the lowest low of the ``forward`` rows from each start, which begin at ``window``."""
-    w = Window.partitionBy("symbol").orderBy("idx").rowsBetween(0, forward - 1)
-    out = bars.withColumns({"top": F.max("high").over(w), "bottom": F.min("low").over(w), "n": F.count("*").over(Window.partitionBy("symbol"))})
-    out = out.where((F.col("idx") >= window) & (F.col("idx") < F.col("n") - forward) & ((F.col("idx") - window) % stride == 0) & (F.col("atr") > 0))
-    return out.select("symbol", "idx", (to_bin(F.col("top"), F.col("open"), F.col("atr"), scale) - to_bin(F.col("bottom"), F.col("open"), F.col("atr"), scale)).alias("move"))
+    """Bins between the highest high and the lowest low of the ``forward`` rows from each start; starts begin at ``window``, and one row more must follow.
+
+    Rows are dealt to the starts that see them and aggregated there.
+    """
+    last = window + F.floor((F.col("idx") - window) / stride) * stride
+    least = F.greatest(F.col("idx") - forward, F.lit(window))
+    first = window + F.ceil((least - window) / stride) * stride
+    dealt = bars.where(F.col("idx") >= window).where(first <= last).withColumn("start", F.explode(F.sequence(first.cast("long"), last.cast("long"), F.lit(stride).cast("long"))))
+    i = F.col("idx") - F.col("start")
+    at = lambda c: F.max(F.when(i == 0, F.col(c))).alias(c)
+    g = dealt.groupBy("symbol", "start").agg(F.max(F.when(i < forward, F.col("high"))).alias("top"), F.min(F.when(i < forward, F.col("low"))).alias("bottom"), F.count("*").alias("n"), at("open"), at("atr"))
+    g = g.where((F.col("n") == forward + 1) & (F.col("atr") > 0))
+    return g.select("symbol", F.col("start").alias("idx"), (to_bin(F.col("top"), F.col("open"), F.col("atr"), scale) - to_bin(F.col("bottom"), F.col("open"), F.col("atr"), scale)).alias("move"))
 
 
 def range_report(moves: DataFrame) -> DataFrame:
@@ -120,13 +139,28 @@ def range_report(moves: DataFrame) -> DataFrame:
 
 def drop_null_and_reindex(df: DataFrame, key: str = "symbol", order: str = "idx") -> DataFrame:
     """Rows without nulls, counted anew from 0."""
-    return df.na.drop().withColumn(order, F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long") - 1)
+    return with_order(df.na.drop(), order, "r_", [key]).withColumn(order, F.col("r_") - 1).drop("r_")
+
+
+def with_trailing(df: DataFrame, value: Column, out: str, rows: int, key: str = "symbol", order: str = "idx", greatest: bool = True) -> DataFrame:
+    """Adds the greatest (least) value of the last ``rows`` rows, this one included.
+
+    Blocks of ``rows`` rows each have running extremes from both ends; a window reaches over the end
+    of the block before, from one place on, and over the beginning of its own.
+    """
+    f, both = (F.max, F.greatest) if greatest else (F.min, F.least)
+    d = df.withColumns({"v_": value, "block_": F.floor(F.col(order) / rows), "at_": F.col(order) % rows})
+    w = Window.partitionBy(key, "block_").orderBy(order)
+    d = d.withColumns({"head_": f("v_").over(w.rowsBetween(Window.unboundedPreceding, 0)), "tail_": f("v_").over(Window.partitionBy(key, "block_").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))})
+    ends = d.select(F.col(key).alias("key_"), (F.col("block_") + 1).alias("next_"), (F.col("at_") - 1).alias("from_"), F.col("tail_").alias("end_"))
+    d = d.join(ends, (F.col(key) == F.col("key_")) & (F.col("block_") == F.col("next_")) & (F.col("at_") == F.col("from_")), "left")
+    return d.withColumn(out, both("head_", "end_")).drop("v_", "block_", "at_", "head_", "tail_", "key_", "next_", "from_", "end_")  # both skip a null
 
 
 def scale_factors(bars: DataFrame, period: int = 100, share: float = 0.999) -> DataFrame:
     """By symbol, the percentile of how far prices of the last ``period`` rows lie from the open, in ranges."""
     rows = drop_null_and_reindex(bars)
-    w = Window.partitionBy("symbol").orderBy("idx").rowsBetween(-(period - 1), 0)
-    top, bottom = F.greatest(*(F.max(p).over(w) for p in PRICES)), F.least(*(F.min(p).over(w) for p in PRICES))
-    rows = rows.withColumn("ratio", F.greatest(top - F.col("open"), F.col("open") - bottom) / F.col("atr")).where("idx >= 1")
+    rows = with_trailing(rows, F.greatest(*PRICES), "top", period)
+    rows = with_trailing(rows, F.least(*PRICES), "bottom", period, greatest=False)
+    rows = rows.withColumn("ratio", F.greatest(F.col("top") - F.col("open"), F.col("open") - F.col("bottom")) / F.col("atr")).where("idx >= 1")
     return rows.groupBy("symbol").agg(F.percentile("ratio", F.lit(share)).alias("scale"))
