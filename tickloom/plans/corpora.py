@@ -262,6 +262,18 @@ def _(spark, d):
 RATIOS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 
 
+@register("u4_ratio_check", "SELECT true AS good, false AS bad")
+def _(spark, d):
+    def fits(ratios):
+        try:
+            M.check_ratios(ratios)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(fits(RATIOS), fits(RATIOS | {"en": 0.6}))], "good boolean, bad boolean")
+
+
 @register("u2_mix_plan")
 def _(spark, d):
     M.check_ratios(RATIOS)
@@ -447,7 +459,12 @@ def _(spark, d):
     return k.select("symbol", "start_idx", F.array_join(U.random_layers("symbol", "start_idx").cast("array<string>"), ",").alias("layers"))
 
 
-@register("r10_curriculum_rows")
+_CHOSEN = f"""{CURRICULUM}, rnk AS (SELECT symbol, start_idx, k, row_number() OVER (PARTITION BY symbol, start_idx ORDER BY {_LAYER}, k) AS rn FROM layers, range(7) t(k)),
+chosen AS (SELECT symbol, start_idx, list(k ORDER BY k) AS ks FROM rnk WHERE CASE WHEN {_MODE} = 0 THEN k >= {_START} AND k < {_START} + {_SIZE} ELSE rn <= {_SIZE} END GROUP BY symbol, start_idx),
+rows_ AS (SELECT start_idx, ks, array_to_string(list_transform(ks, lambda k: '=== ' || {list(U.HEADS)}[k + 1] || ' ===' || chr(10) || [layer0, layer1, layer2, layer3, layer4, layer5, layer6][k + 1]), chr(10) || chr(10)) AS text FROM layers JOIN chosen USING (symbol, start_idx))"""
+
+
+@register("r10_curriculum_rows", Q.query(_CHOSEN, """SELECT text, 'curriculum' AS source, length(text)::BIGINT AS token_length, '{"source_chart_index":' || start_idx || ',"slice_start":0,"slice_end":20,"num_candles":20,"num_layers":' || len(ks) || '}' AS meta FROM rows_"""))
 def _(spark, d):
     k = candles(spark, d)
     text = U.assemble(U.layers(k), U.random_layers("symbol", "start_idx"))

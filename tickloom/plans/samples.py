@@ -141,13 +141,14 @@ def _requests() -> str:
     return "CASE " + " ".join(f"WHEN sample_type = '{k}' THEN CASE WHEN {pick_sql(42, 'symbol', 'start_idx', 'sample_type')} % 2 = 0 THEN {_lit(a)} ELSE {_lit(b)} END" for k, (a, b) in R.REQUESTS.items()) + " END"
 
 
-SAMPLES = f"""{Q.events()}, {SHOWN}, charts AS (SELECT symbol, start_idx, '<chart> ' || string_agg(format('O_{{}} H_{{}} L_{{}} C_{{}}', o, h, l, c), ' ' ORDER BY i) || ' </chart>' AS chart FROM candles GROUP BY 1, 2),
+_SAMPLES = f"""{SHOWN}, charts AS (SELECT symbol, start_idx, '<chart> ' || string_agg(format('O_{{}} H_{{}} L_{{}} C_{{}}', o, h, l, c), ' ' ORDER BY i) || ' </chart>' AS chart FROM candles GROUP BY 1, 2),
 typed AS (SELECT *, kind AS sample_type FROM shown UNION ALL SELECT *, 'synthesis' FROM shown),
 counted AS (SELECT *, count(*) OVER w AS total_event_count, count(*) FILTER (shown) OVER w AS event_count FROM typed WINDOW w AS (PARTITION BY symbol, start_idx, sample_type)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY symbol, start_idx, sample_type ORDER BY candle_idx, seq) AS place FROM counted WHERE shown),
 told AS (SELECT *, CASE WHEN event_count > 1 THEN 'E' || place || '_' ELSE '' END AS prefix, {_sentence()} AS sentence FROM placed),
 grouped AS (SELECT symbol, start_idx, sample_type, event_count, total_event_count, {_requests()} AS request, string_agg(sentence, ' ' ORDER BY place) AS explanation, '<eval>' || string_agg({_fields()}, ' ' ORDER BY place) || '</eval>' AS eval FROM told GROUP BY ALL),
 samples AS MATERIALIZED (SELECT g.*, chart || chr(10) || request || chr(10) || explanation || chr(10) || eval AS text FROM grouped g JOIN charts USING (symbol, start_idx))"""
+SAMPLES = f"{Q.events()}, {_SAMPLES}"
 
 
 def samples(spark, d, trend: str = "BULL"):
@@ -276,7 +277,16 @@ def corpus(spark, d):
     return rows.select("text", F.col("request").alias("source"), F.length("text").cast("long").alias("token_length"), meta.alias("meta"))
 
 
-@register("r7_sample_corpus")
+_SLICED = f"""candles AS MATERIALIZED (WITH RECURSIVE {SLICES} SELECT symbol, start_idx * 10 + k AS start_idx, start_idx AS source_idx, lo, CAST(i - lo AS INTEGER) AS i, o, h, l, c FROM sl JOIN candles USING (symbol, start_idx) WHERE i >= lo AND i < lo + 20)"""
+
+
+def _corpus_sql(trend: str) -> str:
+    meta = "'{\"chart_index\":' || source_idx || ',\"sub_range\":[' || lo || ',' || (lo + 20) || '],\"sample_type\":\"' || sample_type || '\"}'"
+    places = "(SELECT DISTINCT symbol, start_idx, source_idx, lo FROM candles)"
+    return f"(WITH RECURSIVE {Q.events(trend, _SLICED)}, {_SAMPLES} SELECT text, request AS source, length(text)::BIGINT AS token_length, {meta} AS meta FROM samples JOIN {places} USING (symbol, start_idx))"
+
+
+@register("r7_sample_corpus", f"SELECT * FROM {_corpus_sql('BULL')} UNION ALL SELECT * FROM {_corpus_sql('BEAR')}")
 def _(spark, d):
     return corpus(spark, d)
 

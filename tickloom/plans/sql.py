@@ -41,8 +41,9 @@ def candles(window: int = WINDOW, stride: int = STRIDE, period: int = PERIOD, sc
 CW = "PARTITION BY symbol, start_idx ORDER BY i"
 
 
-def near(window: int = 2, lookback: int = 10) -> str:
-    return f"""{candles()},
+def near(window: int = 2, lookback: int = 10, base: str | None = None) -> str:
+    """Swings of the table ``candles``, which ``base`` defines."""
+    return f"""{base or candles()},
 sw AS (SELECT *, i >= {window} AND i + {window} < n AND h = mh AS swing_high, i >= {window} AND i + {window} < n AND l = ml AS swing_low FROM
   (SELECT *, count(*) OVER (PARTITION BY symbol, start_idx) AS n, max(h) OVER ({CW} ROWS BETWEEN {window} PRECEDING AND {window} FOLLOWING) AS mh,
    min(l) OVER ({CW} ROWS BETWEEN {window} PRECEDING AND {window} FOLLOWING) AS ml FROM candles)),
@@ -82,8 +83,8 @@ def shifts(trend: str, name: str = "shifts") -> str:
 {name} AS MATERIALIZED (SELECT symbol, start_idx, i, type, direction, swing_idx, swing_level, broken_type FROM scan_{name} WHERE type IS NOT NULL)"""
 
 
-def events(trend: str = "BULL") -> str:
-    return f"""{near()}, {GAPS}, {SWEEPS}, {shifts(trend)},
+def events(trend: str = "BULL", base: str | None = None) -> str:
+    return f"""{near(base=base)}, {GAPS}, {SWEEPS}, {shifts(trend)},
 facts AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY symbol, start_idx ORDER BY rank, candle_idx) - 1 AS INTEGER) AS seq FROM (
   SELECT symbol, start_idx, 'sweep' AS kind, 0 AS rank, i AS candle_idx, type, NULL AS direction, swing_idx, swing_level, depth, NULL AS gap_low, NULL AS gap_high, NULL AS gap_size, NULL AS fill_pct, NULL AS broken_type FROM sweeps
   UNION ALL SELECT symbol, start_idx, 'gap', 1, i, type, NULL, NULL, NULL, NULL, gap_low, gap_high, gap_size, fill_pct, NULL FROM graded
