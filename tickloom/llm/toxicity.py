@@ -89,7 +89,11 @@ def train(
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) != 0).cast("int").alias("y")).where("id is not null and y is not null")
     known = known.where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # bounded, so it can be broadcast
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    share = max_rows / max(1, known.count())
+    if share < 1:  # a little more than is asked for, so that tasks send few rows to the driver
+        known = known.where(place < int(min(1.0, 1.1 * share + 1e-6) * (1 << 30)))
+    known = known.orderBy(place, "id").limit(max_rows)  # bounded, so it can be broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(_word_sets, "id long, y int, words array<long>")
     rows = stash(rows, "words")
