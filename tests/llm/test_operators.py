@@ -74,6 +74,16 @@ def test_personal_spans(spark):
     assert some > 50
 
 
+def test_spans_of_texts_with_many_matches(spark):
+    rng = random.Random(15)
+    texts = ["x".join(f"é a{rng.randrange(10**6)}@b.c" + " " * rng.randint(0, 3) for _ in range(n)) for n in (255, 256, 257, 512, 5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["base_spans"] for r in pii.find(docs).collect()}
+    for i, t in enumerate(texts):
+        spans = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        assert got[i] == ",".join(spans) and len(spans) > 200
+
+
 def test_pii_estimates_tell_labelers_apart():
     rng = random.Random(1)
     counts = {}

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+CHUNK = 256
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -20,14 +21,23 @@ def located(text: Column, found: Column, pattern: str) -> Column:
     """
     gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(found))
     zipped = F.arrays_zip(found.alias("m"), gaps.alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        lo = acc["at"] + x["gap"]
-        hi = lo + F.length(x["m"])
-        return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(lo.alias("start"), hi.alias("end"), x["m"].alias("value")))).alias("out"))
+    def inside(chunk: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(SPAN).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+        def step(acc: Column, x: Column) -> Column:
+            lo = acc["at"] + x["gap"]
+            hi = lo + F.length(x["m"])
+            return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(lo.alias("start"), hi.alias("end"), x["m"].alias("value")))).alias("out"))
+
+        return F.aggregate(chunk, start, step, lambda acc: acc["out"])
+
+    # in chunks, as a fold that appends copies what it has: first each chunk's length, then its start, then its spans
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda c: F.slice(zipped, c * CHUNK + 1, F.lit(CHUNK)))
+    sizes = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["m"])))
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    many = F.flatten(F.transform(F.arrays_zip(chunks.alias("chunk"), F.slice(starts, F.lit(1), F.size(chunks)).alias("at")), lambda z: inside(z["chunk"], z["at"])))
+    return F.when(F.size(found) > CHUNK, many).when(F.size(found) > 0, inside(zipped, F.lit(0))).otherwise(F.array().cast(SPAN))
 
 
 def digits(value: Column) -> Column:
