@@ -135,17 +135,14 @@ def book_rows(paras: DataFrame, doc: str, source: str) -> DataFrame:
 def compaction_parts(files: DataFrame, target: int, order: str = "name", size: str = "bytes") -> DataFrame:
     """``files`` with ``part``: in order, a new part begins where the next file would exceed the target.
 
-    Files are never split, so that a part is over the target only by a single file. A fold over the list of
-    files (their names and sizes, not their rows).
+    Files are never split, so that a part is over the target only by a single file. Where a part begins depends on
+    all before it; it is found in one pass over the files' names and sizes (not their rows) on the driver.
     """
-    listed = files.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("name"), F.col(size).cast("long").alias("bytes")))).alias("files"))
-    start = F.struct(F.lit(-1).cast("int").alias("part"), F.lit(0).cast("long").alias("now"), F.array().cast("array<struct<name:string,part:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["part"] < 0) | (acc["now"] + x["bytes"] > target)
-        part = acc["part"] + F.when(new, 1).otherwise(0)
-        now = F.when(new, x["bytes"]).otherwise(acc["now"] + x["bytes"])
-        return F.struct(part.alias("part"), now.alias("now"), F.concat(acc["out"], F.array(F.struct(x["name"].cast("string").alias("name"), part.alias("part")))).alias("out"))
-
-    out = listed.select(F.explode(F.aggregate("files", start, step, lambda a: a["out"])).alias("f")).select("f.*")
-    return files.join(out.withColumnsRenamed({"name": "name_"}), F.col(order).cast("string") == F.col("name_")).drop("name_")
+    rows, part, now = [], -1, 0
+    for r in files.select(F.col(order).cast("string"), F.col(size).cast("long")).orderBy(order).toLocalIterator():
+        if part < 0 or now + r[1] > target:
+            part, now = part + 1, 0
+        now += r[1]
+        rows.append((r[0], part))
+    out = files.sparkSession.createDataFrame(rows, "name_ string, part int")
+    return files.join(out, F.col(order).cast("string") == F.col("name_")).drop("name_")
