@@ -5,21 +5,25 @@ short documents have several). A sketch has three tables of cells; a paragraph's
 one cell of each: cells hold a count, the exclusive-or of the hashes and the exclusive-or of their
 checks. The cells of two versions are subtracted, which leaves the paragraphs that only one has;
 peeling reads them off cells with one paragraph, takes those out of their other cells, and goes on. Where a
-sketch is too small to be peeled to the end, a larger one is tried.
+sketch is too small to be peeled to the end, a larger one is tried, and after the largest the sets themselves.
 
-Sketches have a bounded number of cells for texts of any length: of a pair with more than
-``SAMPLE`` paragraphs those whose hashes end in enough zero bits are compared, the same for both.
+All paragraphs of a text are in cells. So that the work grows with their number and not with its square,
+they are dealt to groups by bits of the hash, about ``GROUP`` of them each, and each group has a small sketch.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most paragraphs of both texts of a pair that are expected in a sketch, and the cells a table of each try.
-SAMPLE = 24
+#: Paragraphs up to which a pair is compared whole: without bound, nothing is sampled.
+SAMPLE = sys.maxsize
+#: Paragraphs a group has at most on average, bits of the hash that choose the group, and the cells a table of each try.
+GROUP = 8
+GROUP_BITS = 20
 WIDTHS = (5, 13, 31, 97)
 ROUNDS = 16
 _CELL = "struct<c:int,k:bigint,h:bigint>"
@@ -36,35 +40,52 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
-def level(count: Column, most: int) -> Column:
-    """Zero bits that a hash must end in, so that of ``count`` about ``most`` are left."""
-    return F.greatest(F.ceil(F.log2(F.greatest(count, F.lit(1)) / F.lit(float(most)))), F.lit(0)).cast("int")
+def level(count: Column) -> Column:
+    """Bits that number the groups of ``count`` hashes."""
+    bits = F.ceil(F.log2(F.greatest(count, F.lit(1)) / F.lit(float(GROUP))))
+    return F.least(F.greatest(bits, F.lit(0)), F.lit(GROUP_BITS - 4)).cast("int")
 
 
-def sampled(keys: Column, bits: Column) -> Column:
-    """Those hashes that end in ``bits`` zero bits."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    return F.when(bits > 0, F.filter(keys, lambda k: k.bitwiseAND(mask) == 0)).otherwise(keys)
+def _power(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), bits)
+
+
+def _deal(keys: Column, last: Column, bits: Column) -> Column:
+    """Keys by the ``bits`` bits of the hash from bit ``GROUP_BITS - last`` on."""
+    digit = lambda k: F.call_function("shiftrightunsigned", k, F.lit(GROUP_BITS) - last).bitwiseAND((_power(bits) - 1).cast("long"))
+    return F.transform(F.sequence(F.lit(0), _power(bits) - 1), lambda i: F.filter(keys, lambda k: digit(k) == i))
+
+
+def groups(keys: Column, bits: Column) -> Column:
+    """Keys in ``2 ** bits`` groups, dealt in two steps, each by about half of the bits."""
+    half = F.shiftright(bits, 1)
+    return F.when(bits == 0, F.array(keys)).otherwise(F.flatten(F.transform(_deal(keys, half, half), lambda part: _deal(part, bits, bits - half))))
 
 
 def _place(key: Column, table: int, width: int) -> Column:
     return F.pmod(F.shiftrightunsigned(key, 20 + 12 * table), F.lit(width).cast("long")).cast("int")
 
 
+def _placed(key: Column, width: int) -> list[Column]:
+    """The cells of a key, in the three tables one after the other."""
+    return [(_place(key, t, width) + t * width).alias(x) for t, x in enumerate("xyz")]
+
+
 def sketch(keys: Column, width: int) -> Column:
     """Cells of three tables of ``width`` each."""
     nothing = F.struct(F.lit(0).alias("c"), F.expr("0L").alias("k"), F.expr("0L").alias("h"))
 
-    def add(cell: Column, k: Column) -> Column:
-        return F.struct((cell["c"] + 1).alias("c"), cell["k"].bitwiseXOR(k).alias("k"), cell["h"].bitwiseXOR(F.xxhash64(k)).alias("h"))
+    def add(cell: Column, p: Column) -> Column:
+        return F.struct((cell["c"] + 1).alias("c"), cell["k"].bitwiseXOR(p["k"]).alias("k"), cell["h"].bitwiseXOR(p["h"]).alias("h"))
 
-    def table(t: int) -> Column:
-        def cell(i: Column) -> Column:
-            return F.aggregate(F.filter(keys, lambda k: _place(k, t, width) == i), nothing, add)
+    def tables(placed: Column) -> Column:
+        def table(t: int, x: str) -> Column:
+            return F.transform(F.sequence(F.lit(t * width), F.lit((t + 1) * width - 1)), lambda i: F.aggregate(F.filter(placed, lambda p: p[x] == i), nothing, add))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)
+        return F.concat(*(table(t, x) for t, x in enumerate("xyz")))
 
-    return F.concat(table(0), table(1), table(2)).cast(f"array<{_CELL}>")
+    placed = F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k).alias("h"), *_placed(k, width)))
+    return _let(placed, tables).cast(f"array<{_CELL}>")
 
 
 def subtract(one: Column, other: Column) -> Column:
@@ -73,27 +94,27 @@ def subtract(one: Column, other: Column) -> Column:
 
 def peel(cells: Column, width: int) -> Column:
     """``cells`` that are left and the hashes ``found``; all cells are empty if peeling came to its end."""
-    pure_type = "array<struct<k:bigint,h:bigint,s:int,a:int,b:int,c:int>>"
-    state = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"))
+    pure_type = "array<struct<k:bigint,h:bigint,s:int,x:int,y:int,z:int>>"
+    state = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("on"))
 
     def pure(cells: Column) -> Column:
         one = F.filter(cells, lambda c: (F.abs(c["c"]) == 1) & (F.xxhash64(c["k"]) == c["h"]))
-        named = F.transform(one, lambda c: F.struct(c["k"].alias("k"), c["h"].alias("h"), c["c"].alias("s"), *((_place(c["k"], t, width) + t * width).alias(x) for t, x in enumerate("abc"))))
+        named = F.transform(one, lambda c: F.struct(c["k"].alias("k"), c["h"].alias("h"), c["c"].alias("s"), *_placed(c["k"], width)))
         return F.array_distinct(named).cast(pure_type)
 
     def take(cells: Column, out: Column) -> Column:
         def less(c: Column, i: Column) -> Column:
-            mine = F.filter(out, lambda p: (p["a"] == i) | (p["b"] == i) | (p["c"] == i))
+            mine = F.filter(out, lambda p: (p["x"] == i) | (p["y"] == i) | (p["z"] == i))
             return F.aggregate(mine, c, lambda x, p: F.struct((x["c"] - p["s"]).alias("c"), x["k"].bitwiseXOR(p["k"]).alias("k"), x["h"].bitwiseXOR(p["h"]).alias("h")).cast(_CELL))
 
         return F.transform(cells, less).cast(f"array<{_CELL}>")
 
     def step(acc: Column, _: Column) -> Column:
         def go(out: Column) -> Column:
-            rest = F.struct(take(acc["cells"], out).alias("cells"), F.concat(acc["found"], F.transform(out, lambda p: p["k"])).alias("found"))
-            return F.when(F.size(out) > 0, rest).otherwise(acc)
+            rest = F.struct(take(acc["cells"], out).alias("cells"), F.concat(acc["found"], F.transform(out, lambda p: p["k"])).alias("found"), F.lit(True).alias("on"))
+            return F.when(F.size(out) > 0, rest).otherwise(F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(False).alias("on")))
 
-        return _let(pure(acc["cells"]), go)
+        return F.when(acc["on"], _let(pure(acc["cells"]), go)).otherwise(acc)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, step)
 
@@ -102,41 +123,43 @@ def _empty(cells: Column) -> Column:
     return F.forall(cells, lambda c: (c["c"] == 0) & (c["k"] == 0))
 
 
-def differing(one: Column, other: Column) -> Column:
-    """Hashes that only one of two key sets has, by peeling; larger sketches follow one that fails.
+def _recover(cells: Column, one: Column, other: Column) -> Column:
+    """Hashes that only one of two groups has, from their subtracted cells of the least width; larger sketches follow one that fails.
 
-    Null if even the largest fails, which for the bounded sets here takes colliding hashes.
+    Where even the largest fails, the difference of the sets themselves.
     """
-    out = F.lit(None).cast("array<bigint>")
-    for width in reversed(WIDTHS):
-        peeled = peel(subtract(sketch(one, width), sketch(other, width)), width)
-        out = _try(peeled, out)
-    return out
+    out = F.concat(F.array_except(one, other), F.array_except(other, one))
+    for width in reversed(WIDTHS[1:]):
+        out = _try(peel(subtract(sketch(one, width), sketch(other, width)), width), out)
+    return _try(peel(cells, WIDTHS[0]), out)
 
 
 def _try(peeled: Column, rest: Column) -> Column:
     return _let(peeled, lambda p: F.when(_empty(p["cells"]), p["found"]).otherwise(rest))
 
 
-def likeness(one: Column, n_one: Column, other: Column, n_other: Column) -> Column:
-    """1 less the share of differing paragraphs, of sets already sampled alike; two empty texts are alike.
+def differing(one: Column, other: Column) -> Column:
+    """Hashes that only one of two key sets of any size has, by peeling group by group."""
+    bits = level(F.size(one) + F.size(other))
+    cells = lambda a, b: subtract(sketch(a, WIDTHS[0]), sketch(b, WIDTHS[0]))
+    return F.flatten(F.zip_with(groups(one, bits), groups(other, bits), lambda a, b: _recover(cells(a, b), a, b)))
 
-    ``n_one`` and ``n_other`` are the sizes of ``one`` and ``other``.
-    """
-    total = n_one + n_other
-    missing = F.size(differing(one, other))
-    return F.when(total == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce(F.when(missing >= 0, missing), total) / total))
+
+def likeness(one: Column, other: Column, missing: Column) -> Column:
+    """1 less the share of the ``missing`` differing paragraphs of two sets; two empty ones are alike."""
+    total = F.size(one) + F.size(other)
+    return F.when(total == 0, F.lit(1.0)).otherwise(1 - F.size(missing) / total)
 
 
 def serialised(keys: Column) -> Column:
     """The fingerprint as text: number of paragraphs, exclusive-or of all hashes, and a sketch of a sample of bounded size."""
     n = F.size(keys)
-    cells = sketch(sampled(keys, level(n, SAMPLE // 2)), WIDTHS[0])
+    bits = F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(1)) / F.lit(12.0))), F.lit(0)).cast("int")
+    cells = sketch(F.filter(keys, lambda k: k.bitwiseAND((_power(bits) - 1).cast("long")) == 0), WIDTHS[0])
     low = lambda x: F.lpad(F.hex(x.bitwiseAND(F.expr("4294967295L"))), 8, "0")
     body = F.array_join(F.transform(cells, lambda c: F.concat(F.hex(c["c"]), F.lit(":"), F.hex(c["k"]), F.lit(":"), low(c["h"]))), ";")
     return F.concat_ws("|", F.hex(n), F.hex(F.aggregate(keys, F.expr("0L"), lambda a, k: a.bitwiseXOR(k))), body)
 
-
 def successors(ids: DataFrame) -> DataFrame:
     """``doc_id, next_id`` for every distinct id, in ascending order; after the last comes the first.
 
@@ -161,7 +184,7 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edit replaces the last quarter (rounded down) of the code points by as many from the
     beginning of the next document. Returns ``doc_id, version`` (a hash of the text), ``n_chars, edited`` and for the three texts the
-    hashes ``keys, edited_keys`` (all) and ``next_keys`` (sampled by ``next_bits`` zero bits, of ``n_next``).
+    hashes of all paragraphs, ``keys, edited_keys, next_keys``.
 
     Null texts are empty. Rows that share an id each get a result; as a next document such an id
     stands with one of its texts, the one of the smallest hash. A row without id has no next
@@ -177,26 +200,22 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # texts are dealt by id once: both joins with them have the same columns and keys and so share the exchange
     given = rows.hint("merge").join(needed, F.col("key_") == F.col("doc_id")).where(F.col("version").bitwiseXOR(F.col("head")) == 0)
     keys = paragraphs(F.col("text"))
-    given = given.select("before", F.substring("text", F.lit(1), F.col("need")).alias("beginning"), keys.alias("k"))
-    given = given.withColumn("n_next", F.size("k")).withColumn("next_bits", level(F.col("n_next"), SAMPLE))
-    given = given.select("before", "beginning", "n_next", "next_bits", sampled(F.col("k"), F.col("next_bits")).alias("next_keys"))
+    given = given.select("before", F.substring("text", F.lit(1), F.col("need")).alias("beginning"), keys.alias("next_keys"))
     # repeated rows give the same values
-    parts = ("beginning", "n_next", "next_bits", "next_keys")
+    parts = ("beginning", "next_keys")
     given = given.groupBy("before").agg(*(F.first(c).alias(c) for c in parts))
     out = rows.hint("merge").join(given, F.col("key_") == F.col("before"), "left").drop("before")
     out = out.unionByName(every.where("key_ is null").select("*", *(F.lit(None).cast(out.schema[c].dataType).alias(c) for c in parts)))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.coalesce(F.substring("beginning", F.lit(1), quarter), F.lit("")))
-    out = out.select(F.col("key_").alias("doc_id"), "version", n.cast("long").alias("n_chars"), keys.alias("keys"), edited.alias("edited"), "n_next", "next_bits", "next_keys")
+    out = out.select(F.col("key_").alias("doc_id"), "version", n.cast("long").alias("n_chars"), keys.alias("keys"), edited.alias("edited"), "next_keys")
     none = F.array().cast("array<bigint>")
-    return out.select("doc_id", "version", "n_chars", "keys", "edited", paragraphs(F.col("edited")).alias("edited_keys"), F.coalesce("n_next", F.lit(0)).alias("n_next"), F.coalesce("next_keys", none).alias("next_keys"))
+    return out.select("doc_id", "version", "n_chars", "keys", "edited", paragraphs(F.col("edited")).alias("edited_keys"), F.coalesce("next_keys", none).alias("next_keys"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, version, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next`` for every row; see ``compare_with_edit``."""
     out = compare_with_edit(docs, id_col, text_col)
-    out = out.withColumn("e_bits", level(F.size("keys") + F.size("edited_keys"), SAMPLE)).withColumn("x_bits", level(F.size("keys") + F.col("n_next"), SAMPLE))
-    out = out.withColumns({"e_a": sampled(F.col("keys"), F.col("e_bits")), "e_b": sampled(F.col("edited_keys"), F.col("e_bits")), "x_a": sampled(F.col("keys"), F.col("x_bits")), "x_b": sampled(F.col("next_keys"), F.col("x_bits"))})
-    near = lambda a, b: likeness(F.col(a), F.size(a), F.col(b), F.size(b))
-    return out.select("doc_id", "version", "n_chars", "edited", serialised(F.col("keys")).alias("fingerprint"), serialised(F.col("edited_keys")).alias("edited_fingerprint"), near("e_a", "e_b").alias("near_edited"), near("x_a", "x_b").alias("near_next"))
+    near = lambda a, b: likeness(F.col(a), F.col(b), differing(F.col(a), F.col(b)))
+    return out.select("doc_id", "version", "n_chars", "edited", serialised(F.col("keys")).alias("fingerprint"), serialised(F.col("edited_keys")).alias("edited_fingerprint"), near("keys", "edited_keys").alias("near_edited"), near("keys", "next_keys").alias("near_next"))
