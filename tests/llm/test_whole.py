@@ -28,3 +28,20 @@ def test_likeness_of_long_texts_is_exact(spark):
     for i, (a, b, c) in enumerate(sets):
         assert abs(got[i]["near_edited"] - (1 - len(a ^ b) / (len(a) + len(b)))) < 1e-12, i
         assert abs(got[i]["near_next"] - (1 - len(a ^ c) / (len(a) + len(c)))) < 1e-12, i
+
+
+def test_published_sketch_has_all_paragraphs(spark):
+    sets, got = versioned(spark)
+    for i, (a, b, _) in enumerate(sets):
+        for paras, text in ((a, got[i]["fingerprint"]), (b, got[i]["edited_fingerprint"])):
+            n, total, body = text.split("|")
+            cells = [[tuple(int(x, 16) for x in c.split(":")) for c in g.split(";")] for g in body.split("/")]
+            width = fingerprint.WIDTHS[0]
+            assert int(n, 16) == len(paras)
+            for t in range(3):  # each table holds every paragraph once
+                table = [c for g in cells for c in g[t * width : (t + 1) * width]]
+                assert sum(c[0] for c in table) == len(paras), i
+                mixed = 0
+                for c in table:
+                    mixed ^= c[1]
+                assert mixed == int(total, 16)

@@ -151,14 +151,40 @@ def likeness(one: Column, other: Column, missing: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(1 - F.size(missing) / total)
 
 
-def serialised(keys: Column) -> Column:
-    """The fingerprint as text: number of paragraphs, exclusive-or of all hashes, and a sketch of a sample of bounded size."""
-    n = F.size(keys)
-    bits = F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(1)) / F.lit(12.0))), F.lit(0)).cast("int")
-    cells = sketch(F.filter(keys, lambda k: k.bitwiseAND((_power(bits) - 1).cast("long")) == 0), WIDTHS[0])
-    low = lambda x: F.lpad(F.hex(x.bitwiseAND(F.expr("4294967295L"))), 8, "0")
-    body = F.array_join(F.transform(cells, lambda c: F.concat(F.hex(c["c"]), F.lit(":"), F.hex(c["k"]), F.lit(":"), low(c["h"]))), ";")
-    return F.concat_ws("|", F.hex(n), F.hex(F.aggregate(keys, F.expr("0L"), lambda a, k: a.bitwiseXOR(k))), body)
+def sketches(keys: Column) -> Column:
+    """A sketch of the least width for each group of all keys; equal sets have equal ones."""
+    return F.transform(groups(keys, level(F.size(keys))), lambda g: sketch(g, WIDTHS[0]))
+
+
+def folded(cells: Column, bits: Column) -> Column:
+    """Sketches of ``2 ** bits`` groups from those of as many or more: neighbours are added."""
+    ratio = (F.size(cells) / _power(bits)).cast("int")
+
+    def plus(one: Column, other: Column) -> Column:
+        return F.zip_with(one, other, lambda a, b: F.struct((a["c"] + b["c"]).alias("c"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["h"].bitwiseXOR(b["h"]).alias("h"))).cast(f"array<{_CELL}>")
+
+    def merge(i: Column) -> Column:
+        return F.aggregate(F.slice(cells, i * ratio + 2, ratio - 1), F.element_at(cells, i * ratio + 1), plus)
+
+    return F.when(ratio == 1, cells).otherwise(F.transform(F.sequence(F.lit(0), _power(bits) - 1), merge))
+
+
+def differing_of(cells_one: Column, cells_other: Column, one: Column, other: Column) -> Column:
+    """``differing`` from the sketches that each set has already, at the fewer groups of the two; the keys serve where a group's fails."""
+    bits = F.least(level(F.size(one)), level(F.size(other)))
+    cells = F.zip_with(folded(cells_one, bits), folded(cells_other, bits), lambda a, b: subtract(a, b))
+    keys = F.zip_with(groups(one, bits), groups(other, bits), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.flatten(F.zip_with(cells, keys, lambda c, g: _recover(c, g["a"], g["b"])))
+
+
+def serialised(keys: Column, cells: Column) -> Column:
+    """The fingerprint as text: number of paragraphs, exclusive-or of all hashes, and the sketches of all groups.
+
+    Groups are apart by ``/``, cells by ``;``, a cell's count, hashes and checks by ``:``, all in hexadecimal.
+    """
+    show = lambda c: F.concat(F.hex(c["c"]), F.lit(":"), F.hex(c["k"]), F.lit(":"), F.hex(c["h"]))
+    body = F.array_join(F.transform(cells, lambda g: F.array_join(F.transform(g, show), ";")), "/")
+    return F.concat_ws("|", F.hex(F.size(keys)), F.hex(F.aggregate(keys, F.expr("0L"), lambda a, k: a.bitwiseXOR(k))), body)
 
 def successors(ids: DataFrame) -> DataFrame:
     """``doc_id, next_id`` for every distinct id, in ascending order; after the last comes the first.
@@ -217,5 +243,8 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, version, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next`` for every row; see ``compare_with_edit``."""
     out = compare_with_edit(docs, id_col, text_col)
-    near = lambda a, b: likeness(F.col(a), F.col(b), differing(F.col(a), F.col(b)))
-    return out.select("doc_id", "version", "n_chars", "edited", serialised(F.col("keys")).alias("fingerprint"), serialised(F.col("edited_keys")).alias("edited_fingerprint"), near("keys", "edited_keys").alias("near_edited"), near("keys", "next_keys").alias("near_next"))
+    out = out.withColumns({"cells": sketches(F.col("keys")), "edited_cells": sketches(F.col("edited_keys"))})
+    keys, edited, after = F.col("keys"), F.col("edited_keys"), F.col("next_keys")
+    near_edited = likeness(keys, edited, differing_of(F.col("cells"), F.col("edited_cells"), keys, edited))
+    near_next = likeness(keys, after, differing(keys, after))
+    return out.select("doc_id", "version", "n_chars", "edited", serialised(keys, F.col("cells")).alias("fingerprint"), serialised(edited, F.col("edited_cells")).alias("edited_fingerprint"), near_edited.alias("near_edited"), near_next.alias("near_next"))
