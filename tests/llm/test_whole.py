@@ -2,7 +2,7 @@
 
 import re
 
-from tickloom.llm import fingerprint
+from tickloom.llm import fingerprint, line_dedup
 
 
 def paragraphs(text):
@@ -45,3 +45,11 @@ def test_published_sketch_has_all_paragraphs(spark):
                 for c in table:
                     mixed ^= c[1]
                 assert mixed == int(total, 16)
+
+
+def test_short_lines_are_deduplicated_by_equality(spark):
+    long = "a line that is longer than the floor"
+    docs = spark.createDataFrame([(1, f"short\n\n{long}\nshort"), (2, "shorn\nshort\n\nx"), (3, f"x\n{long}s\n\n")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, short=True).collect()}
+    assert got[1]["text"] == f"short\n\n{long}" and got[2]["text"] == "shorn\n\nx" and got[3]["text"] == "\n"
+    assert [(got[i]["n_lines"], got[i]["n_removed"], got[i]["n_near"]) for i in (1, 2, 3)] == [(4, 1, 0), (4, 1, 0), (4, 2, 1)]

@@ -134,8 +134,8 @@ def _lists(values: np.ndarray, there: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[there].view(np.int64)))
 
 
-def _emit_lines(max_edits: int, least: int):
-    """Every line's place; for the first of equal lines that a task meets, its keys too."""
+def _emit_lines(max_edits: int, least: int, floor: int):
+    """Place of every line of ``floor`` code points; for the first of equal lines of ``least`` that a task meets, its keys too."""
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # forgotten when it grows, which only repeats keys
@@ -148,12 +148,13 @@ def _emit_lines(max_edits: int, least: int):
             seen.update(distinct[fresh_].tolist())
             new = np.zeros((len(lines.id), 1), dtype=bool)
             new[first[fresh_]] = True
+            new[lines.length < least] = False
             index = lines.segments(max_edits)
             probe, there = lines.probes(max_edits, least)
             columns = [ids.take(pa.array(lines.doc)), pa.array(lines.position.astype(np.int32)), pa.array(lines.id.view(np.int64)), pa.array(lines.signature.view(np.int64)), _lists(index, np.repeat(new, index.shape[1], axis=1)), _lists(probe, there & new)]
             return pa.RecordBatch.from_arrays(columns, names=["doc", "position", "line", "signature", "segments", "probes"])
 
-        yield from _walk(least, emit)(batches)
+        yield from _walk(floor, emit)(batches)
 
     return start
 
@@ -240,12 +241,12 @@ def _verify(max_edits: int):
     return run
 
 
-def read_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Documents as ``id, text``, and their lines with places, signatures and keys."""
+def read_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, least: int, floor: int) -> tuple[DataFrame, DataFrame]:
+    """Documents as ``id, text``, and their lines with places, signatures and keys; lines below ``least`` have no keys."""
     if least <= max_edits:
         raise ValueError("lines must be longer than the threshold")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return base, stash(base.mapInArrow(_emit_lines(max_edits, least), "doc long, position int, line long, signature long, segments array<long>, probes array<long>"), "lines")
+    return base, stash(base.mapInArrow(_emit_lines(max_edits, least, floor), "doc long, position int, line long, signature long, segments array<long>, probes array<long>"), "lines")
 
 
 def line_links(base: DataFrame, lines: DataFrame, max_edits: int, least: int) -> DataFrame:
@@ -267,16 +268,17 @@ def line_links(base: DataFrame, lines: DataFrame, max_edits: int, least: int) ->
     return stash(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(max_edits), "a long, b long"), "links")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2, least: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2, least: int = 20, short: bool = False) -> DataFrame:
     """``docs`` with later lines of each class taken out of the text, and ``n_lines, n_removed, n_near`` added.
 
-    Lines are what line feeds separate; those of fewer than ``least`` code points are never removed.
+    Lines are what line feeds separate. Those of fewer than ``least`` code points are never near another; with ``short``,
+    those that are equal are one class too, else they are never removed. Empty lines always stay.
     n_lines counts all lines, n_removed those taken out, n_near those of the taken out that are not
     equal to any earlier line. A null text stays null and has no lines; an empty one has one empty line. A
     row without id keeps its text. Rows that share an id count as one document: a line that
     goes goes from each. Added columns get leading underscores where their names are taken.
     """
-    base, lines = read_lines(docs, id_col, text_col, max_edits, least)
+    base, lines = read_lines(docs, id_col, text_col, max_edits, least, 1 if short else least)
     found = components(line_links(base, lines, max_edits, least))
     places = lines.select("doc", "position", "line")
     same = places.groupBy("line").agg(F.min(F.struct("doc", "position")).alias("first"), F.count("*").alias("n"))

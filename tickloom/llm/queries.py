@@ -49,7 +49,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), short=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("text_sha256"))
 
 
