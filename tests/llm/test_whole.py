@@ -2,7 +2,7 @@
 
 import re
 
-from tickloom.llm import fingerprint, line_dedup
+from tickloom.llm import fingerprint, line_dedup, mixing
 
 
 def paragraphs(text):
@@ -53,3 +53,16 @@ def test_short_lines_are_deduplicated_by_equality(spark):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, short=True).collect()}
     assert got[1]["text"] == f"short\n\n{long}" and got[2]["text"] == "shorn\n\nx" and got[3]["text"] == "\n"
     assert [(got[i]["n_lines"], got[i]["n_removed"], got[i]["n_near"]) for i in (1, 2, 3)] == [(4, 1, 0), (4, 1, 0), (4, 2, 1)]
+
+
+def test_texts_without_tokens_come_in_every_whole_epoch(spark):
+    rows = [(i, "a", "one two three" if i < 10 else "" if i % 2 else None) for i in range(60)]
+    rows += [(100 + i, "b", "one two three" if i < 2 else "") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plan = mixing.schedule(docs).collect()
+    assert {r["doc_id"] for r in plan} == {r[0] for r in rows}
+    for source in "ab":
+        for epoch in range(1 + max(r["epoch"] for r in plan if r["source"] == source)):
+            whole = sum(r["tokens"] for r in plan if r["source"] == source and r["epoch"] == epoch) == sum(3 for r in rows if r[1] == source and r[2])
+            if whole:
+                assert sum(r["source"] == source and r["epoch"] == epoch for r in plan) == sum(r[1] == source for r in rows)

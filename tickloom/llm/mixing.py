@@ -128,7 +128,8 @@ def schedule(
     sums = sums.select("source", "epoch", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source", "epoch", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     taken = taken.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(sums, ["source", "epoch", "bucket"])
-    start = F.col("epoch") * F.col("total") + F.col("before") + F.col("within")
+    # a text without tokens behind the last one with tokens belongs to this epoch, not to the next
+    start = F.least(F.col("epoch") * F.col("total") + F.col("before") + F.col("within"), F.greatest((F.col("epoch") + 1) * F.col("total") - 1, F.lit(0)))
     taken = taken.withColumn("start", start).where((F.col("start") < F.col("quota") - 1e-6) | (F.col("epoch") == 0) & (F.col("total") == 0))
     block = F.when(F.col("share") > 0, F.floor(F.col("start") / F.col("share"))).otherwise(0).cast("long")
     mixed = Window.partitionBy("block").orderBy(_hash(seed + 1, F.col("block"), F.col("epoch"), F.col("doc_id")), "source", "epoch", "doc_id")
