@@ -1,8 +1,9 @@
 """Operators on what lies beyond sizes at which they once did less than the whole."""
 
+import random
 import re
 
-from tickloom.llm import fingerprint, line_dedup, mixing
+from tickloom.llm import decontam, fingerprint, line_dedup, mixing
 
 
 def paragraphs(text):
@@ -66,3 +67,19 @@ def test_texts_without_tokens_come_in_every_whole_epoch(spark):
             whole = sum(r["tokens"] for r in plan if r["source"] == source and r["epoch"] == epoch) == sum(3 for r in rows if r[1] == source and r[2])
             if whole:
                 assert sum(r["source"] == source and r["epoch"] == epoch for r in plan) == sum(r[1] == source for r in rows)
+
+
+def test_short_items_are_always_found(spark):
+    rng = random.Random(4)
+    words = [f"v{k}" for k in range(400)]
+    items = [[rng.choice(words) for _ in range(rng.randint(2, 14))] for _ in range(300)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = []
+    for i, w in enumerate(items):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 300))]
+        at = rng.randint(0, len(t))
+        rows.append((i, " ".join(t[:at] + w + t[at:])))
+    docs = spark.createDataFrame([*rows, (1000, ""), (1001, "none of these")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.find_leaks(docs, bench).collect()}
+    assert [i for i in range(len(items)) if str(i) not in got[i]["items"].split(",")] == []
+    assert not got[1000]["contaminated"] and not got[1001]["contaminated"]
