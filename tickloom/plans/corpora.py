@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import codec
@@ -52,6 +55,18 @@ def _(spark, d):
     return readers.ohlc_csv(spark, path, symbol).select("symbol", "idx", "open", "close")
 
 
+@register("s1_csv_scan_all", Q.query(Q.BARS, "SELECT symbol, idx, round(open, 6) AS open, round(close, 6) AS close FROM bars"))
+def _(spark, d):
+    b = bars(spark, d)
+    scans = []
+    for symbol in sorted(r[0] for r in b.select("symbol").where("symbol is not null").distinct().collect()):
+        path = scratch(spark)
+        one = b.where(F.col("symbol") == symbol).select("idx", *(F.col(c.lower()).alias(c) for c in ("Open", "High", "Low", "Close")))
+        sinks.write_csv(one.coalesce(1).sortWithinPartitions("idx").drop("idx"), path)
+        scans.append(readers.ohlc_csv(spark, path, symbol).select("symbol", "idx", "open", "close"))
+    return reduce(DataFrame.unionByName, scans) if scans else b.select("symbol", "idx", "open", "close")
+
+
 @register("s2_parquet_scan", "SELECT doc_id, md5(text) AS digest, lang, source, n_chars FROM documents")
 def _(spark, d):
     return readers.parquet(spark, f"{d}/documents.parquet").select("doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars")
