@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
-from .spans import digits, how_many, listed, located, luhn, matches, overlaps
+from .spans import apart, digits, how_many, listed, located, luhn, matches, surroundings
 
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("local_phone", "social", "iban")
@@ -35,7 +35,6 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
 }
 STRICT = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$",
     "ip": r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$",
     "card": r"^[3-6][0-9]{3}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4,7}$",
     "phone": r"^\+[1-9][0-9]{0,2}[\x20.-]?\(?[0-9]{2,4}\)?([\x20.-]?[0-9]{2,4}){2,3}$",
@@ -67,6 +66,12 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0) if no is not None else F.when(yes, 1).otherwise(-1)
 
 
+def _strict(kind: str, value: Column) -> Column:
+    if kind == "email":  # by its ends, as a pattern over all labels would recurse once for each
+        return _vote(value.rlike("^[A-Za-z0-9]") & F.substring_index(value, ".", -1).rlike("^[A-Za-z]{2,}$"))
+    return _vote(value.rlike(STRICT[kind]))
+
+
 def _gazetteer(kind: str, value: Column) -> Column:
     if kind == "email":
         last = F.lower(F.substring_index(value, ".", -1))
@@ -84,37 +89,38 @@ def _gazetteer(kind: str, value: Column) -> Column:
 
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, found``: rank, kind, start, end, votes v0-v3 and feature bits of every candidate."""
+    """``doc_id, base, loose``: rank, kind, start, end, votes v0-v3 and the classes of size and shape of every candidate."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = BASE + LOOSE
     rows = rows.withColumns({f"m_{k}": matches(F.col("text"), PATTERNS[k]) for k in kinds})
-    spans = {k: located(F.col("text"), F.col(f"m_{k}"), PATTERNS[k]) for k in kinds}
+    rows = rows.withColumns({f"p_{k}": located(F.col("text"), F.col(f"m_{k}"), PATTERNS[k]) for k in kinds} | {f"c_{k}": surroundings(F.col("text"), F.col(f"m_{k}"), PATTERNS[k], CONTEXT) for k in kinds})
+    both = lambda s, c: F.struct(*(s[x].alias(x) for x in ("start", "end", "value")), *(c[x].alias(x) for x in ("before", "after")))
+    spans = {k: F.zip_with(f"p_{k}", f"c_{k}", both) for k in kinds}
     spans["ip"] = F.filter(spans["ip"], lambda s: F.forall(F.split(s["value"], r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.right(p, F.lit(3)).cast("int"), F.lit(0)) <= 255)))
     spans["card"] = F.filter(spans["card"], lambda s: F.length(digits(s["value"])).between(16, 19) & luhn(digits(s["value"])))
     spans["phone"] = F.filter(spans["phone"], lambda s: F.length(digits(s["value"])).between(8, 15))
 
     def judged(k: str) -> Column:
         def one(s: Column) -> Column:
-            before = F.substr(F.col("text"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-            last = F.right(before, F.lit(1))
-            after = F.substr(F.col("text"), s["end"] + 1, F.lit(1))
-            ends = _vote(~last.rlike(r"[\p{L}\p{N}@_]") & ~after.rlike(r"[\p{L}\p{N}@_]"))
-            votes = (_vote(s["value"].rlike(STRICT[k])), _gazetteer(k, s["value"]), _vote(before.rlike(CUES[k]), before.rlike(AGAINST)), ends)
-            short = F.when(s["end"] - s["start"] <= 12, 1).otherwise(0)
-            plain = F.when(s["value"].rlike(r"^[0-9]+$"), 1).otherwise(0)
+            before, value = s["before"], s["value"]
+            ends = _vote(~F.right(before, F.lit(1)).rlike(r"[\p{L}\p{N}@_]") & ~s["after"].rlike(r"[\p{L}\p{N}@_]"))
+            votes = (_strict(k, value), _gazetteer(k, value), _vote(before.rlike(CUES[k]), before.rlike(AGAINST)), ends)
+            n = s["end"] - s["start"]
+            size = F.when(n <= 12, 1).when(n <= 16, 2).when(n <= 24, 3).otherwise(0)
+            shape = F.when(value.rlike(r"^[0-9]+$"), 1).when(~value.rlike(r"[A-Za-z]"), 2).when(value.rlike(r"[0-9]"), 3).otherwise(0)
             named = [v.cast("int").alias(f"v{i}") for i, v in enumerate(votes)]
-            return F.struct(F.lit(kinds.index(k)).alias("rank"), F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *named, short.alias("short"), plain.alias("plain"))
+            return F.struct(F.lit(kinds.index(k)).alias("rank"), F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *named, size.alias("size"), shape.alias("shape"))
 
         return F.when(F.size(f"m_{k}") > 0, F.transform(f"s_{k}", one)).otherwise(F.array().cast(_FOUND))
 
     rows = rows.withColumns({f"s_{k}": spans[k] for k in kinds})
     rows = rows.withColumn("base", F.concat(*(judged(k) for k in BASE)))
     for k in LOOSE:  # those that touch no base span
-        rows = rows.withColumn(f"l_{k}", F.filter(judged(k), lambda s: ~overlaps(s, F.col("base"))))
+        rows = rows.withColumn(f"j_{k}", judged(k)).withColumn(f"l_{k}", apart(F.col(f"j_{k}"), F.col("base")))
     return rows.select("doc_id", "base", F.concat(*(F.col(f"l_{k}") for k in LOOSE)).alias("loose"))
 
 
-_FOUND = "array<struct<rank:int,kind:string,start:int,end:int,v0:int,v1:int,v2:int,v3:int,short:int,plain:int>>"
+_FOUND = "array<struct<rank:int,kind:string,start:int,end:int,v0:int,v1:int,v2:int,v3:int,size:int,shape:int>>"
 
 
 @dataclass
@@ -126,16 +132,15 @@ class PiiModel:
     weights: dict[str, float] = field(default_factory=dict)
 
 
-Pattern = tuple[str, tuple[int, ...], int, int, int]  # kind, votes, short, plain, count
+Pattern = tuple[str, tuple[int, ...], int, int, int]  # kind, votes, classes of size and shape, count
 
 
 def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _inputs(kind: str, votes: Sequence[int], short: int, plain: int) -> list[str]:
-    out = ["bias", f"kind={kind}", *(f"{name}={v}" for name, v in zip(LABELERS, votes, strict=True))]
-    return out + ["short"] * short + ["plain"] * plain
+def _inputs(kind: str, votes: Sequence[int], size: int, shape: int) -> list[str]:
+    return ["bias", f"kind={kind}", *(f"{name}={v}" for name, v in zip(LABELERS, votes, strict=True)), f"size={size}", f"shape={shape}"]
 
 
 def estimate(patterns: Sequence[Pattern], rounds: int = 60) -> PiiModel:
@@ -188,7 +193,9 @@ def _chance(s: Column, model: PiiModel) -> Column:
     for i, name in enumerate(LABELERS):
         for v in (-1, 0, 1):
             z = z + F.when(s[f"v{i}"] == v, w.get(f"{name}={v}", 0.0)).otherwise(0.0)
-    z = z + s["short"] * F.lit(w.get("short", 0.0)) + s["plain"] * F.lit(w.get("plain", 0.0))
+    for name in ("size", "shape"):
+        for v in range(4):
+            z = z + F.when(s[name] == v, w.get(f"{name}={v}", 0.0)).otherwise(0.0)
     return 1 / (1 + F.exp(-z))
 
 
@@ -200,8 +207,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     """
     rows = stash(_candidates(docs, id_col, text_col), "candidates")
     each = rows.select(F.explode(F.concat("base", "loose")).alias("s")).select("s.*")
-    counted = each.groupBy("kind", "v0", "v1", "v2", "v3", "short", "plain").agg(F.count("*").alias("n")).collect()  # bounded by the patterns' definition
-    model = estimate([(r["kind"], (r["v0"], r["v1"], r["v2"], r["v3"]), r["short"], r["plain"], r["n"]) for r in counted])
+    counted = each.groupBy("kind", "v0", "v1", "v2", "v3", "size", "shape").agg(F.count("*").alias("n")).collect()  # bounded by the patterns' definition
+    model = estimate([(r["kind"], (r["v0"], r["v1"], r["v2"], r["v3"]), r["size"], r["shape"], r["n"]) for r in counted])
     rows = rows.withColumn("added", F.filter("loose", lambda s: _chance(s, model) >= threshold)).withColumn("all", F.concat("base", "added"))
     counts = [how_many("base", "rank", k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     mean = F.aggregate(F.transform("all", lambda s: _chance(s, model)), F.lit(0.0), lambda a, x: a + x) / F.when(F.size("all") > 0, F.size("all"))

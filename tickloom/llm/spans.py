@@ -40,6 +40,24 @@ def located(text: Column, found: Column, pattern: str) -> Column:
     return F.when(F.size(found) > CHUNK, many).when(F.size(found) > 0, inside(zipped, F.lit(0))).otherwise(F.array().cast(SPAN))
 
 
+def surroundings(text: Column, found: Column, pattern: str, size: int) -> Column:
+    """``before, after`` of each match: the last ``size`` code points before it, back to the start of the match before at most, and the one behind it.
+
+    They are taken from the pieces between the matches, so a text with many matches is not gone through for each.
+    """
+    pieces = F.split(text, pattern, -1)
+    n = F.size(found)
+    ending = lambda c: F.right(c, F.lit(size))
+    last = F.concat(F.array(F.lit("")), F.slice(found, F.lit(1), n - 1))
+    zipped = F.arrays_zip(last.alias("last"), F.slice(pieces, F.lit(1), n).alias("gap"), F.slice(pieces, F.lit(2), n).alias("gap2"), F.slice(found, F.lit(2), n).alias("next"))
+
+    def one(x: Column) -> Column:
+        before = ending(F.concat(ending(x["last"]), ending(x["gap"])))
+        return F.struct(before.alias("before"), F.left(F.concat(x["gap2"], F.coalesce(x["next"], F.lit(""))), F.lit(1)).alias("after"))
+
+    return F.when(n > 0, F.transform(zipped, one)).otherwise(F.array().cast("array<struct<before:string,after:string>>"))
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -68,6 +86,24 @@ def overlaps(one: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < one["end"]) & (one["start"] < o["end"]))
 
 
+def apart(spans: Column, others: Column) -> Column:
+    """The ``spans``, in order of their starts and not overlapping, that overlap none of ``others``.
+
+    Many are taken in chunks, each with the ``others`` within its bounds, so that not all meet all.
+    """
+
+    def alone(chunk: Column, near: Column) -> Column:
+        return F.filter(chunk, lambda s: ~overlaps(s, near))
+
+    def within(chunk: Column) -> Column:
+        lo, hi = F.element_at(chunk, 1)["start"], F.element_at(chunk, -1)["end"]
+        return F.filter(others, lambda o: (o["start"] < hi) & (lo < o["end"]))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / CHUNK).cast("int")), lambda c: F.slice(spans, c * CHUNK + 1, F.lit(CHUNK)))
+    many = F.flatten(F.transform(F.transform(chunks, lambda chunk: F.struct(chunk.alias("chunk"), within(chunk).alias("near"))), lambda z: alone(z["chunk"], z["near"])))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).when(F.size(spans) > CHUNK, many).otherwise(alone(spans, others))
+
+
 def how_many(spans: Column | str, field: str, value: object) -> Column:
     """Number of spans whose ``field`` is ``value``."""
     return F.size(F.filter(spans, lambda s: s[field] == value)).cast("long")
