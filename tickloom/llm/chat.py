@@ -36,6 +36,11 @@ class ChatTemplate:
         """The characters that begin markers."""
         return "".join(sorted({m.lstrip()[0] for m in self.control}))
 
+    @property
+    def moves(self) -> list[str]:
+        """Transitions of the machine, as ``from>to``; it starts from the empty role."""
+        return [f">{b}" for b in self.start] + [f"{a}>{b}" for a, to in self.follow.items() for b in to]
+
     def __post_init__(self) -> None:
         if "\\" in "".join(self.control) or not all(m.strip() for m in self.control):
             raise ValueError("a marker needs a printing character and no backslash")
@@ -84,11 +89,10 @@ def format_conversations(
     template = template or ChatTemplate()
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grouped = turns.select(F.col(id_col).alias("conv_id"), turn.alias("one")).groupBy("conv_id").agg(F.array_sort(F.collect_list("one")).alias("turns"))
-    moves = [f">{b}" for b in template.start] + [f"{a}>{b}" for a, to in template.follow.items() for b in to]
     first = F.struct(F.lit("").alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad"))
 
     def move(acc: Column, x: Column) -> Column:
-        ok = F.concat(acc["state"], F.lit(">"), x["role"]).isin(*moves)
+        ok = F.concat(acc["state"], F.lit(">"), x["role"]).isin(*template.moves)
         return F.struct(x["role"].alias("state"), (acc["at"] + 1).alias("at"), F.when(acc["bad"].isNull() & ~ok, acc["at"]).otherwise(acc["bad"]).alias("bad"))
 
     def done(acc: Column) -> Column:
@@ -99,6 +103,11 @@ def format_conversations(
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.col("bad_turn").isNull().alias("valid"), "bad_turn", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
 
 
+def learned(segments: Column) -> Column:
+    """All text under the loss flags of the segments, unescaped, in order."""
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+
+
 def read_back(formatted: Column, template: ChatTemplate | None = None) -> Column:
     """The turns of a formatted conversation, unescaped: array<struct<role, text, loss>>."""
     template = template or ChatTemplate()

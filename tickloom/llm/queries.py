@@ -31,7 +31,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = secrets.scan(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
     spans = F.array_join(F.transform(F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), spans.alias("spans"), "n_live", "n_shared", "n_copied")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), spans.alias("spans"), *(f"n_{v}" for v in secrets.VERDICTS), "most_repositories")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     out = chat.format_conversations(turns.unionByName(extra)).withColumn("back", chat.read_back(F.col("formatted")))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("back", lambda t: t["loss"]), lambda t: t["text"]), "")
-    return out.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    learned = chat.learned(F.col("segments"))
+    agrees = learned == F.array_join(F.transform(F.filter("back", lambda t: t["loss"]), lambda t: t["text"]), "")
+    out = out.withColumns({"learned": learned, "mask_agrees": agrees})
+    return out.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "bad_turn", "mask_agrees")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +95,15 @@ def _chat_sql() -> str:
     marks = " ".join(f"WHEN role = '{r}' THEN {len(b) + len(a)}" for r, (b, a) in _TEMPLATE.markers.items())
     other = f"{sum(len(m) for m in _TEMPLATE.other)} + {escaped('role')}"
     loss = "FILTER (role IN (" + ", ".join(f"'{r}'" for r in _TEMPLATE.loss) + "))"
+    moves = ", ".join(f"'{m}'" for m in _TEMPLATE.moves)
+    ends = ", ".join(f"'{r}'" for r in _TEMPLATE.end)
     return f"""WITH probe AS (SELECT '</s>[INST] ok [/INST]' AS x), t AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', x FROM probe UNION ALL SELECT -1, 1, 'assistant', x FROM probe),
 g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said, coalesce(string_agg(text, '' ORDER BY turn, role, text) {loss}, '') AS learned,
-  sum({escaped('text')} + CASE {marks} ELSE {other} END)::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM g"""
+  sum({escaped('text')} + CASE {marks} ELSE {other} END)::BIGINT AS formatted_chars FROM t GROUP BY conv_id),
+m AS (SELECT conv_id, role, row_number() OVER w - 1 AS at, coalesce(lag(role) OVER w, '') || '>' || role AS move, count(*) OVER (PARTITION BY conv_id) AS n FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+b AS (SELECT conv_id, coalesce(min(CASE WHEN move NOT IN ({moves}) THEN at END), max(CASE WHEN at = n - 1 AND role NOT IN ({ends}) THEN n END))::INTEGER AS bad_turn FROM m GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars, bad_turn IS NULL AS valid, bad_turn, true AS mask_agrees FROM g JOIN b USING (conv_id)"""
 
 
 #: Op 5 by comparing all sets that share a shingle.
