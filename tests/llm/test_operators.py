@@ -146,9 +146,9 @@ def test_fingerprints(spark, small, documents):
         q = len(t) // 4
         edited = t[: len(t) - q] + after[:q]
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == sha(edited)
-        a, b = parts(t), parts(edited)
-        if len(a) + len(b) <= fingerprint.SAMPLE and a | b:  # small sets are compared whole
-            assert abs(got[i]["near_edited"] - (1 - len(a ^ b) / (len(a) + len(b)))) < 1e-9
+        for name, b in (("near_edited", parts(edited)), ("near_next", parts(after))):
+            a = parts(t)
+            assert abs(got[i][name] - (1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0)) < 1e-9
     by_text = {}
     for i, t in zip(ids, texts, strict=True):
         assert by_text.setdefault(t, got[i]["fingerprint"]) == got[i]["fingerprint"]

@@ -35,7 +35,7 @@ def test_published_sketch_has_all_paragraphs(spark):
     sets, got = versioned(spark)
     for i, (a, b, _) in enumerate(sets):
         for paras, text in ((a, got[i]["fingerprint"]), (b, got[i]["edited_fingerprint"])):
-            n, total, body = text.split("|")
+            n, total, _, body = text.split("|")
             cells = [[tuple(int(x, 16) for x in c.split(":")) for c in g.split(";")] for g in body.split("/")]
             width = fingerprint.WIDTHS[0]
             assert int(n, 16) == len(paras)

@@ -13,14 +13,13 @@ they are dealt to groups by bits of the hash, about ``GROUP`` of them each, and
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Paragraphs up to which a pair is compared whole: without bound, nothing is sampled.
-SAMPLE = sys.maxsize
+from .common import stash
+
 #: Paragraphs a group has at most on average, bits of the hash that choose the group, and the cells a table of each try.
 GROUP = 8
 GROUP_BITS = 20
@@ -35,9 +34,9 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Distinct hashes of the paragraphs of a text; a null text has none."""
+    """Hashes of the paragraphs of a text, in order; a null text has none."""
     pieces = F.filter(F.split(F.coalesce(text, F.lit("")), r"[.\n\r]+"), lambda p: F.length(F.trim(p)) > 0)
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    return F.transform(pieces, lambda p: F.xxhash64(p))
 
 
 def level(count: Column) -> Column:
@@ -177,32 +176,30 @@ def differing_of(cells_one: Column, cells_other: Column, one: Column, other: Col
     return F.flatten(F.zip_with(cells, keys, lambda c, g: _recover(c, g["a"], g["b"])))
 
 
-def serialised(keys: Column, cells: Column) -> Column:
-    """The fingerprint as text: number of paragraphs, exclusive-or of all hashes, and the sketches of all groups.
+def serialised(order: Column, keys: Column, cells: Column) -> Column:
+    """The fingerprint as text: number of paragraphs, exclusive-or of all hashes, a hash of all paragraphs in order, and the sketches of all groups.
 
     Groups are apart by ``/``, cells by ``;``, a cell's count, hashes and checks by ``:``, all in hexadecimal.
     """
     show = lambda c: F.concat(F.hex(c["c"]), F.lit(":"), F.hex(c["k"]), F.lit(":"), F.hex(c["h"]))
     body = F.array_join(F.transform(cells, lambda g: F.array_join(F.transform(g, show), ";")), "/")
-    return F.concat_ws("|", F.hex(F.size(keys)), F.hex(F.aggregate(keys, F.expr("0L"), lambda a, k: a.bitwiseXOR(k))), body)
+    return F.concat_ws("|", F.hex(F.size(keys)), F.hex(F.aggregate(keys, F.expr("0L"), lambda a, k: a.bitwiseXOR(k))), F.hex(F.xxhash64(order)), body)
+
 
 def successors(ids: DataFrame) -> DataFrame:
     """``doc_id, next_id`` for every distinct id, in ascending order; after the last comes the first.
 
-    Ids are cut into ranges of about the square root of their number; within a range a window gives
-    the next id, and the first ids of the ranges, as few as the ranges, give it across their ends.
+    Ids are dealt to ranges of like numbers of ids, whatever their values; within a range a window
+    gives the next id, and the first ids of the ranges, as few as the ranges, give it across their ends.
     """
     ids = ids.select("doc_id").where("doc_id is not null").distinct()
-    ends = ids.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    if not ends["n"]:
-        return ids.withColumn("next_id", F.lit(None).cast("long"))
-    blocks = max(1, min(int(ends["n"] ** 0.5), 1 << 20))
-    span = max(1, -(-(ends["hi"] - ends["lo"] + 1) // blocks))
-    ids = ids.withColumn("block", F.floor((F.col("doc_id").cast("decimal(20,0)") - ends["lo"]) / F.lit(span)).cast("long"))
-    w = F.lead("doc_id").over(Window.partitionBy("block").orderBy("doc_id"))
+    # written, so that the ranges are the same for both readers
+    ids = stash(ids.repartitionByRange("doc_id").withColumn("block", F.spark_partition_id()), "ids")
+    within = F.lead("doc_id").over(Window.partitionBy("block").orderBy("doc_id"))
     firsts = ids.groupBy("block").agg(F.min("doc_id").alias("first"))
-    firsts = firsts.select("block", F.coalesce(F.lead("first").over(Window.orderBy("block")), F.lit(ends["lo"])).alias("across"))
-    return ids.withColumn("within", w).join(firsts, "block").select("doc_id", F.coalesce("within", "across").alias("next_id"))
+    every = Window.orderBy("block")  # a row a range
+    firsts = firsts.select("block", F.coalesce(F.lead("first").over(every), F.min("first").over(Window.partitionBy())).alias("across"))
+    return ids.withColumn("within", within).join(firsts, "block").select("doc_id", F.coalesce("within", "across").alias("next_id"))
 
 
 def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +207,7 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edit replaces the last quarter (rounded down) of the code points by as many from the
     beginning of the next document. Returns ``doc_id, version`` (a hash of the text), ``n_chars, edited`` and for the three texts the
-    hashes of all paragraphs, ``keys, edited_keys, next_keys``.
+    hashes of all paragraphs: in order ``order, edited_order``, each once ``keys, edited_keys, next_keys``.
 
     Null texts are empty. Rows that share an id each get a result; as a next document such an id
     stands with one of its texts, the one of the smallest hash. A row without id has no next
@@ -225,8 +222,8 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     needed = needed.join(heads.select("doc_id", "head"), "doc_id")
     # texts are dealt by id once: both joins with them have the same columns and keys and so share the exchange
     given = rows.hint("merge").join(needed, F.col("key_") == F.col("doc_id")).where(F.col("version").bitwiseXOR(F.col("head")) == 0)
-    keys = paragraphs(F.col("text"))
-    given = given.select("before", F.substring("text", F.lit(1), F.col("need")).alias("beginning"), keys.alias("next_keys"))
+    order = paragraphs(F.col("text"))
+    given = given.select("before", F.substring("text", F.lit(1), F.col("need")).alias("beginning"), F.array_distinct(order).alias("next_keys"))
     # repeated rows give the same values
     parts = ("beginning", "next_keys")
     given = given.groupBy("before").agg(*(F.first(c).alias(c) for c in parts))
@@ -235,16 +232,20 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.coalesce(F.substring("beginning", F.lit(1), quarter), F.lit("")))
-    out = out.select(F.col("key_").alias("doc_id"), "version", n.cast("long").alias("n_chars"), keys.alias("keys"), edited.alias("edited"), "next_keys")
+    out = out.select(F.col("key_").alias("doc_id"), "version", n.cast("long").alias("n_chars"), order.alias("order"), edited.alias("edited"), "next_keys").withColumn("edited_order", paragraphs(F.col("edited")))
     none = F.array().cast("array<bigint>")
-    return out.select("doc_id", "version", "n_chars", "keys", "edited", paragraphs(F.col("edited")).alias("edited_keys"), F.coalesce("next_keys", none).alias("next_keys"))
+    return out.select("doc_id", "version", "n_chars", "order", F.array_distinct("order").alias("keys"), "edited", "edited_order", F.array_distinct("edited_order").alias("edited_keys"), F.coalesce("next_keys", none).alias("next_keys"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, version, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next`` for every row; see ``compare_with_edit``."""
+    """``doc_id, version, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next`` for every row; see ``compare_with_edit``.
+
+    Both likenesses are peeled from the sketches in the fingerprints: the text's less the edited text's, and less the
+    next document's. The order of paragraphs is in the fingerprint and does not count for likeness.
+    """
     out = compare_with_edit(docs, id_col, text_col)
-    out = out.withColumns({"cells": sketches(F.col("keys")), "edited_cells": sketches(F.col("edited_keys"))})
-    keys, edited, after = F.col("keys"), F.col("edited_keys"), F.col("next_keys")
-    near_edited = likeness(keys, edited, differing_of(F.col("cells"), F.col("edited_cells"), keys, edited))
-    near_next = likeness(keys, after, differing(keys, after))
-    return out.select("doc_id", "version", "n_chars", "edited", serialised(keys, F.col("cells")).alias("fingerprint"), serialised(edited, F.col("edited_cells")).alias("edited_fingerprint"), near_edited.alias("near_edited"), near_next.alias("near_next"))
+    kinds = ("", "edited_", "next_")
+    out = out.withColumns({f"{k}cells": sketches(F.col(f"{k}keys")) for k in kinds})
+    near = [likeness(F.col("keys"), F.col(f"{k}keys"), differing_of(F.col("cells"), F.col(f"{k}cells"), F.col("keys"), F.col(f"{k}keys"))).alias(f"near_{k[:-1]}") for k in kinds[1:]]
+    prints = [serialised(F.col(f"{k}order"), F.col(f"{k}keys"), F.col(f"{k}cells")).alias(f"{k}fingerprint") for k in kinds[:2]]
+    return out.select("doc_id", "version", "n_chars", "edited", *prints, *near)
