@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (as in tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one is set if all executors are in this process; else that is an error."""
     sc = spark.sparkContext
     where = sc.getCheckpointDir()
     if where is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            where = tempfile.mkdtemp(prefix="tickloom-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
@@ -47,12 +52,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node of an edge list: root is the smallest node that it reaches.
 
     Alternates large-star and small-star steps, so the number of rounds is logarithmic in the
-    longest path; each round is a partial aggregate and a join, so a node with very many
-    neighbours is never gathered in one task. Edges with a null end and loops are left out.
+    longest path. Least neighbours are partial aggregates. They are joined back by another key than
+    the aggregate's, so that both sides of the join are dealt anew and the adaptive planner can
+    split a node with very many neighbours. Edges with a null end and loops are left out.
     """
     pair = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v")
     now = stash(pair.distinct(), "edges")
     last = None
+
+    def with_least(rows: DataFrame, low: DataFrame) -> DataFrame:
+        return rows.join(low.select(F.bitwise_not("u").alias("key"), "m"), F.bitwise_not(F.col("u")) == F.col("key"))
+
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last:
@@ -60,9 +70,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = with_least(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = with_least(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop_stash(now)
         now = new

@@ -7,9 +7,11 @@ the ring by 0, 1, 2, ..., gives each coordinate its minimum. Bands of coordinate
 Within a bucket not all pairs are compared. Documents with equal sets are one class; each bucket
 has one hub, its member that meets the most other documents over all its buckets; members are
 verified against their hubs on full sets; links give components. What a bucket leaves open, pairs
-of different components, is settled exactly: the members of such buckets are grouped by the
-components of the candidate graph, and every pair of different components in a group is compared in blocks of
-bounded size. Only links leave those blocks.
+of different components, is settled exactly. The members of such buckets are grouped by the
+components of the candidate graph. Two sets of a group that are alike enough share one of the rarest
+runs of each, at a place that their sizes bound, so a document that shares no rare run with another
+component is done with. Runs that few have give pairs, which are verified; the members with a rare
+run that many share are compared in blocks of bounded size, which only links leave.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .textnum import U64, mix64, shingle_sets, slices
 
 RING = 1 << 17
 BLOCK = 256
+#: Members that may share a rare run for it to give pairs.
+FEW = 64
 
 
 def band_count(share: float, rows: int, miss: float = 1e-6) -> int:
@@ -101,6 +105,21 @@ def _verify(width: int, num: int, den: int):
     return run
 
 
+def _tokens(width: int):
+    """Sets as arrays of hashes, in which the group is mixed in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(3)):
+                part = batch.slice(lo, hi - lo)
+                group = mix64(part.column(2).to_numpy().view(U64))
+                sets = [mix64(x ^ g) for x, g in zip(shingle_sets(part.column(3), width), group, strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "root", "tokens"])
+
+    return run
+
+
 def _compare(width: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         """Links between members of different components: of the first half's rows with the second's."""
@@ -203,6 +222,12 @@ def _settle(open_nodes: DataFrame, texts: DataFrame, hubs: DataFrame, width: int
     """Links between different components that share an open bucket."""
     group = stash(components(open_nodes.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "groups")
     nodes = open_nodes.select("node", "root").distinct().join(group.withColumnRenamed("root", "grp"), "node")
+    nodes = stash(nodes, "nodes")
+    texts = texts.withColumnRenamed("id", "node")
+    pairs, crowded = _rare(nodes.join(texts, "node").select("node", "root", "grp", "text"), width, num, den)
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, num, den), "a long, b long")
+    nodes = nodes.join(crowded, "node")
     sized = nodes.groupBy("grp", "root").agg(F.count("*").alias("k"))
     main = sized.groupBy("grp").agg(F.max(F.struct("k", "root")).getField("root").alias("main"), F.sum("k").alias("size"), F.max("k").alias("most"))
     nodes = nodes.join(main, "grp").select("node", "root", "grp", (F.col("root") == F.col("main")).alias("in_main"), "size", "most")
@@ -210,7 +235,7 @@ def _settle(open_nodes: DataFrame, texts: DataFrame, hubs: DataFrame, width: int
     cut = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
     nodes = nodes.withColumn("rest", cut(F.col("size") - F.col("most"))).withColumn("bulk", cut(F.col("most")))
     at = F.when(F.col("in_main"), F.pmod(F.hash("node"), "bulk")).otherwise(F.pmod(F.hash("node"), "rest"))
-    nodes = nodes.withColumn("at", at).join(texts.withColumnRenamed("id", "node"), "node")
+    nodes = nodes.withColumn("at", at).join(texts, "node")
     row = lambda x, y, h: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(h).alias("half"))
     of_main = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda r: row(r, F.col("rest") + F.col("at"), 1))
     own = F.transform(F.sequence(F.lit(0), F.col("rest") + F.col("bulk") - 1), lambda y: row(F.col("at"), y, 0))
@@ -219,4 +244,29 @@ def _settle(open_nodes: DataFrame, texts: DataFrame, hubs: DataFrame, width: int
     own, other = (F.filter(c, lambda s: s.x <= s.y) for c in (own, other))
     dealt = nodes.withColumn("to", F.explode(F.when(F.col("in_main"), of_main).otherwise(F.concat(own, other))))
     dealt = dealt.select("grp", "to.x", "to.y", "to.half", "node", "root", "text")
-    return stash(dealt.groupBy("grp", "x", "y").applyInArrow(_compare(width, num, den), "a long, b long"), "settled")
+    return stash(links.unionByName(dealt.groupBy("grp", "x", "y").applyInArrow(_compare(width, num, den), "a long, b long")), "settled")
+
+
+def _rare(rows: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` of different components that share a rare run which few have, and the members (``node``) with one that many have.
+
+    Runs are ordered by how many of the group have them. Sets of sizes n <= m that are alike enough have
+    c = num * (n + m) / (den + num) runs in common or more; the first of those, in that order, is
+    then at a place before n - c + 1 in the one and before m - c + 1 in the other.
+    """
+    sets = rows.mapInArrow(_tokens(width), "node long, root long, tokens array<long>")
+    each = stash(sets.select("node", "root", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "runs")
+    # counts are joined back by another key than their own, so that a very common run can be split
+    count = each.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select(F.bitwise_not("token").alias("key"), "k")
+    ordered = each.join(count, F.bitwise_not(F.col("token")) == F.col("key"), "left").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "token"))).alias("runs"))
+    head = ordered.select("node", "root", "n", F.posexplode(F.slice("runs", F.lit(1), (F.col("n") - F.floor((F.col("n") * num + den - 1) / den) + 1).cast("int"))).alias("at", "run"))
+    head = stash(head.where("run.k > 1").select("node", "root", "n", "at", F.col("run.token").alias("token")), "rare")
+    shared = head.groupBy("token").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.bitwise_not("token").alias("key"), "k")
+    head = stash(head.join(shared, F.bitwise_not(F.col("token")) == F.col("key")).select("node", "root", "n", "at", "token", "k"), "shared")
+    few, many = head.where(F.col("k") <= FEW), head.where(F.col("k") > FEW)
+    a, b = (few.select("token", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "n", "at"))) for c in "ab")
+    common = F.floor((num * (F.col("n_a") + F.col("n_b")) + den + num - 1) / (den + num))
+    smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))
+    near = (den * F.col("n_a") >= num * F.col("n_b")) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= common)
+    pairs = a.join(b, "token").where((F.col("root_a") != F.col("root_b")) & smaller & near)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), many.select("node").distinct()
