@@ -8,7 +8,10 @@ Lines within the threshold share one of ``max_edits + 1`` segments of the shorte
 that the lengths bound. Every line so goes into an index under its segments, and probes it with its
 own substrings at those places, for each length that its partner can have. The counts of a candidate
 pair's characters must also agree but for two an edit; a signature has them modulo four. What is left is verified
-on the lines themselves with a bit-parallel edit distance in a band along the diagonal.
+on the lines themselves with a bit-parallel edit distance in a band along the diagonal. Keys that
+many lines have in the index, as lines of one form have, give no pairs: their lines are compared in
+blocks of bounded size, which only links leave, by the counts of characters and of neighbouring
+characters, and then in the same way; lines that are linked already are not compared again.
 
 Keys and lines are hashes; the text of a line travels only if the line is in a candidate pair.
 """
@@ -31,6 +34,11 @@ TABLE_BITS = 23
 SEEN = 1 << 18
 #: Counters in a signature, of two bits each; characters share them by their last five bits, so that a-z have their own.
 LANES = 32
+#: Lines that an index key may have to give pairs, and lines in a block of those with more.
+FEW = 64
+BLOCK = 512
+#: Keys up to which their table (8 bytes each) is broadcast.
+MAX_BROADCAST = 100_000
 _BASE = 0x2545F4914F6CDD1D
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -66,13 +74,17 @@ class Lines:
         self.id = mix64(self.hash(self.start, self.end) ^ self.length.astype(U64) * U64(0x9E3779B97F4A7C15))
         self.signature = self._counts()
 
-    def _counts(self) -> np.ndarray:
-        """Signature of each line: its characters' counts modulo four, low bits in the low half."""
-        if not len(self.start):
-            return np.zeros(0, dtype=U64)
-        line = np.repeat(np.arange(len(self.start)), self.length)
-        at = np.arange(len(line)) + np.repeat(self.start - np.concatenate([[0], np.cumsum(self.length)[:-1]]), self.length)
-        counts = np.bincount(line * LANES + (self.points[at] & (LANES - 1)), minlength=len(self.start) * LANES).reshape(-1, LANES)
+    def _counts(self, pairs: bool = False) -> np.ndarray:
+        """Signature of each line: its characters' counts modulo four, low bits in the low half; with ``pairs``, those of neighbouring characters."""
+        size = self.length - pairs
+        if not size.sum():
+            return np.zeros(len(size), dtype=U64)
+        line = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(line)) + np.repeat(self.start - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        lane = self.points[at] & (LANES - 1)
+        if pairs:
+            lane = (mix64(self.points[at].astype(U64) << U64(32) | self.points[at + 1].astype(U64)) >> U64(59)).astype(np.int64)
+        counts = np.bincount(line * LANES + lane, minlength=len(size) * LANES).reshape(-1, LANES)
         low, high = (((counts >> bit & 1).astype(U64) << np.arange(LANES, dtype=U64)).sum(axis=1, dtype=U64) for bit in (0, 1))
         return low | high << U64(LANES)
 
@@ -241,6 +253,52 @@ def _verify(max_edits: int):
     return run
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least difference of the counts behind two arrays of signatures: one where low bits differ, two where only high ones do."""
+    differ = x ^ y
+    low, high = differ & U64((1 << LANES) - 1), differ >> U64(LANES)
+    return np.bitwise_count(low).astype(np.int64) + 2 * np.bitwise_count(high & ~low)
+
+
+def _compare(max_edits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links of the lines of the first half with those of the second, or among themselves where there is none."""
+        table = table.combine_chunks()
+        line, half = (table.column(c).to_numpy() for c in ("line", "half"))
+        texts = table.column("text").to_pylist()
+        lines = Lines(pa.array(texts, pa.string()), 1)
+        single, double, length = lines.signature, lines._counts(pairs=True), lines.length
+        own, others = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
+        alone = not len(others)
+        others = own if alone else others
+        joined: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while joined.get(x, x) != x:
+                joined[x] = joined.get(joined[x], joined[x])
+                x = joined[x]
+            return x
+
+        links = []
+        for k in range(0, len(own), 64):
+            part = own[k : k + 64]
+            near = _apart(single[part][:, None], single[others][None, :]) <= 2 * max_edits
+            near &= np.abs(length[part][:, None] - length[others][None, :]) <= max_edits
+            rows, cols = np.nonzero(near)
+            x, y = part[rows], others[cols]
+            keep = _apart(double[x], double[y]) <= 4 * max_edits  # an edit makes and unmakes two neighbours at most
+            if alone:
+                keep &= x < y
+            for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                a, b = top(i), top(j)
+                if a != b and line[i] != line[j] and within(texts[i], texts[j], max_edits):
+                    joined[a] = b
+                    links.append((int(line[i]), int(line[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
 def read_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, least: int, floor: int) -> tuple[DataFrame, DataFrame]:
     """Documents as ``id, text``, and their lines with places, signatures and keys; lines below ``least`` have no keys."""
     if least <= max_edits:
@@ -250,22 +308,47 @@ def read_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, leas
 
 
 def line_links(base: DataFrame, lines: DataFrame, max_edits: int, least: int) -> DataFrame:
-    """Pairs ``a, b`` of different lines (as hashes) at most ``max_edits`` apart."""
+    """Pairs ``a, b`` of different lines (as hashes) at most ``max_edits`` apart, as many as their components need."""
     index, probe = (lines.select(F.explode(keys).alias("key"), F.col("signature").alias(f"signature_{c}"), F.col("line").alias(c)) for keys, c in (("segments", "a"), ("probes", "b")))
+    # tasks that have seen a line forget it, and it comes again: lines of a key are counted with repeats, which only makes more keys crowded
+    crowded = stash(lines.select(F.explode("segments").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("key"), "crowded")
+    n_crowded = crowded.count()
     differ = F.col("signature_a").bitwiseXOR(F.col("signature_b"))
     low, high = differ.bitwiseAND((1 << LANES) - 1), F.shiftrightunsigned(differ, LANES)
     # counts differ by one modulo four where low bits differ, by two where only high ones do
     near = F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low))) <= 2 * max_edits
-    pairs = index.hint("merge").join(probe, "key").where((F.col("a") != F.col("b")) & near)
+    hot = F.broadcast(crowded) if n_crowded <= MAX_BROADCAST else crowded.hint("merge")
+    pairs = (index.join(hot, "key", "left_anti") if n_crowded else index).hint("merge").join(probe, "key").where((F.col("a") != F.col("b")) & near)
     pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    lines = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
+    wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line")))
+    if n_crowded:
+        members = index.select("key", F.col("a").alias("line")).unionByName(probe.select("key", F.col("b").alias("line")))
+        members = stash(members.join(hot, "key").distinct(), "members")
+        wanted = wanted.unionByName(members.select("line"))
+    wanted = wanted.distinct()
     slot = F.shiftrightunsigned("line", 64 - TABLE_BITS)
-    words = lines.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()  # bounded by the table
+    words = wanted.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()  # bounded by the table
     table = np.stack([words["w"].to_numpy(dtype=np.int64).view(U64), words["v"].to_numpy(dtype=np.int64).view(U64)], axis=1)
-    texts = base.mapInArrow(_emit_texts(least, table), "line long, text string").join(lines, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
+    texts = base.mapInArrow(_emit_texts(least, table), "line long, text string").join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
     texts = stash(texts, "texts")
     left, right = (texts.select(F.col("line").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return stash(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(max_edits), "a long, b long"), "links")
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(max_edits), "a long, b long")
+    if n_crowded:
+        links = links.unionByName(_crowded_links(members, texts, max_edits))
+    return stash(links, "links")
+
+
+def _crowded_links(members: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
+    """Links among the lines that share a crowded key, in pairs of blocks."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    sizes = sizes.select(F.bitwise_not("key").alias("turned"), "blocks")  # joined by another key than the counts', so that a crowded one can be split
+    rows = members.join(sizes, F.bitwise_not(F.col("key")) == F.col("turned")).withColumn("at", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
+    rows = rows.join(texts, "line")
+    to = lambda x, y, half: F.struct(x.alias("x"), y.alias("y"), F.lit(half).alias("half"))
+    own = F.transform(F.sequence(F.col("at"), F.col("blocks") - 1), lambda y: to(F.col("at"), y, 0))
+    other = F.when(F.col("at") > 0, F.transform(F.sequence(F.lit(0), F.col("at") - 1), lambda x: to(x, F.col("at"), 1))).otherwise(F.array().cast("array<struct<x:int,y:int,half:int>>"))
+    dealt = rows.withColumn("to", F.explode(F.concat(own, other))).select("key", "to.x", "to.y", "to.half", "line", "text")
+    return dealt.groupBy("key", "x", "y").applyInArrow(_compare(max_edits), "a long, b long")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2, least: int = 20, short: bool = False) -> DataFrame:
@@ -284,15 +367,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = places.groupBy("line").agg(F.min(F.struct("doc", "position")).alias("first"), F.count("*").alias("n"))
     same = same.join(found, F.col("line") == F.col("node"), "left").select("line", F.coalesce("root", "line").alias("root"), "first", "n")
     group = same.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).where("total > 1")
-    later = same.join(group, "root").select("line", "keep", F.col("first").alias("own"))
-    gone = places.join(later, "line").where("struct(doc, position) <> keep")
+    # joined by another key than that of the counts, so that a very common line can be split
+    later = same.join(group, "root").select(F.bitwise_not("line").alias("key"), "keep", F.col("first").alias("own"))
+    gone = places.join(later, F.bitwise_not(F.col("line")) == F.col("key")).where("struct(doc, position) <> keep")
     gone = gone.select("doc", "position", (F.struct("doc", "position") == F.col("own")).alias("near")).distinct()
     listed = gone.groupBy("doc").agg(F.collect_list("position").alias("removed"), F.count_if("near").alias("near"))
-    names = fresh(docs, "n_lines", "n_removed", "n_near", "key_", "doc_", "removed_", "near_")
+    names = fresh(docs, "n_lines", "n_removed", "n_near", "key_", "doc_", "removed_", "near_", "parts_")
     own = listed.select(F.col("doc").alias(names[4]), F.col("removed").alias(names[5]), F.col("near").alias(names[6]))
     out = docs.withColumn(names[3], F.col(id_col).cast("long")).join(own, F.col(names[3]) == F.col(names[4]), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col(names[5]), i))
+    out = out.withColumn(names[7], F.split(F.col(text_col), "\n", -1))
+    parts = F.col(names[7])
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(names[5])), lambda i: F.get(F.col(names[7]), i))
     text = F.when(F.col(names[5]).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long")
     counts = [n_lines.alias(names[0]), F.coalesce(F.size(names[5]), F.lit(0)).cast("long").alias(names[1]), F.coalesce(names[6], F.lit(0)).cast("long").alias(names[2])]
