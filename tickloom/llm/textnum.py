@@ -35,13 +35,15 @@ def _lanes(n: int, seed: int) -> np.ndarray:
 
 _BASE = 0x5851F42D4C957F2D  # odd, 5 modulo 8
 _BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Bytes whose prefix sums are held at once.
+CHUNK_BITS = 17
 
 
 @cache
-def _powers(bits: int, base: int) -> np.ndarray:
-    """base**i for i < 2**bits, by doubling."""
+def _powers(base: int) -> np.ndarray:
+    """base**i for i < 2**CHUNK_BITS, by doubling."""
     out = np.ones(1, dtype=U64)
-    for k in range(bits):
+    for k in range(CHUNK_BITS):
         out = np.concatenate([out, out * U64(pow(base, 1 << k, 1 << 64))])
     return out
 
@@ -122,11 +124,46 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, alnum: bool = False) -> tup
 
 
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each byte span; ``lower`` folds A-Z."""
-    bits = max(1, int(len(raw)).bit_length())
-    prefix = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum(_byte_table(lower)[raw] * _powers(bits, _BASE)[: len(raw)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * _powers(bits, _BASE_INV)[starts] + (ends - starts).astype(U64))
+    """64-bit hash of each byte span; ``lower`` folds A-Z. Spans are in order and do not overlap.
+
+    Prefix sums are made for ``2**CHUNK_BITS`` bytes at a time, so memory does not follow the slice.
+    """
+    table, up, down, most = _byte_table(lower), _powers(_BASE), _powers(_BASE_INV), 1 << CHUNK_BITS
+    out = np.empty(len(starts), dtype=U64)
+    prefix = np.zeros(most + 1, dtype=U64)
+    k = 0
+    while k < len(starts):
+        lo = int(starts[k])
+        j = int(np.searchsorted(ends, lo + most, side="right"))
+        if j <= k:  # a span longer than a chunk
+            out[k] = U64(_long_sum(raw, lo, int(ends[k]), table))
+            k += 1
+            continue
+        part = raw[lo : int(ends[j - 1])]
+        np.cumsum(table[part] * up[: len(part)], out=prefix[1 : len(part) + 1])
+        first = starts[k:j] - lo
+        out[k:j] = (prefix[ends[k:j] - lo] - prefix[first]) * down[first]
+        k = j
+    return mix64(out + (ends - starts).astype(U64))
+
+
+def _long_sum(raw: np.ndarray, lo: int, hi: int, table: np.ndarray) -> int:
+    total = 0
+    for a in range(lo, hi, 1 << CHUNK_BITS):
+        part = raw[a : min(hi, a + (1 << CHUNK_BITS))]
+        total += int((table[part] * _powers(_BASE)[: len(part)]).sum(dtype=U64)) * pow(_BASE, a - lo, 1 << 64)
+    return total % (1 << 64)
+
+
+def hash_stems(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """Hash of the first bytes of each span, for each of the ascending ``sizes``; they differ from the spans' own by the size."""
+    table, up = _byte_table(True), _powers(_BASE)
+    total = np.zeros(len(starts), dtype=U64)
+    for j in range(max(sizes)):
+        inside = np.flatnonzero(starts + j < ends)
+        total[inside] += table[raw[starts[inside] + j]] * up[j]
+        if j + 1 in sizes:
+            yield mix64(mix64(total + np.minimum(ends - starts, j + 1).astype(U64)) + U64(j + 1))
 
 
 def words(column: pa.Array, alnum: bool = False) -> tuple[np.ndarray, np.ndarray]:

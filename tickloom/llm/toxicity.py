@@ -1,12 +1,14 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
 Texts are sets of words and of the beginnings of words, which catch inflected forms that no label
-has (64-bit hashes, so that no two features share a weight by chance of a small table). A logistic model is fitted on a bounded sample of labelled rows; its loss has a second term
-for pairs of labelled texts that differ only in an identity term: the squared change of the score.
-A pair comes from a text that names a group, with the term exchanged for another one and for none,
-and, as few texts name groups, from texts of both labels into which terms are put. Weights of
-identity terms so lose what the labels seem to say about groups, and neutral mentions score as the
-rest of their text does. An L1 term keeps the model to few words.
+has (64-bit hashes, so that no two features share a weight by chance of a small table). A logistic
+model is fitted on a bounded sample of labelled rows; its loss has a second term for pairs of
+labelled texts that differ only in identity terms: the squared change of the score, as log odds. A text that
+names groups is paired with itself after every such term has been exchanged for another one, or
+taken out; as few texts name groups, a share of the others is paired with themselves after a term
+has been put in. Pairs are made of words, before their features, so that a term's beginnings go
+with it and those of other words stay. Neutral mentions so score as the rest of their text does. An
+L1 term keeps the model to few words.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, stash
-from .textnum import U64, hash_spans, mix64, slices, utf8, word_spans
+from .textnum import U64, hash_spans, hash_stems, mix64, slices, utf8, word_spans
 
 #: Words that name groups of people; any other list can be given.
 IDENTITY_TERMS = (
@@ -43,30 +45,75 @@ class ToxicityModel:
 
 #: Bytes of the beginnings of words that are features, besides the whole word.
 STEMS = (4, 5, 6)
+#: Texts are worked on in slices of so many bytes.
+SLICE = 1 << 18
+#: One in so many of the texts without identity terms is paired too.
+PUT = 4
 
 
-def _features(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+def _kinds(column: pa.Array) -> tuple[Iterator[np.ndarray], np.ndarray]:
     """Feature hashes of every word of a slice, one array for whole words and each length of stem, and each row's first index."""
     raw, offsets = utf8(column)
     starts, ends, first = word_spans(raw, offsets, alnum=True)
-    out = [hash_spans(raw, starts, ends)]
-    out += [mix64(hash_spans(raw, starts, np.minimum(ends, starts + k)) + U64(k)) for k in STEMS]
-    return out, first
 
+    def each() -> Iterator[np.ndarray]:
+        yield hash_spans(raw, starts, ends)
+        yield from hash_stems(raw, starts, ends, STEMS)
 
-def _hashes(terms: Sequence[str]) -> np.ndarray:
-    """Features of the terms, their stems included, so that those learn nothing about groups either."""
-    return np.unique(np.concatenate(_features(pa.array([" ".join(terms)]))[0]))
+    return each(), first
 
 
-def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi in slices(batch.column(2)):
-            kinds, first = _features(batch.column(2).slice(lo, hi - lo))
-            sets = [np.unique(np.concatenate([x[a:b] for x in kinds])) for a, b in zip(first[:-1], first[1:], strict=True)]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, dtype=U64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["id", "y", "words"])
+def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A row of feature hashes for every word of a slice, and each text's first row."""
+    kinds, first = _kinds(column)
+    return np.stack(list(kinds), axis=1), first
+
+
+def _swapped(rows: np.ndarray, named: np.ndarray, terms: np.ndarray, turn: int) -> np.ndarray | None:
+    """The words of a text with its identity terms exchanged or taken out, or with one put in; None for no pair."""
+    if not len(terms) or not len(named) and turn % PUT:
+        return None
+    turn //= PUT
+    if not len(named):
+        return np.concatenate([rows, terms[turn % len(terms)][None, :]])
+    if turn % 3 == 0:
+        return np.delete(rows, named, axis=0)
+    out = rows.copy()
+    own = np.searchsorted(terms[:, 0], rows[named, 0])
+    out[named] = terms[(own + 1 + turn % max(1, len(terms) - 1)) % len(terms)]
+    return out
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+    flat = np.concatenate(sets) if sets else np.zeros(0, dtype=U64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+def _word_sets(terms: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=U64)
+        for batch in batches:
+            for lo, hi in slices(batch.column(2), SLICE):
+                words, first = _features(batch.column(2).slice(lo, hi - lo))
+                named = np.isin(words[:, 0], terms[:, 0])
+                turns = mix64(batch.column(0).slice(lo, hi - lo).to_numpy().view(U64)) >> U64(8)
+                sets, pairs = [], []
+                for turn, a, b in zip(turns.tolist(), first[:-1], first[1:], strict=True):
+                    other = _swapped(words[a:b], np.flatnonzero(named[a:b]), terms, turn)
+                    sets.append(np.unique(words[a:b]))
+                    pairs.append(none if other is None else np.unique(other))
+                paired = pa.array([len(x) > 0 for x in pairs])
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), _lists(sets), _lists(pairs), paired]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "y", "words", "swapped", "paired"])
+
+    return run
+
+
+def _terms(terms: Sequence[str]) -> np.ndarray:
+    """Features of the identity terms, a row each, by the hash of the whole word."""
+    out = _features(pa.array([" ".join(terms)]))[0]
+    return out[np.unique(out[:, 0], return_index=True)[1]]
 
 
 def train(
@@ -95,7 +142,8 @@ def train(
         known = known.where(place < int(min(1.0, 1.1 * share + 1e-6) * (1 << 30)))
     known = known.orderBy(place, "id").limit(max_rows)  # bounded, so it can be broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(_word_sets, "id long, y int, words array<long>")
+    terms = _terms(identity_terms)
+    rows = rows.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(_word_sets(terms), "id long, y int, words array<long>, swapped array<long>, paired boolean")
     rows = stash(rows, "words")
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     if not 0 < size["pos"] < size["n"]:
@@ -104,93 +152,109 @@ def train(
     share = size["pos"] / size["n"]
     seen = rows.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).where(F.col("n") >= min_rows)
     telling = seen.where(F.abs(F.col("pos") - F.col("n") * share) > 3 * F.sqrt(F.col("n") * share * (1 - share))).select("w").toArrow()
-    identity = _hashes(identity_terms)
-    keys = np.union1d(telling.column("w").to_numpy().view(U64), identity)
-    table = rows.mapInArrow(_only(keys), rows.schema).toArrow().sort_by([("id", "ascending")])
-    y = table.column("y").to_numpy().astype(np.float64)
-    lists = table.column("words").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy().view(U64)
-    return _fit(flat, sizes, y, identity, counterfactual, l1, rounds)
+    keys = np.union1d(telling.column("w").to_numpy().view(U64), np.unique(terms[:, 0]))
+    table = rows.mapInArrow(_only(keys), rows.schema).toArrow().combine_chunks().sort_by([("id", "ascending")])
+    own, pairs = _Sparse(table.column("words")), _Sparse(table.column("swapped"))
+    return _fit(own, pairs, np.flatnonzero(table.column("paired").to_numpy()), table.column("y").to_numpy().astype(np.float64), counterfactual, l1, rounds)
 
 
 def _only(keys: np.ndarray):
+    def kept(lists: pa.ListArray) -> pa.Array:
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
+        known = np.isin(flat, keys)
+        ends = np.concatenate([[0], np.cumsum(known)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[known].view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
-            known = np.isin(flat, keys)
-            ends = np.concatenate([[0], np.cumsum(known)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[known].view(np.int64)))], names=["id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept(batch.column(2)), kept(batch.column(3)), batch.column(4)], names=batch.schema.names)
 
     return run
 
 
-def _fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, identity: np.ndarray, counterfactual: float, l1: float, rounds: int) -> ToxicityModel:
-    keys, col = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(y)), sizes)
-    absent = np.setdiff1d(identity, keys)
-    keys = np.concatenate([keys, absent])
-    named = np.flatnonzero(np.isin(keys, identity))
-    n, d = len(y), len(keys)
-
-    # pairs: the score's change is the difference of the terms' weights (none: 0), whatever else the text holds
-    rng = np.random.default_rng(7)
-    of_named = np.isin(col, named)
-    own = col[of_named]
-    swaps = [(own, named[rng.integers(0, len(named), len(own))])] if len(named) else []
-    put = min(2000, 4 * n)
-    if len(named):
-        swaps += [(named[rng.integers(0, len(named), put)], named[rng.integers(0, len(named), put)])]
-    left = np.concatenate([x for x, _ in swaps]) if swaps else np.zeros(0, dtype=np.int64)
-    right = np.concatenate([x for _, x in swaps]) if swaps else np.zeros(0, dtype=np.int64)
-    m = max(1, len(left))
+class _Sparse:
+    """Sets of features, one a text, as entries (row, feature)."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        lists = column.combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        self.sizes = np.diff(lists.offsets.to_numpy())
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.flat = lists.flatten().to_numpy().view(U64)
+
+    def index(self, keys: np.ndarray) -> None:
+        self.col = np.searchsorted(keys, self.flat)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], minlength=len(self.sizes))
 
+    def back(self, r: np.ndarray, d: int) -> np.ndarray:
+        return np.bincount(self.col, r[self.row], minlength=d)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _fit(own: _Sparse, pairs: _Sparse, paired: np.ndarray, y: np.ndarray, counterfactual: float, l1: float, rounds: int) -> ToxicityModel:
+    """Accelerated proximal steps on: mean log loss + counterfactual * mean squared change of the paired texts' log odds + l1 * |weights|."""
+    keys = np.unique(np.concatenate([own.flat, pairs.flat]))
+    own.index(keys)
+    pairs.index(keys)
+    n, d, m = len(y), len(keys), max(1, len(paired))
+    # what a pair differs in: entries (text, feature) of one of the two, with a sign
+    mine, other = own.row * d + own.col, pairs.row * d + pairs.col
+    is_paired = np.zeros(n, dtype=bool)
+    is_paired[paired] = True
+    mine = mine[is_paired[own.row]]
+    entry = np.concatenate([np.setdiff1d(other, mine), np.setdiff1d(mine, other)])
+    sign = np.where(np.isin(entry, other), 1.0, -1.0)
+    row, col = entry // d, entry % d
     positive = y.mean()
-    w, b = np.zeros(d), float(np.log(positive / (1 - positive)))
-    per_col = np.bincount(col, minlength=d) / n
-    step = 1.0 / (0.25 * per_col + 1e-3)  # diagonal steps, damped below
-    m1, prev_w, t = w.copy(), w.copy(), 1.0
-    step *= 1.0 / max(8.0, np.percentile(sizes, 50) ** 0.5)
+    b = float(np.log(positive / (1 - positive)))
+    step = 1.0 / (0.25 * np.bincount(own.col, minlength=d) / n + 1e-3)  # diagonal steps, damped
+    step *= 1.0 / max(8.0, np.percentile(own.sizes, 50) ** 0.5)
+    most = max(1, int(np.bincount(row, minlength=1).max())) if len(row) else 1
+    step /= 1 + step * 2 * counterfactual * most * np.bincount(col, minlength=d) / m
+    m1, prev_w, t = np.zeros(d), np.zeros(d), 1.0
     for _ in range(rounds):
-        z = np.bincount(row, m1[col], minlength=n) + b
-        r = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        grad = np.bincount(col, r[row], minlength=d)
-        gap = m1[left] - m1[right]
-        pull = np.bincount(left, gap, minlength=d) - np.bincount(right, gap, minlength=d) + np.bincount(left, m1[left], minlength=d)
-        scale = step / (1 + step * counterfactual * 4 * np.bincount(np.concatenate([left, right]), minlength=d) / m)
-        w = m1 - scale * (grad + counterfactual * pull / m)
-        w = np.sign(w) * np.maximum(np.abs(w) - scale * l1, 0)
+        r = (_sigmoid(own.times(m1) + b) - y) / n
+        change = 2 * counterfactual / m * np.bincount(row, sign * m1[col], minlength=n)
+        grad = own.back(r, d) + np.bincount(col, sign * change[row], minlength=d)
+        w = m1 - step * grad
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
         b -= 2.0 * r.sum()
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         m1 = w + (t - 1) / t_next * (w - prev_w)
         prev_w, t = w, t_next
     used = np.flatnonzero(np.abs(w) > 1e-3)
-    order = used[np.argsort(keys[used])]
-    return ToxicityModel(keys[order], w[order], b)
+    return ToxicityModel(keys[used], w[used], b)
 
 
 def _score(model: ToxicityModel, threshold: float):
     low = np.zeros(1 << 16, dtype=bool)  # most words are no key: their last bits say so
     low[(model.keys & U64(0xFFFF)).astype(np.int64)] = True
 
+    def entries(column: pa.Array) -> np.ndarray:
+        """Entries (row, key) of a slice, each once; words that are no key are let go kind by kind."""
+        kinds, first = _kinds(column)
+        out = []
+        for hashes in kinds:
+            maybe = np.flatnonzero(low[(hashes & U64(0xFFFF)).astype(np.int64)])
+            at = np.searchsorted(model.keys, hashes[maybe])
+            at[at == len(model.keys)] = 0
+            same = model.keys[at] == hashes[maybe]
+            out.append((np.searchsorted(first, maybe[same], side="right") - 1) * len(model.keys) + at[same])
+        return np.unique(np.concatenate(out))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), SLICE):
                 z = np.full(hi - lo, model.bias)
                 if len(model.keys):
-                    kinds, first = _features(batch.column(1).slice(lo, hi - lo))
-                    both = []
-                    for hashes in kinds:
-                        maybe = np.flatnonzero(low[(hashes & U64(0xFFFF)).astype(np.int64)])
-                        at = np.searchsorted(model.keys, hashes[maybe])
-                        at[at == len(model.keys)] = 0
-                        same = model.keys[at] == hashes[maybe]
-                        both.append((np.searchsorted(first, maybe[same], side="right") - 1) * len(model.keys) + at[same])
-                    both = np.unique(np.concatenate(both))
+                    both = entries(batch.column(1).slice(lo, hi - lo))
                     z += np.bincount(both // len(model.keys), model.weights[both % len(model.keys)], minlength=hi - lo)
-                score = 1 / (1 + np.exp(-np.clip(z, -40, 40))) if model.fitted else np.zeros(hi - lo)
+                score = _sigmoid(z) if model.fitted else np.zeros(hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return run
