@@ -181,8 +181,8 @@ def test_trailing_extremes(spark, rows):
     rng = random.Random(rows)
     values = [rng.randrange(1000) for _ in range(450)]
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "symbol string, idx long, v int")
-    df = S.with_trailing(df, F.col("v"), "hi", rows)
-    got = {r["idx"]: (r["hi"], r["lo"]) for r in S.with_trailing(df, F.col("v"), "lo", rows, greatest=False).collect()}
+    df = S.with_trailing(df, {"hi": (F.col("v"), True), "lo": (F.col("v"), False)}, rows)
+    got = {r["idx"]: (r["hi"], r["lo"]) for r in df.collect()}
     for i in range(len(values)):
         part = values[max(0, i - rows + 1) : i + 1]
         assert got[i] == (max(part), min(part))

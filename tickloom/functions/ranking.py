@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+#: Ranges of the order of a column.
+RANGES = 256
 
 
 def with_rank(df: DataFrame, number: Column, ties: Sequence[str], out: str = "rank", groups: Sequence[str] = (), total: str | None = None, upper: float = float(1 << 32)) -> DataFrame:
@@ -16,7 +18,12 @@ def with_rank(df: DataFrame, number: Column, ties: Sequence[str], out: str = "ra
     Rows are numbered within ranges of the hash, which are as many tasks; the ranges' counts, at
     most ``BUCKETS`` a group, give each range its start.
     """
-    d = df.withColumn("number_", number).withColumn("b_", F.floor(F.col("number_") * BUCKETS / F.lit(upper)).cast("int"))
+    return _ranked(df, number, F.floor(F.col("number_") * BUCKETS / F.lit(upper)).cast("int"), ties, out, groups, total)
+
+
+def _ranked(df: DataFrame, number: Column, bucket: Column, ties: Sequence[str], out: str, groups: Sequence[str], total: str | None) -> DataFrame:
+    """``bucket`` must not fall as ``number`` (``number_`` in it) rises."""
+    d = df.withColumn("number_", number).withColumn("b_", bucket)
     sizes = d.groupBy(*groups, "b_").agg(F.count("*").alias("c_"))
     w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     ahead = F.coalesce(F.sum("c_").over(w.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -32,6 +39,24 @@ def with_rank(df: DataFrame, number: Column, ties: Sequence[str], out: str = "ra
 
 
 def with_order(df: DataFrame, key: str, out: str = "rank", groups: Sequence[str] = (), total: str | None = None) -> DataFrame:
-    """``with_rank`` by an integer column that is not negative; its greatest value is looked up first."""
-    top = df.agg(F.max(key)).first()[0]
-    return with_rank(df, F.col(key), [key], out, groups, total, float((top or 0) + 1))
+    """``with_rank`` by an integer column of any values; a null comes first.
+
+    Ranges are of like numbers of rows, between quantiles that are looked up first, so that a few outlying values
+    do not put all others into one range.
+    """
+    bounds = df.agg(F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)], 20 * RANGES)).first()[0]
+    bounds = F.expr("cast(array(" + ", ".join(f"'{int(x)}'" for x in sorted(set(bounds or []))) + ") as array<bigint>)")
+    return _ranked(df, F.col(key), _place(F.col(key), bounds), [key], out, groups, total)
+
+
+def _place(value: Column, bounds: Column) -> Column:
+    """How many of the sorted ``bounds`` are below a value, by halving; 0 for null."""
+    state = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        more = (acc["lo"] < acc["hi"]) & (F.get(bounds, mid) < value)
+        return F.struct(F.when(more, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(more, acc["hi"]).otherwise(F.least(mid, acc["hi"])).alias("hi"))
+
+    halvings = F.sequence(F.lit(1), F.lit(max(1, RANGES.bit_length())))
+    return F.coalesce(F.aggregate(halvings, state, step, lambda acc: acc["lo"]), F.lit(0))

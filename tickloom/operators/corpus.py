@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,11 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at its ends."""
+    return F.btrim(text, F.lit(" \t\n\x0B\f\r"))
+
+
 def is_noise(text: Column, least: int = 30) -> Column:
     """Too short, or less than half letters."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
@@ -89,6 +94,42 @@ def interleave(df: DataFrame, source: str, order: str, stop: str = "first_exhaus
     return r.withColumn("round", F.explode(turns)).drop("r_", "t_", "lo_", "hi_")
 
 
+def interleave_weighted(df: DataFrame, source: str, order: str, weights: Mapping[str, float], stop: str = "first_exhausted") -> DataFrame:
+    """Adds ``turn``: a source's k-th row has its turn at k over the source's weight, so that sources come in their weights.
+
+    ``first_exhausted`` ends where the first source does; ``all_exhausted`` goes on to the longest
+    one's end, and others begin anew. Sources without a positive weight are left out.
+    """
+    if stop not in ("first_exhausted", "all_exhausted"):
+        raise ValueError(stop)
+    table = F.create_map(*(F.lit(x) for s, w in weights.items() if w > 0 for x in (s, float(w))))
+    r = with_order(df, order, "r_", [source], "t_").withColumn("w_", F.try_element_at(table, F.col(source))).where("w_ is not null")
+    ends = r.groupBy(source).agg((F.first("t_") / F.first("w_")).alias("e")).agg(F.min("e").alias("lo_"), F.max("e").alias("hi_"))
+    r = r.crossJoin(F.broadcast(ends))  # one row
+    if stop == "all_exhausted":
+        last = F.greatest(F.floor(F.col("hi_") * F.col("w_") + 1e-9), F.col("t_"))
+        r = r.where(F.col("r_") <= last).withColumn("r_", F.explode(F.sequence(F.col("r_"), last, F.col("t_")))).withColumn("lo_", F.col("hi_"))
+    return r.withColumn("turn", F.col("r_") / F.col("w_")).where(F.col("turn") <= F.col("lo_") + 1e-9).drop("r_", "t_", "w_", "lo_", "hi_")
+
+
+def curated(df: DataFrame, order: str, text: str, domain: str | None = None, domains: Sequence[str] | None = None, least: int = 1, start_chunk: int = 0, chunk_size: int = 1) -> DataFrame:
+    """Rows of a streamed source from chunk ``start_chunk`` on, of the ``domains``, whose trimmed texts have ``least`` characters or more.
+
+    As a reader resumes by rows of the source, those of earlier chunks are passed over before anything is filtered.
+    """
+    rows = skip(df, order, start_chunk * chunk_size) if start_chunk else df
+    if domain is not None and domains:
+        rows = rows.where(F.col(domain).isin(*domains))
+    return rows.withColumn(text, stripped(F.col(text))).where(F.length(text) >= max(1, least))
+
+
+def book_paragraphs(paras: DataFrame, least: int, doc: str = "doc") -> DataFrame:
+    """``doc, page, part, text``: paragraphs merged within their pages, numbered on from page to page of a document."""
+    merged = merge_short(paras, least, (doc, "page"), ("paragraph",))
+    running = F.row_number().over(Window.partitionBy(doc).orderBy("page", "part")) - 1
+    return merged.withColumn("running_", running).select(doc, "page", F.col("running_").alias("part"), "text")
+
+
 def paragraphs(lines: DataFrame, page: Sequence[str] = ("doc", "page")) -> DataFrame:
     """``doc, page, paragraph, text``: lines of a page up to a gap that is wide for the page.
 

@@ -62,3 +62,8 @@ def apply_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def units_of(rows: DataFrame, tokens: str) -> DataFrame:
     return rows.groupBy("category", "file", "row_group").agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"))
+
+
+def units_of_row_groups(groups: DataFrame, category: str, size: str = "tokens") -> DataFrame:
+    """Units of one category from the row groups of its files, as ``sources.readers.row_groups`` lists them; ``size`` names what counts."""
+    return groups.select(F.lit(category).alias("category"), "file", "row_group", F.coalesce(F.col(size), F.lit(0)).cast("long").alias("tokens"))

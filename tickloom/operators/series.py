@@ -7,6 +7,7 @@ idx where it can, so that a long series is not one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,25 +143,26 @@ def drop_null_and_reindex(df: DataFrame, key: str = "symbol", order: str = "idx"
     return with_order(df.na.drop(), order, "r_", [key]).withColumn(order, F.col("r_") - 1).drop("r_")
 
 
-def with_trailing(df: DataFrame, value: Column, out: str, rows: int, key: str = "symbol", order: str = "idx", greatest: bool = True) -> DataFrame:
-    """Adds the greatest (least) value of the last ``rows`` rows, this one included.
+def with_trailing(df: DataFrame, values: Mapping[str, tuple[Column, bool]], rows: int, key: str = "symbol", order: str = "idx") -> DataFrame:
+    """Adds, for each name of ``values``, the greatest (True) or least value of the last ``rows`` rows, this one included.
 
     Blocks of ``rows`` rows each have running extremes from both ends; a window reaches over the end
     of the block before, from one place on, and over the beginning of its own.
     """
-    f, both = (F.max, F.greatest) if greatest else (F.min, F.least)
-    d = df.withColumns({"v_": value, "block_": F.floor(F.col(order) / rows), "at_": F.col(order) % rows})
+    d = df.withColumns({"block_": F.floor(F.col(order) / rows), "at_": F.col(order) % rows} | {f"v_{c}": v for c, (v, _) in values.items()})
     w = Window.partitionBy(key, "block_").orderBy(order)
-    d = d.withColumns({"head_": f("v_").over(w.rowsBetween(Window.unboundedPreceding, 0)), "tail_": f("v_").over(Window.partitionBy(key, "block_").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))})
-    ends = d.select(F.col(key).alias("key_"), (F.col("block_") + 1).alias("next_"), (F.col("at_") - 1).alias("from_"), F.col("tail_").alias("end_"))
+    ahead, behind = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    f = {c: F.max if most else F.min for c, (_, most) in values.items()}
+    d = d.withColumns({f"head_{c}": f[c](f"v_{c}").over(ahead) for c in values} | {f"tail_{c}": f[c](f"v_{c}").over(behind) for c in values})
+    ends = d.select(F.col(key).alias("key_"), (F.col("block_") + 1).alias("next_"), (F.col("at_") - 1).alias("from_"), *(F.col(f"tail_{c}").alias(f"end_{c}") for c in values))
     d = d.join(ends, (F.col(key) == F.col("key_")) & (F.col("block_") == F.col("next_")) & (F.col("at_") == F.col("from_")), "left")
-    return d.withColumn(out, both("head_", "end_")).drop("v_", "block_", "at_", "head_", "tail_", "key_", "next_", "from_", "end_")  # both skip a null
+    both = {c: (F.greatest if most else F.least)(f"head_{c}", f"end_{c}") for c, (_, most) in values.items()}  # both skip a null
+    return d.withColumns(both).drop("block_", "at_", "key_", "next_", "from_", *(f"{x}_{c}" for c in values for x in ("v", "head", "tail", "end")))
 
 
 def scale_factors(bars: DataFrame, period: int = 100, share: float = 0.999) -> DataFrame:
     """By symbol, the percentile of how far prices of the last ``period`` rows lie from the open, in ranges."""
     rows = drop_null_and_reindex(bars)
-    rows = with_trailing(rows, F.greatest(*PRICES), "top", period)
-    rows = with_trailing(rows, F.least(*PRICES), "bottom", period, greatest=False)
+    rows = with_trailing(rows, {"top": (F.greatest(*PRICES), True), "bottom": (F.least(*PRICES), False)}, period)
     rows = rows.withColumn("ratio", F.greatest(F.col("top") - F.col("open"), F.col("open") - F.col("bottom")) / F.col("atr")).where("idx >= 1")
     return rows.groupBy("symbol").agg(F.percentile("ratio", F.lit(share)).alias("scale"))

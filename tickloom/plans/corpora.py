@@ -86,6 +86,12 @@ def units(spark, d):
     return docs(spark, d).select(F.col("lang").alias("category"), F.col("source").alias("file"), F.floor(F.col("doc_id") / 50).alias("row_group"), "n_chars", "doc_id")
 
 
+@register("s4_footer_groups", "SELECT 'documents' AS kind, count(*)::BIGINT AS rows, sum(n_chars)::BIGINT AS tokens FROM documents UNION ALL SELECT 'events', count(*), sum(event_id)::BIGINT FROM events")
+def _(spark, d):
+    of = lambda kind, column: readers.row_groups(spark, f"{d}/{kind}.parquet", column).agg(F.lit(kind).alias("kind"), F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"))
+    return of("documents", "n_chars").unionByName(of("events", "event_id"))
+
+
 @register("s5_glob_scan", "SELECT 'nation' AS kind, count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
 def _(spark, d):
     both = readers.with_file(spark.read.option("mergeSchema", "true").parquet(f"{d}/{{nation,region}}.parquet"))
@@ -108,6 +114,12 @@ def _(spark, d):
     return readers.by_domain(docs(spark, d), "source", ["src1", "src3", "src5"]).select("doc_id", "source")
 
 
+@register("s8_curated_resume", f"SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS digest FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) WHERE rn > 60 AND source IN ('src1', 'src3', 'src5') AND length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 200")
+def _(spark, d):
+    rows = K.curated(docs(spark, d), "doc_id", "text", "source", ["src1", "src3", "src5"], 200, 3, 20)
+    return rows.select("doc_id", F.md5("text").alias("digest"))
+
+
 @register("s9_filtered_scan", "SELECT doc_id, n_chars FROM documents WHERE n_chars > 500 AND lang <> 'en'")
 def _(spark, d):
     return readers.parquet(spark, f"{d}/documents.parquet", ["doc_id", "n_chars"], lambda df: (df["n_chars"] > 500) & (df["lang"] != "en"))
@@ -274,6 +286,14 @@ def _(spark, d):
     return K.interleave(docs(spark, d).select("source", "doc_id"), "source", "doc_id", "all_exhausted")
 
 
+_WEIGHTS = {"src1": 0.5, "src2": 0.3, "src3": 0.2}
+
+
+@register("u3_weighted", f"WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) / w AS turn, count(*) OVER (PARTITION BY source) / w AS e FROM documents JOIN (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _WEIGHTS.items())}) x(source, w) USING (source)) SELECT source, doc_id, round(turn, 6) AS turn FROM r WHERE turn <= (SELECT min(e) FROM r) + 1e-9")
+def _(spark, d):
+    return K.interleave_weighted(docs(spark, d).select("source", "doc_id"), "source", "doc_id", _WEIGHTS)
+
+
 RATIOS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 
 
@@ -289,7 +309,23 @@ def _(spark, d):
     return spark.createDataFrame([(fits(RATIOS), fits(RATIOS | {"en": 0.6}))], "good boolean, bad boolean")
 
 
-@register("u2_mix_plan")
+#: The plan unit by unit: what each category was given (g), its next unit (p), tokens in the chunk and part, and the turn that is on.
+_MIX = f"""WITH RECURSIVE un AS (SELECT lang AS category, source AS file, doc_id // 50 AS row_group, coalesce(sum(n_chars), 0)::BIGINT AS tokens FROM documents GROUP BY ALL),
+ranked AS MATERIALIZED (SELECT category, k, file, row_group, tokens, row_number() OVER (PARTITION BY k ORDER BY file NULLS FIRST, row_group) AS pos FROM un JOIN (VALUES {', '.join(f"('{c}', {k})" for k, c in enumerate(RATIOS, 1))}) x(category, k) USING (category)),
+counts AS MATERIALIZED (SELECT [{', '.join(f"(SELECT count(*) FROM ranked WHERE k = {k})" for k in range(1, len(RATIOS) + 1))}] AS n),
+st(seq, category, file, row_group, tokens, chunk, part, g, p, ic, ip, ac, ap, pick, taken) AS (
+  SELECT -1::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, [0, 0, 0, 0]::BIGINT[], [1, 1, 1, 1]::BIGINT[], 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT
+  UNION ALL SELECT seq, category, file, row_group, tokens, oc, op, CASE WHEN full_chunk THEN [0, 0, 0, 0]::BIGINT[] WHEN over THEN g2 ELSE g END, p2, CASE WHEN full_chunk THEN 0 WHEN over THEN ic + taken2 ELSE ic END,
+    CASE WHEN full_part OR full_chunk THEN 0 WHEN over THEN ip + taken2 ELSE ip END, CASE WHEN full_chunk THEN ac + 1 ELSE ac END, CASE WHEN full_chunk THEN 0 WHEN full_part THEN ap + 1 ELSE ap END, CASE WHEN over THEN 0 ELSE kk END, CASE WHEN over THEN 0 ELSE taken2 END
+  FROM (SELECT *, over AND ip + taken2 >= least(50000, 400000 - (ic - ip)) AS full_part, over AND ic + taken2 >= 400000 AS full_chunk, [CASE WHEN k = kk THEN g[k] + taken2 ELSE g[k] END FOR k IN range(1, 5)] AS g2
+    FROM (SELECT *, taken2 >= greatest(1, least(5000, least(50000, 400000 - (ic - ip)) - ip)) OR p2[kk] > n[kk] AS over
+      FROM (SELECT s.seq + 1 AS seq, u.category, u.file, u.row_group, u.tokens, ac AS oc, ap AS op, g, ic, ip, ac, ap, kk, taken + u.tokens AS taken2, n, [CASE WHEN k = kk THEN p[k] + 1 ELSE p[k] END FOR k IN range(1, 5)] AS p2
+        FROM (SELECT st.*, n, CASE WHEN pick > 0 THEN pick ELSE list_min([{{'v': g[k] / greatest(ic, 1) - ({list(RATIOS.values())}::DOUBLE[])[k], 'k': k}} FOR k IN range(1, 5) IF p[k] <= n[k]]).k END AS kk FROM st, counts) s
+        JOIN ranked u ON u.k = kk AND u.pos = p[kk]))))
+SELECT category, file, row_group, tokens, chunk, part, seq FROM st WHERE seq >= 0"""
+
+
+@register("u2_mix_plan", _MIX)
 def _(spark, d):
     M.check_ratios(RATIOS)
     return M.mix_plan(M.units_of(units(spark, d), "n_chars"), RATIOS, 5_000, 50_000, 400_000)
@@ -355,6 +391,20 @@ def _(spark, d):
     return K.book_rows(merged, "doc", "book")
 
 
+_PAGED = LINES.replace("0 AS page,", "(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 12 AS page,")
+_PAGED = f"""{_PAGED}, listed AS (SELECT doc, page, list(text ORDER BY paragraph) AS ps FROM paras WHERE text <> '' GROUP BY doc, page),
+st(doc, page, k, rest, out) AS (SELECT doc, page, 0, '', []::VARCHAR[] FROM listed UNION ALL SELECT s.doc, s.page, k + 1, CASE WHEN length(trim(rest || ' ' || ps[k + 1])) >= 60 THEN '' ELSE trim(rest || ' ' || ps[k + 1]) END,
+  CASE WHEN length(trim(rest || ' ' || ps[k + 1])) >= 60 THEN list_append(out, trim(rest || ' ' || ps[k + 1])) ELSE out END FROM st s JOIN listed l ON l.doc = s.doc AND l.page = s.page WHERE k < len(ps)),
+fin AS (SELECT s.doc, s.page, CASE WHEN rest = '' THEN out WHEN len(out) > 0 THEN list_append(out[:len(out) - 1], out[len(out)] || ' ' || rest) ELSE [rest] END AS parts FROM st s JOIN listed l ON l.doc = s.doc AND l.page = s.page WHERE k = len(ps)),
+merged AS (SELECT doc, page, unnest(range(len(parts))) AS k, unnest(parts) AS text FROM fin)"""
+
+
+@register("r17_paged_rows", f"WITH RECURSIVE {_PAGED} SELECT doc, page::BIGINT AS page, row_number() OVER (PARTITION BY doc ORDER BY page, k) - 1 AS part, text FROM merged")
+def _(spark, d):
+    paged = lines(spark, d).withColumn("page", F.floor((F.col("line_no") - 1) / 12))
+    return K.book_paragraphs(K.paragraphs(paged), 60)
+
+
 @register("s11_line_tables", f"WITH {LINES} SELECT doc, count(*)::BIGINT AS n, max(line_no)::BIGINT AS last FROM lines GROUP BY doc")
 def _(spark, d):
     return lines(spark, d).groupBy("doc").agg(F.count("*").alias("n"), F.max("line_no").alias("last"))
@@ -377,10 +427,13 @@ def _(spark, d):
     return words("documents").join(words("benchmark"), "token", "left_anti")
 
 
-@register("n13_shifted_charts", Q.query(TEXTS, "SELECT symbol, start_idx, least(10, (SELECT 1023 - max(greatest(o, h, l, c)) + min(least(o, h, l, c)) FROM candles k WHERE k.symbol = t.symbol AND k.start_idx = t.start_idx)) + 1 AS n FROM charts t"))
+@register("n13_shifted_charts", Q.query(
+    f"""{Q.candles()}, ends AS (SELECT symbol, start_idx, min(least(o, h, l, c)) AS lo, max(greatest(o, h, l, c)) AS hi FROM candles GROUP BY ALL), moves AS (SELECT symbol, start_idx, unnest(range(-lo, 1024 - hi))::BIGINT AS x FROM ends),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol, start_idx ORDER BY {pick_sql(42, 'symbol', 'start_idx', 'x')}, x) AS rn FROM moves WHERE x <> 0), chosen AS (SELECT symbol, start_idx, x AS "by" FROM ranked WHERE rn <= 10 UNION ALL SELECT symbol, start_idx, 0 FROM ends)""",
+    """SELECT symbol, start_idx, "by", md5('<chart> ' || string_agg(format('O_{} H_{} L_{} C_{}', o + "by", h + "by", l + "by", c + "by"), ' ' ORDER BY i) || ' </chart>') AS digest FROM chosen JOIN candles USING (symbol, start_idx) GROUP BY ALL""",
+))
 def _(spark, d):
-    s = G.shifted_charts(charts(spark, d))
-    return s.groupBy("symbol", "start_idx").agg(F.count_distinct("by").alias("n"))
+    return G.shifted_charts(charts(spark, d)).select("symbol", "start_idx", "by", F.md5("text").alias("digest"))
 
 
 @register("r18_raw_chart_rows", Q.query(TEXTS, "SELECT symbol, start_idx, regexp_replace(text, '([OHLC]_\\d+)', '<px_\\1>', 'g') AS text FROM charts"))
@@ -492,10 +545,37 @@ def _(spark, d):
     return D.events(candles(spark, d), "BULL").select("symbol", "start_idx", "seq", "kind", (F.col("candle_idx") + 1).alias("c"), (F.col("swing_idx") + 1).alias("sc"))
 
 
-@register("r19_bench_items", Q.query(SAMPLES, "SELECT symbol, start_idx, sample_type AS note, replace(replace(eval, '<eval>', ''), '</eval>', '') AS positive, CASE WHEN event_count > 1 THEN 'multi' ELSE 'single' END AS template_mode, event_count::BIGINT AS n_events, 3::BIGINT AS n_negatives FROM samples WHERE sample_type <> 'synthesis'"))
+def _field_sql(key: str) -> str:
+    return f"nullif(regexp_extract(inner_, '(?:^|[ _]){key}=(\\S+)', 1), '')"
+
+
+def _changed(inner: str, key: str, value: str) -> str:
+    return f"regexp_replace({inner}, '^((?s:.*?)(?:^|[ _]){key}=)\\S+', '\\1' || ({value})::VARCHAR)"
+
+
+def _flip(x: str, *pairs: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}' WHEN '{b}' THEN '{a}'" for a, b in (p.split("/") for p in pairs)) + " END"
+
+
+def _stepped(key: str, steps) -> str:
+    return f"{list(steps)}[{pick_sql(42, 'symbol', 'start_idx', 'sample_type', _quoted(key))} % {len(steps)} + 1]"
+
+
+def _quoted(text: str) -> str:
+    return f"'{text}'"
+
+
+_NEGATIVES = f"""plain AS (SELECT *, replace(replace(eval, '<eval>', ''), '</eval>', '') AS inner_ FROM samples WHERE sample_type <> 'synthesis'),
+fs AS (SELECT *, {_field_sql('T')} AS ft, {_field_sql('DIR')} AS fd, {_field_sql('C')}::BIGINT AS fc, {_field_sql('SL')}::BIGINT AS fl, {_field_sql('GS')}::BIGINT AS fg FROM plain),
+ng AS (SELECT *, list_filter([CASE WHEN ft IN ('SWEEP_HIGH', 'SWEEP_LOW', 'BULL', 'BEAR') THEN {_changed('inner_', 'T', _flip('ft', 'SWEEP_HIGH/SWEEP_LOW', 'BULL/BEAR'))} WHEN ft IN ('BOS', 'CHoCH') AND fd IS NOT NULL THEN {_changed(_changed('inner_', 'T', _flip('ft', 'BOS/CHoCH')), 'DIR', _flip('fd', 'BULL/BEAR'))} END,
+  CASE WHEN fc IS NOT NULL THEN {_changed('inner_', 'C', f"fc + {_stepped('C', E._CANDLE_STEPS)}")} END, CASE WHEN fl IS NOT NULL THEN {_changed('inner_', 'SL', f"fl + {_stepped('SL', E._LEVEL_STEPS)}")} END,
+  CASE WHEN fg IS NOT NULL THEN {_changed('inner_', 'GS', f"greatest(fg + {_stepped('GS', E._SIZE_STEPS)}, 1)")} END], lambda x: x IS NOT NULL) AS negatives FROM fs)"""
+
+
+@register("r19_bench_items", Q.query(f"{SAMPLES}, {_NEGATIVES}", "SELECT symbol, start_idx, sample_type AS note, inner_ AS positive, CASE WHEN event_count > 1 THEN 'multi' ELSE 'single' END AS template_mode, event_count::BIGINT AS n_events, len(negatives)::BIGINT AS n_negatives, array_to_string(negatives, '|') AS negatives FROM ng WHERE len(negatives) > 0"))
 def _(spark, d):
     items = E.bench_items(samples(spark, d), ["symbol", "start_idx", "sample_type"])
-    return items.select("symbol", "start_idx", "note", "positive", "template_mode", "n_events", F.size("negatives").alias("n_negatives"))
+    return items.select("symbol", "start_idx", "note", "positive", "template_mode", "n_events", F.size("negatives").alias("n_negatives"), F.array_join("negatives", "|").alias("negatives"))
 
 
 _LOGIT = "((doc_id * 7919) % 101)::DOUBLE / 20"
@@ -578,11 +658,11 @@ def _(spark, d):
     return ids(spark, d).select("doc_id", F.size(e).alias("n"), F.aggregate(e, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-_SUMS = "len(b)::BIGINT AS n, list_sum(b)::BIGINT AS total, b[1]::BIGINT AS first"
+_SUMS = "len(b)::BIGINT AS n, list_sum(b)::BIGINT AS total, b[1]::BIGINT AS first, md5(array_to_string(b, ',')) AS digest"
 
 
 def _sums(df, *keep):
-    return df.select(*keep, F.size("b").alias("n"), F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("b")[0].alias("first"))
+    return df.select(*keep, F.size("b").alias("n"), F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("b")[0].alias("first"), F.md5(F.array_join(F.col("b").cast("array<string>"), ",")).alias("digest"))
 
 
 @register("x7_packed_blocks", f"WITH {IDS}, g AS (SELECT doc_id // 100 AS grp, flatten(list(list_append(ids, 2) ORDER BY doc_id)) AS a FROM ids GROUP BY 1), c AS (SELECT grp, a, unnest(range(greatest(len(a) // 256, 1))) AS block FROM g), x AS (SELECT grp, block, a[block * 256 + 1 : block * 256 + 256] AS b FROM c) SELECT grp, block, {_SUMS} FROM x")

@@ -229,9 +229,16 @@ def _(spark, d):
     return samples(spark, d).select("symbol", "start_idx", "sample_type", V.leaks(told, F.col("eval")).alias("leak"))
 
 
-@register("a7_validation_report", Q.query(SAMPLES, f"SELECT coalesce(sample_type, 'ALL') AS type, count(*)::BIGINT AS n, 0::BIGINT AS unparsed, 0::BIGINT AS leaking, {_quantiles('length(text)', (50, 90, 99), 'length_p')}, round(count(*) FILTER (length(text) > 512) * 100.0::DOUBLE / count(*), 6) AS over_pct FROM samples GROUP BY ROLLUP (sample_type)"))
+#: Faults to be found: texts without their last mark, and a number in the explanation that no evaluation has.
+_FAULTY = "faulty AS (SELECT *, CASE WHEN length(text) % 7 = 0 THEN 'unknown' ELSE sample_type END AS type, length(text) % 7 = 0 AS cut, length(text) % 7 <> 0 AND length(text) % 5 = 0 AS leak, CASE WHEN length(text) % 7 = 0 THEN length(text) - 7 WHEN length(text) % 5 = 0 THEN length(text) + 7 ELSE length(text) END AS size FROM samples)"
+
+
+@register("a7_validation_report", Q.query(f"{SAMPLES}, {_FAULTY}", f"SELECT coalesce(type, 'ALL') AS type, count(*)::BIGINT AS n, count(*) FILTER (cut)::BIGINT AS unparsed, count(*) FILTER (leak)::BIGINT AS leaking, {_quantiles('size', (50, 90, 99), 'length_p')}, round(count(*) FILTER (size > 512) * 100.0::DOUBLE / count(*), 6) AS over_pct FROM faulty GROUP BY ROLLUP (type)"))
 def _(spark, d):
-    return V.report(samples(spark, d).withColumn("token_length", F.length("text")))
+    n = F.length("text")
+    cut = F.substr(F.col("text"), F.lit(1), n - 7)
+    text = F.when(n % 7 == 0, cut).when(n % 5 == 0, F.replace(F.col("text"), F.lit("\n<eval>"), F.lit(" 987654\n<eval>"))).otherwise(F.col("text"))
+    return V.report(samples(spark, d).withColumn("text", text).withColumn("token_length", F.length("text")))
 
 
 @register("a8_sample_groups", Q.query(SAMPLES, "SELECT symbol, start_idx, count(*)::BIGINT AS n, sum(event_count)::BIGINT AS events FROM samples GROUP BY ALL"))

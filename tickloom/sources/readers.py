@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OHLC = "Open double, High double, Low double, Close double"
@@ -17,14 +21,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def ohlc_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    """Bars of one symbol's CSV files. Positions follow the files' names and the rows' order within them."""
-    raw = spark.read.schema(OHLC).csv(path, header=True)
-    at = F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("r"))
-    rows = raw.select("*", at.alias("at"))
-    from pyspark.sql import Window
+    """Bars of one symbol's CSV files. Positions follow the files' names and the rows' order within them.
 
-    idx = F.row_number().over(Window.partitionBy(F.lit(symbol)).orderBy("at.f", "at.r")) - 1
-    return rows.select(F.lit(symbol).alias("symbol"), idx.cast("long").alias("idx"), *(F.col(c).alias(c.lower()) for c in ("Open", "High", "Low", "Close")))
+    Rows are numbered within the pieces that tasks read; the pieces' counts, one row each, give their starts.
+    """
+    raw = spark.read.schema(OHLC).csv(path, header=True)
+    piece = [F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("from_")]
+    rows = raw.select("*", *piece, F.monotonically_increasing_id().alias("row_"))
+    sizes = rows.groupBy("file_", "from_").agg(F.count("*").alias("n_"), F.min("row_").alias("least_"))
+    ahead = F.coalesce(F.sum("n_").over(Window.orderBy("file_", "from_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("file_").alias("f_"), F.col("from_").alias("b_"), "least_", ahead.alias("ahead_"))
+    placed = rows.join(F.broadcast(sizes), (F.col("file_") == F.col("f_")) & (F.col("from_") == F.col("b_")))
+    idx = F.col("row_") - F.col("least_") + F.col("ahead_")
+    return placed.select(F.lit(symbol).alias("symbol"), idx.cast("long").alias("idx"), *(F.col(c).alias(c.lower()) for c in ("Open", "High", "Low", "Close")))
 
 
 def parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | Callable[[DataFrame], Column] | None = None) -> DataFrame:
@@ -55,6 +64,56 @@ def row_count(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
+def row_groups(spark: SparkSession, path: str, tokens: str | None = None) -> DataFrame:
+    """``file, row_group, rows, bytes`` of parquet files, from their footers; with ``tokens``, also that column's sum by row group.
+
+    The files' names are dealt to tasks, which read footers (and, of one column, the row groups)
+    through the file system of each name, one that Arrow knows. Units for the mixer.
+    """
+    files = sorted(spark.read.parquet(path).inputFiles())
+    names = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 10_000)), "file")
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with _parquet_file(name) as f:
+                    groups = [f.metadata.row_group(k) for k in range(f.num_row_groups)]
+                    n = pa.array([g.num_rows for g in groups], pa.int64())
+                    size = pa.array([g.total_byte_size for g in groups], pa.int64())
+                    sums = [int(pc.sum(f.read_row_group(k, [tokens]).column(0)).as_py() or 0) if tokens else None for k in range(len(groups))]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(groups), pa.string()), pa.array(range(len(groups)), pa.int64()), n, size, pa.array(sums, pa.int64())], names=["file", "row_group", "rows", "bytes", "tokens"])
+
+    out = names.mapInArrow(footers, "file string, row_group long, rows long, bytes long, tokens long")
+    return out if tokens else out.drop("tokens")
+
+
+def _parquet_file(name: str) -> pq.ParquetFile:
+    store, where = fs.FileSystem.from_uri(name)
+    return pq.ParquetFile(store.open_input_file(where))
+
+
+def page_lines(spark: SparkSession, path: str, extract: Callable[[bytes], Iterable[tuple[int, int, str, float, float]]], glob: str = "*") -> DataFrame:
+    """``doc, page, line_no, text, top, bottom`` of binary documents, by an extractor from bytes to such lines.
+
+    Files are read by executors, one document at a time; a document that the extractor fails on gives
+    a row with page null and the error as its text. Empty files give no rows.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    lines = [tuple(x) for x in extract(content.as_py())]
+                except Exception as e:  # noqa: BLE001 - one bad document is reported, not fatal
+                    lines = [(None, None, f"{type(e).__name__}: {e}", None, None)]
+                columns = list(zip(*lines, strict=True)) if lines else [()] * 5
+                kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(lines), pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc", "page", "line_no", "text", "top", "bottom"])
+
+    return raw.select("path", "content").mapInArrow(run, "doc string, page int, line_no int, text string, top double, bottom double")
+
+
 def token_lines(spark: SparkSession, path: str) -> DataFrame:
     """``token``: the lines of text files, trimmed, without blank ones."""
     return spark.read.text(path).select(F.trim("value").alias("token")).where("token <> ''")

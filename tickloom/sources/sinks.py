@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,9 +17,14 @@ CORPUS = "text string, source string, token_length long, meta string"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset (as in tests), a temporary one."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='tickloom-')}/{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one if all executors are in this process; else that is an error."""
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tickloom-")
+    return f"{base}/{uuid.uuid4().hex}"
 
 
 def materialised(df: DataFrame) -> DataFrame:
