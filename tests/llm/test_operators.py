@@ -419,11 +419,12 @@ def test_subsequence_length():
 
 def test_pipeline(spark, small):
     import corpus_pipeline
+    from tickloom.llm.common import settled
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     seen = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.stash(stage(spark, seen, small), name)
+        out = settled(spark, lambda stage=stage, seen=seen: stage(spark, seen, small), name)
         assert out.columns == docs.columns
         assert out.count() <= seen.count()
         seen = out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for made in _open:
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -41,11 +44,30 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
 def drop_stash(df: DataFrame) -> None:
     """Delete the files of a stash that nothing reads any more."""
     path = getattr(df, "_stash_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_open: list[list[str]] = []
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` written to the shared folder; every table that was written there on the way is deleted."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        out = stash(make(), name)
+    finally:
+        _open.remove(made)
+    for path in made:
+        if path != out._stash_path:
+            _delete(spark, path)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of signs. A trigram binds its letters: the first letter's vector
+Every letter of any script has a random vector of signs. A trigram binds its letters: the first letter's vector
 rotated twice, the second's rotated once and the third's as it is, multiplied elementwise. A text
 is the bundle (sum) of its trigrams, of unit length; a language's prototype is the bundle of its
 texts less the bundle of all texts that any language would share. The prediction is the language
@@ -22,59 +22,68 @@ from pyspark.sql import functions as F
 from .common import held_out
 from .textnum import slices
 
-SYMBOLS = 64
 UNKNOWN = "und"
+#: Trigrams and letters of which a worker keeps the vectors; beyond, it begins anew.
+MAX_TRIGRAMS, MAX_LETTERS = 1 << 17, 1 << 15
+_BITS = 21  # of a code point
 
 
 @cache
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point below 65536: 0 no letter, 1-26 a-z, above them the other letters, dealt by a hash."""
-    out = np.zeros(1 << 16, dtype=np.int64)
-    for cp in range(1 << 16):
-        c = chr(cp)
-        if c.isalpha():
-            low = ord(c.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % (1 << 32) % (SYMBOLS - 27)
-    return out
+def _folded() -> np.ndarray:
+    """Small letter of each code point below 65536, 0 where it is no letter."""
+    return np.array([_letter(cp) for cp in range(1 << 16)], dtype=np.int64)
 
 
-@cache
-def _letters(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of the bound first two letters, and of the third."""
-    signs = np.random.default_rng(1729).choice(np.array([-1, 1], dtype=np.int8), (SYMBOLS, dim))
-    first, second = np.roll(signs, 2, axis=1), np.roll(signs, 1, axis=1)
-    return (first[:, None, :] * second[None, :, :]).reshape(SYMBOLS * SYMBOLS, dim), signs
+def _letter(cp: int) -> int:
+    c = chr(cp)
+    return ord(c.lower()[0]) if c.isalpha() else 0
 
 
 class _Bundler:
-    """Bundles texts; keeps the vectors of trigrams that it has met (at most SYMBOLS**3 of them)."""
+    """Bundles texts; keeps the vectors of trigrams and letters that it has met."""
 
     def __init__(self, dim: int):
         self.dim = dim
-        self.at = np.full(SYMBOLS**3, -1, dtype=np.int32)
-        self.known = 0
-        self.vectors = np.empty((4096, dim), dtype=np.int8)
-
-    def _learn(self, codes: np.ndarray) -> None:
-        new = codes[self.at[codes] < 0]
-        if not len(new):
-            return
-        while self.known + len(new) > len(self.vectors):
-            self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
-        pair, last = _letters(self.dim)
-        self.vectors[self.known : self.known + len(new)] = pair[new // SYMBOLS] * last[new % SYMBOLS]
-        self.at[new] = np.arange(self.known, self.known + len(new))
-        self.known += len(new)
+        self.letters: dict[int, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.at = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # sorted trigrams, and where their vectors are
+        self.vectors = np.empty((4096, self.dim), dtype=np.int8)
+
+    def _signs(self, symbol: int) -> np.ndarray:
+        """A letter's vector (and that of the edge of a word, 0), from its code point and a seed alone."""
+        if symbol not in self.letters:
+            if len(self.letters) > MAX_LETTERS:
+                self.letters.clear()
+            self.letters[symbol] = np.random.default_rng([1729, symbol]).choice(np.array([-1, 1], dtype=np.int8), self.dim)
+        return self.letters[symbol]
+
+    def _find(self, codes: np.ndarray) -> np.ndarray:
+        """Places of sorted distinct trigrams among the vectors."""
+        place = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
+        new = codes[self.codes[place] != codes] if len(self.codes) else codes
+        if len(self.codes) + len(new) > MAX_TRIGRAMS:
+            self._forget()
+            new = codes
+        if len(new):
+            n, mask = len(self.codes), (1 << _BITS) - 1
+            while n + len(new) > len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+            for k, code in enumerate(new.tolist(), n):
+                self.vectors[k] = np.roll(self._signs(code >> 2 * _BITS), 2) * np.roll(self._signs(code >> _BITS & mask), 1) * self._signs(code & mask)
+            place = np.searchsorted(self.codes, new)
+            self.codes, self.at = np.insert(self.codes, place, new), np.insert(self.at, place, np.arange(n, n + len(new)))
+        return self.at[np.searchsorted(self.codes, codes)]
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray | None]:
         """Unit bundle of each text, None where it has no letter."""
         texts = [x or "" for x in column.to_pylist()]
         points = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), dtype=np.uint32)
         ends = np.cumsum(np.array([len(x) + 1 for x in texts]))
-        table = _symbol_table()
-        symbols = np.where(points < (1 << 16), table[np.minimum(points, (1 << 16) - 1)], 0)
+        symbols = np.where(points < (1 << 16), _folded()[np.minimum(points, (1 << 16) - 1)], 0)
         for k in np.flatnonzero(points >= (1 << 16)):
-            symbols[k] = 27 + int(points[k]) % (SYMBOLS - 27) if chr(points[k]).isalpha() else 0
+            symbols[k] = _letter(int(points[k]))
         start = 0
         for end in ends:
             s = symbols[start : end - 1]
@@ -86,12 +95,11 @@ class _Bundler:
             s = np.concatenate([[0], s[letter | np.concatenate([[False], letter[:-1]])], [0]])
             if s[-2] == 0:
                 s = s[:-1]
-            codes = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-            code, count = np.unique(codes, return_counts=True)
-            self._learn(code)
+            code, count = np.unique(s[:-2] << 2 * _BITS | s[1:-1] << _BITS | s[2:], return_counts=True)
             out = np.zeros(self.dim, dtype=np.float32)
             for k in range(0, len(code), 4096):
-                out += count[k : k + 4096].astype(np.float32) @ self.vectors[self.at[code[k : k + 4096]]].astype(np.float32)
+                at = self._find(code[k : k + 4096])
+                out += count[k : k + 4096].astype(np.float32) @ self.vectors[at].astype(np.float32)
             yield out / max(float(np.linalg.norm(out)), 1e-12)
 
 
