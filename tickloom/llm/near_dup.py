@@ -187,11 +187,17 @@ def near_duplicates(
     classes = stash(classes, "classes")
     member = classes.select("node", "n", F.posexplode("bands").alias("band", "key")).select("node", "n", F.xxhash64("band", "key").alias("key"))
     buckets = member.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
-    member = stash(member.join(buckets, "key"), "member")
+    # counts and hubs are joined back by another key than their own, so that a bucket with very many members can be split
+    turned = F.bitwise_not(F.col("key"))
+
+    def with_bucket(rows: DataFrame, of_bucket: DataFrame) -> DataFrame:
+        return rows.join(of_bucket.withColumn("turned", turned).drop("key"), turned == F.col("turned")).drop("turned")
+
+    member = stash(with_bucket(member, buckets), "member")
     fame = member.groupBy("node").agg(F.sum("met").alias("fame"))
-    hubs = member.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", -F.col("node"), "n")).alias("hub"))
-    hubs = hubs.select("key", (-F.col("hub").getField("col2")).alias("hub"), F.col("hub.n").alias("hub_n"))
-    star = member.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "n", "hub_n").distinct()
+    hubs = member.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", F.bitwise_not("node").alias("node"), "n")).alias("hub"))
+    hubs = hubs.select("key", F.bitwise_not(F.col("hub.node")).alias("hub"), F.col("hub.n").alias("hub_n"))
+    star = with_bucket(member, hubs).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "n", "hub_n").distinct()
     star = stash(star, "star")
     close = star.where(den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n")).select("a", "b")
 
@@ -206,8 +212,8 @@ def near_duplicates(
     # buckets with members of different components are open
     rooted = member.join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_nodes = stash(rooted.join(open_, "key").select("node", "root", "key").distinct(), "open")
-    more = _settle(open_nodes, texts, hubs, width, num, den)
+    open_nodes = stash(with_bucket(rooted, open_).select("node", "root", "key").distinct(), "open")
+    more = _settle(open_nodes, with_bucket(open_nodes, hubs), texts, width, num, den)
     links = links.unionByName(more)
     found = components(links)
 
@@ -218,9 +224,9 @@ def near_duplicates(
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _settle(open_nodes: DataFrame, texts: DataFrame, hubs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _settle(open_nodes: DataFrame, starred: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links between different components that share an open bucket."""
-    group = stash(components(open_nodes.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "groups")
+    group = stash(components(starred.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "groups")
     nodes = open_nodes.select("node", "root").distinct().join(group.withColumnRenamed("root", "grp"), "node")
     nodes = stash(nodes, "nodes")
     texts = texts.withColumnRenamed("id", "node")
