@@ -175,14 +175,24 @@ def _emit_texts(least: int, words: np.ndarray):
     table = np.zeros(1 << (TABLE_BITS - 6), dtype=U64)
     table[words[:, 0].astype(np.int64)] = words[:, 1]
 
-    def emit(lines: Lines, _: pa.Array) -> pa.RecordBatch | None:
-        slot = (lines.id >> U64(64 - TABLE_BITS)).astype(np.int64)
-        rows = np.flatnonzero(table[slot >> 6] >> (slot & 63).astype(U64) & U64(1))
-        if not len(rows):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(lines.id[rows].view(np.int64)), pa.array([lines.text(k) for k in rows], pa.string())], names=["line", "text"])
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # so that a very common line is sent once, or a few times, by a task
+
+        def emit(lines: Lines, _: pa.Array) -> pa.RecordBatch | None:
+            slot = (lines.id >> U64(64 - TABLE_BITS)).astype(np.int64)
+            rows = np.flatnonzero(table[slot >> 6] >> (slot & 63).astype(U64) & U64(1))
+            rows = rows[np.unique(lines.id[rows], return_index=True)[1]]
+            rows = rows[[x not in seen for x in lines.id[rows].tolist()]] if len(rows) else rows
+            if not len(rows):
+                return None
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(lines.id[rows].tolist())
+            return pa.RecordBatch.from_arrays([pa.array(lines.id[rows].view(np.int64)), pa.array([lines.text(k) for k in rows], pa.string())], names=["line", "text"])
 
-    return _walk(least, emit)
+        yield from _walk(least, emit)(batches)
+
+    return start
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -352,14 +362,14 @@ def _crowded_links(members: DataFrame, texts: DataFrame, max_edits: int) -> Data
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2, least: int = 20, short: bool = False) -> DataFrame:
-    """``docs`` with later lines of each class taken out of the text, and ``n_lines, n_removed, n_near`` added.
+    """``docs`` with later lines of each class taken out of the text, and ``n_lines, n_removed, n_near, n_copied`` added.
 
     Lines are what line feeds separate. Those of fewer than ``least`` code points are never near another; with ``short``,
     those that are equal are one class too, else they are never removed. Empty lines always stay.
     n_lines counts all lines, n_removed those taken out, n_near those of the taken out that are not
-    equal to any earlier line. A null text stays null and has no lines; an empty one has one empty line. A
+    equal to any earlier line, n_copied those whose class stays in another document. A null text stays null and has no lines; an empty one has one empty line. A
     row without id keeps its text. Rows that share an id count as one document: a line that
-    goes goes from each. Added columns get leading underscores where their names are taken.
+    goes goes from each; of equal or near lines the first by document, then place, stays. Added columns get leading underscores where their names are taken.
     """
     base, lines = read_lines(docs, id_col, text_col, max_edits, least, 1 if short else least)
     found = components(line_links(base, lines, max_edits, least))
@@ -370,15 +380,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # joined by another key than that of the counts, so that a very common line can be split
     later = same.join(group, "root").select(F.bitwise_not("line").alias("key"), "keep", F.col("first").alias("own"))
     gone = places.join(later, F.bitwise_not(F.col("line")) == F.col("key")).where("struct(doc, position) <> keep")
-    gone = gone.select("doc", "position", (F.struct("doc", "position") == F.col("own")).alias("near")).distinct()
-    listed = gone.groupBy("doc").agg(F.collect_list("position").alias("removed"), F.count_if("near").alias("near"))
-    names = fresh(docs, "n_lines", "n_removed", "n_near", "key_", "doc_", "removed_", "near_", "parts_")
-    own = listed.select(F.col("doc").alias(names[4]), F.col("removed").alias(names[5]), F.col("near").alias(names[6]))
-    out = docs.withColumn(names[3], F.col(id_col).cast("long")).join(own, F.col(names[3]) == F.col(names[4]), "left")
-    out = out.withColumn(names[7], F.split(F.col(text_col), "\n", -1))
-    parts = F.col(names[7])
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(names[5])), lambda i: F.get(F.col(names[7]), i))
-    text = F.when(F.col(names[5]).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long")
-    counts = [n_lines.alias(names[0]), F.coalesce(F.size(names[5]), F.lit(0)).cast("long").alias(names[1]), F.coalesce(names[6], F.lit(0)).cast("long").alias(names[2])]
-    return out.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), *counts)
+    gone = gone.select("doc", "position", (F.struct("doc", "position") == F.col("own")).alias("near"), (F.col("keep.doc") != F.col("doc")).alias("copied")).distinct()
+    listed = gone.groupBy("doc").agg(F.collect_list("position").alias("removed"), F.count_if("near").alias("near"), F.count_if("copied").alias("copied"))
+    names = fresh(docs, "n_lines", "n_removed", "n_near", "n_copied", "key_", "doc_", "removed_", "near_", "copied_", "parts_")
+    key, doc, removed, near, copied, parts_ = names[4:]
+    own = listed.select(F.col("doc").alias(doc), F.col("removed").alias(removed), F.col("near").alias(near), F.col("copied").alias(copied))
+    out = docs.withColumn(key, F.col(id_col).cast("long")).join(own, F.col(key) == F.col(doc), "left").withColumn(parts_, F.split(F.col(text_col), "\n", -1))
+    n = F.size(parts_)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col(removed)), lambda i: F.get(F.col(parts_), i))
+    text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    counts = [F.when(F.col(text_col).isNull(), 0).otherwise(n), *(F.coalesce(x, F.lit(0)) for x in (F.size(removed), near, copied))]
+    return out.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), *(x.cast("long").alias(c) for x, c in zip(counts, names, strict=False)))

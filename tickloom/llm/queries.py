@@ -52,7 +52,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), short=True)
-    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_near", "n_copied", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,8 @@ def _chat_sql() -> str:
   UNION ALL SELECT -1, 0, 'user', x FROM probe UNION ALL SELECT -1, 1, 'assistant', x FROM probe),
 g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said, coalesce(string_agg(text, '' ORDER BY turn, role, text) {loss}, '') AS learned,
   sum({escaped('text')} + CASE {marks} ELSE {other} END)::BIGINT AS formatted_chars FROM t GROUP BY conv_id),
-m AS (SELECT conv_id, role, row_number() OVER w - 1 AS at, coalesce(lag(role) OVER w, '') || '>' || role AS move, count(*) OVER (PARTITION BY conv_id) AS n FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-b AS (SELECT conv_id, coalesce(min(CASE WHEN move NOT IN ({moves}) THEN at END), max(CASE WHEN at = n - 1 AND role NOT IN ({ends}) THEN n END))::INTEGER AS bad_turn FROM m GROUP BY conv_id)
+m AS (SELECT conv_id, role, row_number() OVER w - 1 AS place, coalesce(lag(role) OVER w, '') || '>' || role AS move, count(*) OVER (PARTITION BY conv_id) AS n FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+b AS (SELECT conv_id, coalesce(min(CASE WHEN move NOT IN ({moves}) THEN place END), max(CASE WHEN place = n - 1 AND role NOT IN ({ends}) THEN n END))::INTEGER AS bad_turn FROM m GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars, bad_turn IS NULL AS valid, bad_turn, true AS mask_agrees FROM g JOIN b USING (conv_id)"""
 
 
