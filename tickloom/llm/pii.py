@@ -16,6 +16,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,33 +171,28 @@ def estimate(patterns: Sequence[Pattern], rounds: int = 60) -> PiiModel:
         for kind in model.share:
             own = [(p, q[4]) for p, q in zip(posterior, patterns, strict=True) if q[0] == kind]
             model.share[kind] = min(0.99, max(0.01, (1 + sum(p * n for p, n in own)) / (2 + sum(n for _, n in own))))
-    weights: dict[str, float] = {}
-    total = sum(q[4] for q in patterns)
-    rows = [(_inputs(*q[:4]), q[4] / total, p) for q, p in zip(patterns, posterior, strict=True)]
+    names = sorted({x for q in patterns for x in _inputs(*q[:4])})
+    inputs = np.array([[x in own for x in names] for own in (set(_inputs(*q[:4])) for q in patterns)], dtype=np.float64)
+    share = np.array([q[4] for q in patterns], dtype=np.float64)
+    share /= share.sum()
+    w, target = np.zeros(len(names)), np.array(posterior)
     for _ in range(800):
-        grad: dict[str, float] = {}
-        for names, n, p in rows:
-            r = n * (_sigmoid(sum(weights.get(x, 0.0) for x in names)) - p)
-            for x in names:
-                grad[x] = grad.get(x, 0.0) + r
-        for x, g in grad.items():
-            weights[x] = weights.get(x, 0.0) - 2.0 * (g + 1e-4 * weights.get(x, 0.0))
-    model.weights = weights
+        r = share * (1 / (1 + np.exp(-np.clip(inputs @ w, -40, 40))) - target)
+        w -= 2.0 * (r @ inputs + 1e-4 * w)
+    model.weights = dict(zip(names, w.tolist(), strict=True))
     return model
 
 
-def _chance(s: Column, model: PiiModel) -> Column:
+def _chance(model: PiiModel) -> str:
+    """The classifier's value for a span ``s``, as SQL: one expression, however many weights there are."""
     w = model.weights
-    z = F.lit(w.get("bias", 0.0))
-    for k in BASE + LOOSE:
-        z = z + F.when(s["kind"] == k, w.get(f"kind={k}", 0.0)).otherwise(0.0)
-    for i, name in enumerate(LABELERS):
-        for v in (-1, 0, 1):
-            z = z + F.when(s[f"v{i}"] == v, w.get(f"{name}={v}", 0.0)).otherwise(0.0)
-    for name in ("size", "shape"):
-        for v in range(4):
-            z = z + F.when(s[name] == v, w.get(f"{name}={v}", 0.0)).otherwise(0.0)
-    return 1 / (1 + F.exp(-z))
+
+    def cases(field: str, name: str, values: Sequence[str | int]) -> str:
+        known = " ".join(f"WHEN {v!r} THEN {w[f'{name}={v}']!r}D" for v in values if f"{name}={v}" in w)
+        return f"CASE s.{field} {known} ELSE 0D END" if known else "0D"
+
+    parts = [f"{w.get('bias', 0.0)!r}D", cases("kind", "kind", BASE + LOOSE), *(cases(f"v{i}", name, (-1, 0, 1)) for i, name in enumerate(LABELERS)), *(cases(x, x, range(4)) for x in ("size", "shape"))]
+    return f"1D / (1D + exp(-({' + '.join(f'({p})' for p in parts)})))"
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -209,7 +205,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     each = rows.select(F.explode(F.concat("base", "loose")).alias("s")).select("s.*")
     counted = each.groupBy("kind", "v0", "v1", "v2", "v3", "size", "shape").agg(F.count("*").alias("n")).collect()  # bounded by the patterns' definition
     model = estimate([(r["kind"], (r["v0"], r["v1"], r["v2"], r["v3"]), r["size"], r["shape"], r["n"]) for r in counted])
-    rows = rows.withColumn("added", F.filter("loose", lambda s: _chance(s, model) >= threshold)).withColumn("all", F.concat("base", "added"))
+    chance = _chance(model)
+    rows = rows.withColumn("added", F.expr(f"filter(loose, s -> {chance} >= {float(threshold)!r}D)")).withColumn("all", F.concat("base", "added"))
     counts = [how_many("base", "rank", k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
-    mean = F.aggregate(F.transform("all", lambda s: _chance(s, model)), F.lit(0.0), lambda a, x: a + x) / F.when(F.size("all") > 0, F.size("all"))
+    mean = F.expr(f"aggregate(transform(`all`, s -> {chance}), 0D, (a, x) -> a + x) / CASE WHEN size(`all`) > 0 THEN size(`all`) END")
     return rows.select("doc_id", *counts, listed(F.col("base"), "kind").alias("base_spans"), listed(F.col("all"), "kind").alias("spans"), F.size("added").cast("long").alias("n_added"), mean.alias("mean_chance"))
