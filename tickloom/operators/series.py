@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.codec import chart_text, to_bin, true_range
-from tickloom.functions.ranking import with_order
+from tickloom.functions.ranking import with_position
 
 PRICES = ("open", "high", "low", "close")
 #: Scale factors by symbol and timeframe are a table that callers join; this is the default.
@@ -62,23 +62,26 @@ def with_ewm(df: DataFrame, value: str, out: str, period: int, key: str = "symbo
     keep = 1.0 - alpha
     size = min(EWM_BLOCK, max(1, int(250 / -math.log10(keep))))  # powers stay within a double
     block, at = F.floor(F.col(order) / size), F.col(order) % size
-    df = _with_previous(df, value, "before_", key, order, size)
-    inside = Window.partitionBy(key, "block_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.when(F.col("before_").isNull(), 1.0).otherwise(alpha)
-    term = F.col(value) * weight * F.pow(F.lit(keep), -at.cast("double"))
-    df = df.withColumn("block_", block).withColumn("at_", at).withColumn("term_", term)
-    df = df.withColumn("local_", F.sum("term_").over(inside) * F.pow(F.lit(keep), F.col("at_").cast("double")))
-    ends = df.groupBy(key, "block_").agg(F.max_by("local_", order).alias("end_"))
+    rows = Window.partitionBy(key, "block_").orderBy(order)
+    df = df.withColumns({"block_": block, "at_": at})
+    # the first value of all counts whole; one at a block's beginning is made up for once it is known what is before the block
+    weight = F.when(F.lag(order).over(rows).isNotNull() & F.lag(value).over(rows).isNull(), 1.0).otherwise(alpha)
+    df = df.withColumn("term_", F.col(value) * weight * F.pow(F.lit(keep), -F.col("at_").cast("double")))
+    df = df.withColumn("local_", F.sum("term_").over(rows.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), F.col("at_").cast("double")))
+    ends = df.groupBy(key, "block_").agg(F.max_by("local_", order).alias("end_"), F.min_by(value, order).alias("first_"), F.min("at_").alias("from_"), F.max("at_").alias("to_"))
     decay = keep**size
     reach = max(1, math.ceil(math.log(1e-18) / math.log(decay))) if decay > 0 else 1
     before = Window.partitionBy(key).orderBy("block_")
+    ends = ends.withColumn("rest_", F.when(F.lag("end_").over(before).isNull(), F.coalesce(F.col("first_") * keep, F.lit(0.0))).otherwise(0.0))
+    ends = ends.withColumn("end_", F.col("end_") + F.col("rest_") * F.pow(F.lit(keep), (F.col("to_") - F.col("from_")).cast("double")))
     carried = F.lit(0.0)
     for k in range(1, reach + 1):
         carried = carried + F.coalesce(F.lag("end_", k).over(before), F.lit(0.0)) * decay ** (k - 1)
-    ends = ends.select(F.col(key).alias("key_"), F.col("block_").alias("b_"), carried.alias("carried_"))
+    ends = ends.select(F.col(key).alias("key_"), F.col("block_").alias("b_"), carried.alias("carried_"), "rest_", "from_")
     joined = df.join(ends, (F.col(key) == F.col("key_")) & (F.col("block_") == F.col("b_")))
-    mean = F.col("local_") + F.col("carried_") * F.pow(F.lit(keep), (F.col("at_") + 1).cast("double"))
-    return joined.withColumn(out, F.when(F.col(value).isNotNull(), mean)).drop("before_", "block_", "at_", "term_", "local_", "key_", "b_", "carried_")
+    power = lambda x: F.pow(F.lit(keep), x.cast("double"))
+    mean = F.col("local_") + F.col("rest_") * power(F.col("at_") - F.col("from_")) + F.col("carried_") * power(F.col("at_") + 1)
+    return joined.withColumn(out, F.when(F.col(value).isNotNull(), mean)).drop("block_", "at_", "term_", "local_", "key_", "b_", "carried_", "rest_", "from_")
 
 
 def with_atr(bars: DataFrame, period: int = 100) -> DataFrame:
@@ -140,7 +143,7 @@ def range_report(moves: DataFrame) -> DataFrame:
 
 def drop_null_and_reindex(df: DataFrame, key: str = "symbol", order: str = "idx") -> DataFrame:
     """Rows without nulls, counted anew from 0."""
-    return with_order(df.na.drop(), order, "r_", [key]).withColumn(order, F.col("r_") - 1).drop("r_")
+    return with_position(df.na.drop(), order, "r_", [key]).withColumn(order, F.col("r_") - 1).drop("r_")
 
 
 def with_trailing(df: DataFrame, values: Mapping[str, tuple[Column, bool]], rows: int, key: str = "symbol", order: str = "idx") -> DataFrame:
