@@ -16,6 +16,7 @@ run that many share are compared in blocks of bounded size, which only links lea
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import cache
@@ -68,8 +69,7 @@ def _sign(width: int, bands: int, rows: int):
                     size[i] = len(x)
                     if len(x):
                         sigs[i] = signature(x, bands * rows)
-                        k1[i] = x.sum().astype(np.int64)
-                        k2[i] = np.bitwise_xor.reduce(mix64(x)).astype(np.int64)
+                        k1[i], k2[i] = np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), dtype=np.int64)
                 keys = np.zeros((len(sets), bands), dtype=U64)
                 for k in range(rows):
                     keys = mix64(keys * U64(0x9E3779B97F4A7C15) + sigs[:, k::rows] + U64(1))
@@ -182,7 +182,7 @@ def near_duplicates(
     signed = stash(base.mapInArrow(_sign(width, bands, rows), "id long, n long, k1 long, k2 long, bands array<long>"), "signed")
     full = signed.where("n > 0 and id is not null")
 
-    # equal sets are one class, named by its smallest id
+    # equal sets, told by a digest of all their elements in order, are one class, named by its smallest id
     classes = full.groupBy("n", "k1", "k2").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"))
     classes = stash(classes, "classes")
     member = classes.select("node", "n", F.posexplode("bands").alias("band", "key")).select("node", "n", F.xxhash64("band", "key").alias("key"))
