@@ -33,22 +33,23 @@ def with_nearest_swings(swings: DataFrame, lookback: int = 10) -> DataFrame:
     return swings.withColumns({"near_high": find("swing_high", "h"), "near_low": find("swing_low", "l")})
 
 
-def gaps(candles: DataFrame) -> DataFrame:
-    """Three-candle gaps: ``i, type, gap_low, gap_high, gap_size``; the last two candles' lows and highs do not meet those two before."""
+def gaps(candles: DataFrame, *more: str) -> DataFrame:
+    """Three-candle gaps: ``i, type, gap_low, gap_high, gap_size`` and the columns ``more``; the last two candles' lows and highs do not meet those two before."""
     out = candles.withColumns({"h2": F.lag("h", 2).over(_w()), "l2": F.lag("l", 2).over(_w())})
     bull, bear = F.col("l") > F.col("h2"), F.col("h") < F.col("l2")
     out = out.withColumn("type", F.when(bull, "BULL").when(bear, "BEAR")).where("type is not null")
     low, high = F.when(F.col("type") == "BULL", F.col("h2")).otherwise(F.col("h")), F.when(F.col("type") == "BULL", F.col("l")).otherwise(F.col("l2"))
-    return out.select(*CHART, "i", "type", low.alias("gap_low"), high.alias("gap_high"), (high - low).alias("gap_size"))
+    return out.select(*CHART, "i", "type", low.alias("gap_low"), high.alias("gap_high"), (high - low).alias("gap_size"), *more)
 
 
 def graded_gaps(candles: DataFrame, upto: int | None = None) -> DataFrame:
     """Gaps with ``fill_pct``: how much of the gap the candle ``upto`` (default: the last) covers; 0 up to the gap itself."""
     w = Window.partitionBy(*CHART)
-    at = F.lit(upto) if upto is not None else F.max("i").over(w)
-    marked = candles.withColumn("upto", at)
-    marked = marked.withColumns({"uh": F.max(F.when(F.col("i") == F.col("upto"), F.col("h"))).over(w), "ul": F.max(F.when(F.col("i") == F.col("upto"), F.col("l"))).over(w)})
-    found = gaps(candles).join(marked.select(*CHART, "i", "upto", "uh", "ul"), [*CHART, "i"])
+    if upto is None:
+        ends = {"upto": F.max("i").over(w), "uh": F.max_by("h", "i").over(w), "ul": F.max_by("l", "i").over(w)}
+    else:
+        ends = {"upto": F.lit(upto), "uh": F.max(F.when(F.col("i") == upto, F.col("h"))).over(w), "ul": F.max(F.when(F.col("i") == upto, F.col("l"))).over(w)}
+    found = gaps(candles.withColumns(ends), *ends)
     cover = F.greatest(F.least("uh", "gap_high") - F.greatest("ul", "gap_low"), F.lit(0))
     fill = F.when(F.col("upto") <= F.col("i"), 0.0).otherwise(F.bround(cover * 100.0 / F.col("gap_size"), 1))
     return found.select(*CHART, "i", "type", "gap_low", "gap_high", "gap_size", fill.alias("fill_pct"))

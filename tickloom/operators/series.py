@@ -111,6 +111,12 @@ def candles(wins: DataFrame, scale: float | Column = DEFAULT_SCALE) -> DataFrame
     return wins.select("symbol", "start_idx", "i", *bins)
 
 
+def chart_texts(candles: DataFrame) -> DataFrame:
+    """``symbol, start_idx, text`` of charts whose candles are there already."""
+    listed = F.array_sort(F.collect_list(F.struct("i", "o", "h", "l", "c")))
+    return candles.groupBy("symbol", "start_idx").agg(chart_text(listed).alias("text"))
+
+
 def chart_dataset(bars: DataFrame, window: int = 200, stride: int = 10, period: int = 100, scale: float = DEFAULT_SCALE) -> DataFrame:
     """``symbol, start_idx, end_idx, anchor_open, anchor_atr, text`` for every window; ``atr`` is used where it is already there."""
     bars = bars if "atr" in bars.columns else with_atr(bars, period)

@@ -15,7 +15,7 @@ from tickloom.operators import validate as V
 from tickloom.sources.sinks import materialised
 
 from . import sql as Q
-from .market import TEXTS, candles, charts, ranged
+from .market import candles, ranged
 from .registry import register
 
 
@@ -153,7 +153,7 @@ SAMPLES = f"{Q.events()}, {_SAMPLES}"
 
 def samples(spark, d, trend: str = "BULL"):
     k = candles(spark, d)
-    return R.samples(D.events(k, trend), k, charts(spark, d))
+    return R.samples(D.events(k, trend), k, S.chart_texts(k))
 
 
 @register("r1_sentences", Q.query(SAMPLES, "SELECT symbol, start_idx, sample_type, explanation FROM samples"))
