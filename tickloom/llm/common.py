@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The files stay until the folder is cleared, as the frame that is returned reads them lazily;
-    ``drop_stash`` removes those that a loop has replaced.
+    The frame that is returned reads the files lazily. ``drop_stash`` removes those that a loop has
+    replaced, ``working`` those that only led to a result; what a result reads stays until the folder is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{name}-{uuid.uuid4().hex}"
@@ -56,18 +57,30 @@ def _delete(spark: SparkSession, path: str) -> None:
 _open: list[list[str]] = []
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """``make()`` written to the shared folder; every table that was written there on the way is deleted."""
+@contextmanager
+def working(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes every table that is written within, but those that the function it gives has been called with."""
     made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._stash_path)
+        return df
+
     _open.append(made)
     try:
-        out = stash(make(), name)
+        yield keep
     finally:
         _open.remove(made)
-    for path in made:
-        if path != out._stash_path:
-            _delete(spark, path)
-    return out
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` written to the shared folder; every table that was written there on the way is deleted."""
+    with working(spark) as keep:
+        return keep(stash(make(), name))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -98,7 +111,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop_stash(now)
         now = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._stash_path = now._stash_path
+    return out
 
 
 def held_out(id_col: str = "doc_id") -> Column:

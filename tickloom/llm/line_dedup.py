@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, stash
+from .common import components, fresh, stash, working
 from .textnum import U64, mix64, slices
 
 #: Bits of the table that tells which lines are in a candidate pair: 1 MB, whatever the input.
@@ -372,7 +372,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     goes goes from each; of equal or near lines the first by document, then place, stays. Added columns get leading underscores where their names are taken.
     """
     base, lines = read_lines(docs, id_col, text_col, max_edits, least, 1 if short else least)
-    found = components(line_links(base, lines, max_edits, least))
+    with working(docs.sparkSession) as keep:
+        found = keep(components(line_links(base, lines, max_edits, least)))
     places = lines.select("doc", "position", "line")
     same = places.groupBy("line").agg(F.min(F.struct("doc", "position")).alias("first"), F.count("*").alias("n"))
     same = same.join(found, F.col("line") == F.col("node"), "left").select("line", F.coalesce("root", "line").alias("root"), "first", "n")
