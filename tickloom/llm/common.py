@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    for made in _open:
+    for made in _scopes.get():
         made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
@@ -54,12 +55,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_open: list[list[str]] = []
+#: The lists of paths of the scopes that are open in this thread (or task), outermost first.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def working(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes every table that is written within, but those that the function it gives has been called with."""
+    """Deletes every table that is written within, but those that the function it gives has been called with.
+
+    Scopes can be nested; what an inner one keeps is still the outer one's to delete. A scope holds only what
+    its own thread writes, so two queries of one session leave each other's tables alone.
+    """
     made: list[str] = []
     kept: set[str] = set()
 
@@ -67,11 +73,11 @@ def working(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(df._stash_path)
         return df
 
-    _open.append(made)
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield keep
     finally:
-        _open.remove(made)
+        _scopes.reset(token)
         for path in made:
             if path not in kept:
                 _delete(spark, path)
