@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str = "t") -> str:
+    """A path in the shared folder that nothing has; the open scopes delete what is written there."""
+    path = f"{shared_dir(spark)}/stash-{name}-{uuid.uuid4().hex}"
+    for made in _scopes.get():
+        made.append(path)
+    return path
+
+
 def stash(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
@@ -34,10 +42,8 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     replaced, ``working`` those that only led to a result; what a result reads stays until the folder is cleared.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    for made in _scopes.get():
-        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

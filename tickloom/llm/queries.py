@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, language, line_dedup, mixing, near_dup, pii, secrets, toxicity
-from .common import held_out
+from . import align, chat, decontam, fingerprint, language, line_dedup, mixing, near_dup, pii, secrets, toxicity, trie, warc
+from .common import held_out, stash, working
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _rebuilt(convs: DataFrame) -> DataFrame:
+    """``conv_id, cells``: the first h turns of the conversation that opens the hundred, h by a hash of the id, then the own turns from there on."""
+    base = F.col("conv_id") - F.col("conv_id") % 100
+    heads = convs.where("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.slice("cells", 1, 5).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")
+    head = F.slice(F.coalesce("head", F.array().cast("array<string>")), F.lit(1), h)
+    own = F.slice("cells", h + 1, F.size("cells"))
+    return convs.join(heads, base == F.col("base"), "left").select("conv_id", F.concat(head, own).alias("cells"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_rebuilt(trie.turn_cells(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(_table(spark, sf_dir, "documents")).drop("groups")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with working(spark) as keep:
+        archives = stash(warc.write_archives(_table(spark, sf_dir, "pages")), "manifest")
+        records = warc.resolved(warc.read_archives(archives))
+        return keep(stash(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"), "records"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprint": op2_fingerprint,
@@ -84,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_align": op12_align,
+    "op13_warc": op13_warc,
 }
 
 _TEMPLATE = chat.ChatTemplate()
@@ -116,7 +144,27 @@ e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
+#: Op 11 with a row for each conversation and depth; crc32 by its table of 256 remainders.
+_TRIE_SQL = """WITH RECURSIVE bits(i, x, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(x ORDER BY i) AS tab FROM bits WHERE k = 8),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+r AS (SELECT c.conv_id, 0 AS part, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND p <= h UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+q AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS d, length(text) AS len, md5(length(role) || ':' || role || text) AS turn FROM r),
+y AS (SELECT conv_id, d, len, md5(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM q UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+x AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS up, max(d) OVER (PARTITION BY conv_id) = d AS last FROM y),
+n AS (SELECT k, min(conv_id) AS conv_id, min(d) AS d, min(up) AS up, count(*) AS n, min(len) AS len, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends FROM x GROUP BY k),
+m AS (SELECT up, count(*) AS n FROM n GROUP BY up),
+s AS (SELECT n.*, coalesce(m.n, 0) AS children FROM n LEFT JOIN m ON m.up = n.k),
+a AS (SELECT x.k, sum((s.children = 0)::INT) AS leaves, sum((s.n - 1) * s.len) AS saved FROM s JOIN x ON x.conv_id = s.conv_id AND x.d <= s.d GROUP BY x.k)
+SELECT s.conv_id, s.d::BIGINT AS depth, p.conv_id AS parent_conv_id, s.n::BIGINT AS n_convs, s.children::BIGINT AS n_children, a.leaves::BIGINT AS n_leaves, a.saved::BIGINT AS saved_tokens, s.ends AS ends_sha256 FROM s JOIN a ON a.k = s.k LEFT JOIN n p ON p.k = s.up"""
+
+_WARC_SQL = """SELECT page_id, strlen(x)::BIGINT AS payload_bytes, sha256(x) AS payload_digest, CASE WHEN strlen(x) >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN strlen(x) >= 100 AND page_id <> least THEN least END AS refers_to, true AS verified
+FROM (SELECT page_id, x, min(page_id) OVER (PARTITION BY x) AS least FROM (SELECT page_id, coalesce(html, '') AS x FROM pages))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_prefix_trie": _TRIE_SQL,
+    "op13_warc": _WARC_SQL,
     "op4_chat_format": _chat_sql(),
     "op5_minhash_near_dedup": _NEAR_SQL,
 }
