@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import codec
 from tickloom.functions.hashing import pick_sql
+from tickloom.operators import bpe as B
 from tickloom.operators import corpus as K
 from tickloom.operators import curriculum as U
 from tickloom.operators import detect as D
@@ -24,6 +25,7 @@ from . import sql as Q
 from .market import TEXTS, bars, candles, charts
 from .registry import register, table
 from .samples import SAMPLES, samples
+from .vocab import IDS, TRAINED, ids, vocabulary
 
 
 def docs(spark, d):
@@ -33,14 +35,6 @@ def docs(spark, d):
 WS = "'[ \\t\\n\\x0B\\f\\r]+'"
 NORM = f"trim(regexp_replace(text, {WS}, ' ', 'g'))"
 LETTER_SHARE = "length(regexp_replace(text, '[^\\p{L}]', '', 'g'))"
-IDS = f"ids AS MATERIALIZED (SELECT doc_id, lang, source, text, list_transform(list_filter(string_split({NORM}, ' '), lambda x: x <> ''), lambda x: length(x)::INTEGER + 10) AS ids FROM documents)"
-
-
-def ids(spark, d):
-    """Documents with a stand-in for token ids: ten and each word's length."""
-    words = F.filter(F.split(K.normalised(F.col("text")), " "), lambda x: x != "")
-    return docs(spark, d).select("doc_id", "lang", "source", "text", F.transform(words, lambda x: (F.length(x) + 10).cast("int")).alias("ids"))
-
 
 # sources and sinks
 
@@ -641,10 +635,22 @@ def _(spark, d):
     return charts(spark, d).select("symbol", "start_idx", X.closed_text(X.closed_ids(F.col("text"))).alias("text"))
 
 
-@register("x4_encoded_ids", Q.query(TEXTS, "SELECT symbol, start_idx, list_sum(list_transform(string_split(text, ' '), lambda x: CASE WHEN x = '<chart>' THEN 5096 WHEN x = '</chart>' THEN 5097 ELSE 1000 + (strpos('OHLC', x[1]) - 1) * 1024 + x[3:]::INT END)) + 4 AS total FROM charts"))
+@register("x4_encoded_ids", Q.query(f"{TEXTS}, {TRAINED}", "SELECT symbol, start_idx, (len(string_split(text, ' ')) * (256 + (SELECT max(r) FROM st)) + list_sum(list_transform(string_split(text, ' '), lambda x: CASE WHEN x = '<chart>' THEN 4096 WHEN x = '</chart>' THEN 4097 ELSE (strpos('OHLC', x[1]) - 1) * 1024 + x[3:]::INT END)))::BIGINT AS total, len(string_split(text, ' '))::BIGINT AS n FROM charts"))
+def _(spark, d):
+    rows = B.encoded(charts(spark, d).select("symbol", "start_idx", "text"), "text", vocabulary(spark, d))
+    return rows.select("symbol", "start_idx", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("ids").alias("n"))
+
+
+@register("x4_token_ids", f"WITH {IDS} SELECT doc_id, len(ids)::BIGINT AS n, md5(array_to_string(ids, ',')) AS ids_md5 FROM ids")
 def _(spark, d):
-    i = X.encode(F.concat("text", F.lit(" then")), lambda p: F.length(p), 1000)
-    return charts(spark, d).select("symbol", "start_idx", F.aggregate(i, F.lit(0), lambda a, x: a + x).alias("total"))
+    return ids(spark, d).select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
+
+
+@register("x4_text_round_trip", "SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
+def _(spark, d):
+    merges = vocabulary(spark, d)
+    rows = B.encoded(docs(spark, d).select("doc_id", "text"), "text", merges, prices=False)
+    return rows.select("doc_id", F.sha2(B.decoded(F.col("ids"), merges), 256).alias("text_sha256"))
 
 
 @register("x5_token_lengths", f"WITH {IDS} SELECT doc_id, len(ids)::BIGINT AS token_length FROM ids")
@@ -702,6 +708,11 @@ def _(spark, d):
     return X.chunked(ids(spark, d), "text", "ids", "doc_id", 128).select("doc_id", "chunk")
 
 
+@register("x13_bpe_merges", f"WITH RECURSIVE {TRAINED} SELECT r - 1 AS rank, min(unicode(p[1]))::BIGINT AS left, min(unicode(p[2]))::BIGINT AS right, min(c)::BIGINT AS count FROM st WHERE r > 0 GROUP BY r")
+def _(spark, d):
+    return B.merges_frame(spark, vocabulary(spark, d)).drop("token")
+
+
 @register("x14_vocabulary_check", "SELECT 4102::BIGINT AS size, 4160::BIGINT AS padded")
 def _(spark, d):
     X.check_vocabulary(X.CLOSED_SIZE, {"pad": X.PAD, "bos": X.BOS, "eos": X.EOS, "unk": X.UNK})

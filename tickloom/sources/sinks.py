@@ -31,7 +31,15 @@ def materialised(df: DataFrame) -> DataFrame:
     """``df`` written once and read back, for plans that use it in many places."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a ``materialised`` table that nothing reads any more."""
+    target, fs = _path(df.sparkSession, df._scratch_path)
+    fs.delete(target, True)
 
 
 def to_corpus(df: DataFrame) -> DataFrame:
