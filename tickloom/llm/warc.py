@@ -337,6 +337,7 @@ def resolved(records: DataFrame) -> DataFrame:
     """
     target = records.where("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("refers_to"), F.min("payload_digest").alias("target_digest"))
     target = target.select(F.reverse("record_id").alias("key"), "refers_to", "target_digest")  # another key than the aggregate's: a hot one can be split
-    out = records.join(target, F.reverse("refers_to_id") == F.col("key"), "left").drop("key")
+    # never a broadcast: what the planner knows of the size of these records is that of the manifest
+    out = records.join(target.hint("merge"), F.reverse("refers_to_id") == F.col("key"), "left").drop("key")
     fine = F.col("block_ok") & F.when(F.col("record_type") == "revisit", F.col("target_digest") == F.col("payload_digest")).otherwise(F.col("payload_ok"))
     return out.withColumn("verified", F.coalesce(fine, F.lit(False))).drop("target_digest")
