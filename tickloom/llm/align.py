@@ -376,9 +376,10 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         drop_stash(chunks)
 
         listed = texts.where("codes IS NOT NULL").select("chunk", "codes", "docs").mapInArrow(_listed_pairs, "chunk string, number int, code long, docs long")
+        # never a broadcast: the planner knows the size of the packed rows only
         count = listed.groupBy("code").agg(F.sum("docs").alias("count"))
         most = count.groupBy(F.shiftright("code", SHIFT).alias("a")).agg(F.max("count").alias("most"))
-        count = count.join(most, F.shiftright("code", SHIFT) == F.col("a")).select(F.col("code").alias("pair"), "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
-        back = listed.join(count, F.col("code") == F.col("pair")).select("chunk", "number", "count", "best")
+        count = count.join(most.hint("merge"), F.shiftright("code", SHIFT) == F.col("a")).select(F.col("code").alias("pair"), "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
+        back = listed.join(count.hint("merge"), F.col("code") == F.col("pair")).select("chunk", "number", "count", "best")
         own = texts.where("codes IS NULL").drop("codes", "docs")
         return keep(stash(own.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_look_up, COLUMNS), "aligned"))
