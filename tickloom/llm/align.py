@@ -34,7 +34,7 @@ CUT = re.compile(r" (?<=[^ ] )(?=[^\s])")
 #: Characters of texts in a chunk; a longer text is a chunk of its own.
 CHUNK = 1 << 24
 #: Buckets of segments: so many at this many characters, and with the root of their number beyond, as vocabularies grow.
-BUCKETS, BUCKETS_AT = 16, 1 << 28
+BUCKETS, BUCKETS_AT = 128, 1 << 28
 #: An id pair in one number.
 SHIFT = 20
 
