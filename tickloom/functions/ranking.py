@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.sources.sinks import materialised
+
 BUCKETS = 1024
 #: Ranges of the order of a column.
 RANGES = 256
@@ -65,3 +67,19 @@ def _place(value: Column, bounds: Column) -> Column:
 
     halvings = F.sequence(F.lit(1), F.lit(max(1, RANGES.bit_length())))
     return F.coalesce(F.aggregate(halvings, state, step, lambda acc: acc["lo"]), F.lit(0))
+
+
+def with_index(df: DataFrame, order: Sequence[str], out: str = "index", sums: Mapping[str, str] = {}) -> DataFrame:
+    """Adds ``out``, the row's place from 0 by columns of any kind, and for each name of ``sums`` the total of its column over the rows up to this one.
+
+    Rows are dealt by ranges of the order, written, and numbered and summed within the ranges; the ranges' own totals give each its start.
+    """
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"range_": F.spark_partition_id(), "at_": F.monotonically_increasing_id()})
+    d = materialised(d)
+    inner = Window.partitionBy("range_").orderBy("at_")
+    d = d.withColumns({out: (F.row_number().over(inner) - 1).cast("long")} | {name: F.sum(c).over(inner) for name, c in sums.items()})
+    totals = d.groupBy("range_").agg(F.count("*").alias("n_"), *(F.max(F.struct("at_", name))[name].alias(f"t_{name}") for name in sums))
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = totals.select(F.col("range_").alias("key_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("b_"), *(F.coalesce(F.sum(f"t_{name}").over(before), F.lit(0)).alias(f"b_{name}") for name in sums))
+    d = d.join(totals, F.col("range_") == F.col("key_")).withColumns({out: F.col(out) + F.col("b_")} | {name: F.coalesce(name, F.lit(0)) + F.col(f"b_{name}") for name in sums})
+    return d.drop("range_", "at_", "key_", "b_", *(f"b_{name}" for name in sums))

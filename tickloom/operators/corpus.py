@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.hashing import pick
-from tickloom.functions.ranking import with_order, with_rank
+from tickloom.functions.ranking import with_index, with_order, with_rank
+from tickloom.sources.sinks import dropped, materialised
 
 SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -176,14 +177,35 @@ def book_rows(paras: DataFrame, doc: str, source: str) -> DataFrame:
 def compaction_parts(files: DataFrame, target: int, order: str = "name", size: str = "bytes") -> DataFrame:
     """``files`` with ``part``: in order, a new part begins where the next file would exceed the target.
 
-    Files are never split, so that a part is over the target only by a single file. Where a part begins depends on
-    all before it; it is found in one pass over the files' names and sizes (not their rows) on the driver.
+    Files are never split, so that a part is over the target only by a single file. With sums of sizes up to each
+    file, the part that begins at a file ends before the first file whose sum exceeds what is before the part by more than the target, so
+    each file has a next start, found by sorting those bounds among the sums. The starts that are reached from the first file are found by doubling: after k
+    rounds jumps are 2**k long, so their number is logarithmic in that of parts, and the driver sees none of them. Null sizes count nothing; files of one name are
+    dealt in any order.
     """
-    rows, part, now = [], -1, 0
-    for r in files.select(F.col(order).cast("string"), F.col(size).cast("long")).orderBy(order).toLocalIterator():
-        if part < 0 or now + r[1] > target:
-            part, now = part + 1, 0
-        now += r[1]
-        rows.append((r[0], part))
-    out = files.sparkSession.createDataFrame(rows, "name_ string, part int")
-    return files.join(out, F.col(order).cast("string") == F.col("name_")).drop("name_")
+    total = "upto_"
+    f = materialised(with_index(files.withColumn("size_", F.coalesce(F.col(size), F.lit(0)).cast("long")), [order], "i_", {total: "size_"}))
+    count = f.count()
+    # how many sums do not exceed each bound: bounds rise with the file, so its place among both, less its place among bounds
+    sums = f.select(F.col(total).alias("v_"), F.lit(0).alias("kind_"), "i_")
+    bounds = f.select((F.col(total) - F.col("size_") + F.lit(int(target))).alias("v_"), F.lit(1).alias("kind_"), "i_")
+    both = with_index(sums.unionByName(bounds), ["v_", "kind_", "i_"], "place_").where("kind_ = 1")
+    jump = materialised(both.select("i_", F.greatest(F.col("place_") - F.col("i_"), F.col("i_") + 1).alias("next_")))
+    reached = materialised(files.sparkSession.range(1 if count else 0).select(F.col("id").alias("start_")))
+    while True:
+        first = jump.where("i_ = 0").select("next_").first()
+        if first is None:
+            break
+        more = reached.join(jump, F.col("start_") == F.col("i_")).select(F.col("next_").alias("start_")).where(F.col("start_") < count)
+        new = materialised(reached.unionByName(more))
+        dropped(reached)
+        reached = new
+        if first[0] >= count:
+            break
+        far = jump.select(F.col("i_").alias("j_"), F.col("next_").alias("far_"))
+        new = materialised(jump.join(far, F.col("next_") == F.col("j_"), "left").select("i_", F.coalesce("far_", F.lit(count)).alias("next_")))
+        dropped(jump)
+        jump = new
+    starts = f.join(reached.distinct(), F.col("i_") == F.col("start_"), "left").withColumn("begins_", F.col("start_").isNotNull().cast("long"))
+    out = with_index(starts, ["i_"], "place_", {"nth_": "begins_"})
+    return out.select(*(F.col(f"`{c}`") for c in files.columns), (F.col("nth_") - 1).cast("int").alias("part"))

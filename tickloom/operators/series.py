@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.codec import chart_text, to_bin, true_range
+from tickloom.functions.quantile import percentiles
 from tickloom.functions.ranking import with_position
 
 PRICES = ("open", "high", "low", "close")
@@ -174,4 +175,4 @@ def scale_factors(bars: DataFrame, period: int = 100, share: float = 0.999) -> D
     rows = drop_null_and_reindex(bars)
     rows = with_trailing(rows, {"top": (F.greatest(*PRICES), True), "bottom": (F.least(*PRICES), False)}, period)
     rows = rows.withColumn("ratio", F.greatest(F.col("top") - F.col("open"), F.col("open") - F.col("bottom")) / F.col("atr")).where("idx >= 1")
-    return rows.groupBy("symbol").agg(F.percentile("ratio", F.lit(share)).alias("scale"))
+    return percentiles(rows, ["symbol"], "ratio", [share]).select("symbol", F.col("percentiles")[0].alias("scale"))

@@ -16,11 +16,12 @@ from tickloom.operators import detect as D
 from tickloom.operators import evaluate as E
 from tickloom.operators import generate as G
 from tickloom.operators import mixer as M
+from tickloom.operators import ngram as N
 from tickloom.operators import tokens as X
 from tickloom.sources import readers, sinks
 from tickloom.sources.sinks import scratch
 
-from . import market
+from . import market, vocab
 from . import sql as Q
 from .market import TEXTS, bars, candles, charts
 from .registry import register, table
@@ -572,19 +573,18 @@ def _(spark, d):
     return items.select("symbol", "start_idx", "note", "positive", "template_mode", "n_events", F.size("negatives").alias("n_negatives"), F.array_join("negatives", "|").alias("negatives"))
 
 
-_LOGIT = "((doc_id * 7919) % 101)::DOUBLE / 20"
-
-
 @register(
     "o11_nucleus",
-    f"""WITH l AS (SELECT source, doc_id, {_LOGIT} AS logit FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY logit DESC, doc_id) AS r FROM l),
-    e AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY source)) / 0.8::DOUBLE) AS e FROM r WHERE r <= 20), p AS (SELECT *, e / sum(e) OVER (PARTITION BY source) AS p FROM e),
-    b AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY source ORDER BY logit DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p)
-    SELECT source, doc_id, round(p / sum(p) OVER (PARTITION BY source), 6) AS p FROM b WHERE b < 0.7::DOUBLE""",
+    f"""WITH {vocab.lm("SELECT u, v, one.w FROM (SELECT t[len(t) - 1] AS u, t[len(t)] AS v FROM items WHERE len(t) >= 2), one", True).replace("chance AS", vocab._ITEMS + ", chance AS")},
+    l AS (SELECT u || ' ' || v AS context, w::VARCHAR AS w, round(ln(p), 9) AS logit FROM chance), r AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY logit DESC, w) AS r FROM l),
+    e AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY context)) / 0.8::DOUBLE) AS e FROM r WHERE r <= 20), p AS (SELECT *, e / sum(e) OVER (PARTITION BY context) AS p FROM e),
+    b AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY context ORDER BY logit DESC, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p)
+    SELECT context, w AS token, round(p / sum(p) OVER (PARTITION BY context), 6) AS p FROM b WHERE b < 0.7::DOUBLE""",
 )
 def _(spark, d):
-    logits = docs(spark, d).select("source", "doc_id", ((F.col("doc_id") * 7919 % 101) / F.lit(20.0)).alias("logit"))
-    return E.nucleus(logits, "source", "doc_id", "logit", 20, 0.7, 0.8)
+    last = vocab.items(spark, d).where(F.size("tokens") >= 2).select(F.element_at("tokens", -2).alias("u"), F.element_at("tokens", -1).alias("v"))
+    chances = N.next_chances(last, vocab.model(spark, d)).select(F.concat_ws(" ", "u", "v").alias("context"), F.col("w").alias("token"), F.round(F.log("p"), 9).alias("logit"))
+    return E.nucleus(chances, "context", "token", "logit", 20, 0.7, 0.8)
 
 
 @register("k7_saved_state", "SELECT count(*)::BIGINT AS done, sum(n_chars)::BIGINT AS tokens FROM documents")
@@ -725,14 +725,28 @@ def _(spark, d):
     return docs(spark, d).groupBy("source").agg(steps.alias("steps"), warm.alias("warmup"))
 
 
-@register("x16_weighted_loss", "SELECT lang, round(sum(length(text) * 1.5::DOUBLE + doc_id % 5) / sum(n_chars), 6) AS loss, round(exp(least(sum(length(text) * 1.5::DOUBLE + doc_id % 5) / sum(n_chars), 20)), 6) AS perplexity FROM documents GROUP BY lang")
+_LOSSES = "l AS MATERIALIZED (SELECT doc_id, lang, held, count(*) AS n, sum(-ln(p)) AS loss FROM g JOIN chance USING (u, v, w) GROUP BY ALL)"
+
+
+@register("x16_weighted_loss", f"WITH {vocab.lm('SELECT u, v, w FROM g')}, {_LOSSES} SELECT lang, held, round(sum(loss) / sum(n), 6) AS loss, round(exp(least(sum(loss) / sum(n), 20)), 6) AS perplexity FROM l GROUP BY ALL")
+def _(spark, d):
+    seq = vocab.sequences(spark, d)
+    found = N.losses(seq, "tokens", vocab.model(spark, d), "doc_id", "lang", "held")
+    return E.weighted_loss(found, "loss", "n", "lang", "held")
+
+
+@register("x17_perplexity", f"WITH {vocab.lm('SELECT u, v, w FROM g')}, {_LOSSES} SELECT doc_id, held, n::BIGINT AS n, round(exp(least(loss / n, 20)), 4) AS perplexity FROM l")
 def _(spark, d):
-    return E.weighted_loss(docs(spark, d).withColumn("loss", F.length("text") * 1.5 + F.col("doc_id") % 5), "loss", "n_chars", "lang")
+    found = N.losses(vocab.sequences(spark, d), "tokens", vocab.model(spark, d), "doc_id", "held")
+    return found.select("doc_id", "held", "n", F.round(F.exp(F.least(F.col("loss") / F.col("n"), F.lit(20.0))), 4).alias("perplexity"))
 
 
-@register("x17_perplexity", "SELECT doc_id, round(exp(least(n_chars / 1000.0::DOUBLE, 20)), 4) AS perplexity FROM documents")
+@register("x17_chances_of_contexts", f"WITH {vocab.lm('SELECT u, v, w FROM g')} SELECT held, count(*)::BIGINT AS n, round(min(p), 9) AS least, round(avg(p), 6) AS mean FROM g JOIN chance USING (u, v, w) GROUP BY held")
 def _(spark, d):
-    return docs(spark, d).select("doc_id", F.round(F.exp(F.least(F.col("n_chars") / 1000.0, F.lit(20.0))), 4).alias("perplexity"))
+    grams = N.trigrams(vocab.sequences(spark, d), N.marked(F.col("tokens")), "held").groupBy("held", "u", "v", "w").agg(F.count("*").alias("n"))
+    p = N.with_chance(grams, vocab.model(spark, d)).select(*(F.col(c).alias(f"{c}_") for c in "uvw"), "p")
+    both = grams.join(p, (F.col("u") == F.col("u_")) & (F.col("v") == F.col("v_")) & (F.col("w") == F.col("w_")))
+    return both.groupBy("held").agg(F.sum("n").alias("n"), F.round(F.min("p"), 9).alias("least"), F.round(F.sum(F.col("p") * F.col("n")) / F.sum("n"), 6).alias("mean"))
 
 
 @register("x18_learning_rates", "SELECT step, round(CASE WHEN step < 50 THEN step / 50.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5 * (1 + cos(pi() * ((step - 50) % 300) / 300.0::DOUBLE)) END, 6) AS rate FROM range(1000) t(step)")
@@ -769,7 +783,8 @@ def _(spark, d):
     return E.score_report(docs(spark, d).withColumn("score", (F.col("doc_id") % 9 - 3).cast("double")), "score", "lang")
 
 
-@register("a13_accuracy", "SELECT count(*)::BIGINT AS n, round(avg((list_position([doc_id % 7, doc_id % 5, doc_id % 3, doc_id % 6], list_max([doc_id % 7, doc_id % 5, doc_id % 3, doc_id % 6])) - 1 = doc_id % 4)::INT::DOUBLE), 6) AS accuracy, round(avg((list_position([doc_id % 7, doc_id % 5, doc_id % 3, doc_id % 6], list_max([doc_id % 7, doc_id % 5, doc_id % 3, doc_id % 6])) - 1 = doc_id % 4)::INT::DOUBLE) - 0.25, 6) AS over_chance FROM documents")
+@register("a13_accuracy", f"WITH {vocab.lm('SELECT u, v, w FROM cg', True).replace('chance AS', vocab._CHOICES + ', chance AS')}, s AS (SELECT item_id, r % 4 AS label, k, round(sum(ln(p)) / count(*), 9) AS score FROM cg JOIN chance USING (u, v, w) GROUP BY ALL), b AS (SELECT item_id, label, arg_min(k, {{'s': -score, 'k': k}}) AS best FROM s GROUP BY ALL) SELECT count(*)::BIGINT AS n, round(avg((best = label)::INT::DOUBLE), 6) AS accuracy, round(avg((best = label)::INT::DOUBLE) - 0.25, 6) AS over_chance FROM b")
 def _(spark, d):
-    items = docs(spark, d).select(F.array(*(F.col("doc_id") % k for k in (7, 5, 3, 6))).alias("scores"), (F.col("doc_id") % 4).alias("label"))
-    return E.accuracy(items, "scores", "label")
+    found = N.losses(vocab.choices(spark, d), "tokens", vocab.model(spark, d), "item_id", "label", "k", whole=False)
+    scored = found.groupBy("item_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.round(-F.col("loss") / F.col("n"), 9).alias("s")))), lambda x: x["s"]).alias("scores"))
+    return E.accuracy(scored, "scores", "label")

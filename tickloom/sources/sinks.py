@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.corpus import compaction_parts
-
 CORPUS = "text string, source string, token_length long, meta string"
 
 
@@ -64,6 +62,8 @@ def append_log(df: DataFrame, path: str) -> None:
 
 def compact(df: DataFrame, files: DataFrame, path: str, target: int, compression: str = "zstd") -> None:
     """Writes the rows of ``df`` (with their ``file``) in parts of about ``target`` bytes of input files, one folder each."""
+    from tickloom.operators.corpus import compaction_parts  # which uses this module
+
     parts = compaction_parts(files, target).select(F.col("name").alias("file"), "part")
     df.join(parts, "file").drop("file").repartition("part").write.partitionBy("part").option("compression", compression).parquet(path)
 
