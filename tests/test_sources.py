@@ -3,11 +3,12 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tickloom.functions.ranking import with_order
 from tickloom.operators import corpus, mixer
-from tickloom.sources import readers
+from tickloom.sources import readers, sinks
 
 
 def test_row_groups_of_several_files(spark, tmp_path):
@@ -69,3 +70,72 @@ def test_weighted_turns(spark):
     assert sum(r["source"] == "a" for r in first) == 15 and sum(r["source"] == "b" for r in first) == 10
     every = corpus.interleave_weighted(df, "source", "id", {"a": 0.6, "b": 0.4}, "all_exhausted").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).collect()
     assert {r["source"]: (r["n"], r["d"]) for r in every} == {"a": (60, 60), "b": (40, 10)}
+
+
+def test_unit_rows_read_their_row_groups_only(spark, tmp_path):
+    n = 40
+    table = pa.table({"id": range(n), "text": [f"t{k}" for k in range(n)], "other": ["x" * 10] * n})
+    pq.write_table(table, tmp_path / "a.parquet", row_group_size=8)
+    pq.write_table(table.slice(0, 0), tmp_path / "none.parquet")
+    units = readers.row_groups(spark, f"{tmp_path}/*.parquet")
+    some = readers.unit_rows(units.where("row_group IN (1, 4)"), "text string, id long").collect()
+    assert sorted((r["row_group"], r["position"], r["id"], r["text"]) for r in some) == [(g, k, 8 * g + k, f"t{8 * g + k}") for g in (1, 4) for k in range(8)]
+    mix = mixer.mix_plan(mixer.units_of_row_groups(units, "books", "rows"), {"books": 1.0}, 5, 16, 100)
+    for part in range(2):  # a part of the mix is two row groups here
+        own = mix.where(F.col("part") == part).join(units.select("file", "row_group"), ["file", "row_group"])
+        assert readers.unit_rows(own, "id long").count() == 16
+
+
+def test_only_changed_files_are_built_again(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "cache")
+    source.mkdir()
+    built = spark.sparkContext.accumulator(0)
+
+    def build(df):
+        def count(batches):
+            for b in batches:
+                built.add(b.num_rows)
+                yield b
+
+        return df.withColumn("n", F.length("text").cast("long")).mapInArrow(count, "id long, text string, shard_ long, n long")
+
+    def write(name, k):
+        pq.write_table(pa.table({"id": pa.array([k, k + 1], pa.int64()), "text": ["x" * k, "y"]}), source / name)
+
+    def run(version="1"):
+        before = built.value
+        rows = sorted((r["id"], r["n"]) for r in sinks.cached_shards(spark, path, str(source), build, version).collect())
+        return rows, built.value - before
+
+    write("a.parquet", 10), write("b c.parquet", 20), write("d.parquet", 30)
+    assert run() == ([(10, 10), (11, 1), (20, 20), (21, 1), (30, 30), (31, 1)], 6)
+    assert run()[1] == 0
+    write("b c.parquet", 25)
+    assert run() == ([(10, 10), (11, 1), (25, 25), (26, 1), (30, 30), (31, 1)], 2)
+    (source / "a.parquet").unlink()
+    write("e.parquet", 40)
+    assert run() == ([(25, 25), (26, 1), (30, 30), (31, 1), (40, 40), (41, 1)], 2)
+    assert run("2")[1] == 6
+    kept = [p for p in (tmp_path / "cache").glob("shards-*/shard_=*")]
+    assert len(kept) == 3  # old shards are gone
+
+
+def test_append_is_resumed_without_loss_or_repetition(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        pq.write_table(pa.table({"id": pa.array([10 * k, 10 * k + 1], pa.int64())}), f"{source}/{k}.parquet")
+
+    def fault(number):
+        if number == 2:
+            raise RuntimeError("killed")
+
+    with pytest.raises(StreamingQueryException):
+        sinks.append_stream(spark, source, "id long", target, state, files=1, fault=fault)
+    read = lambda: sorted(r["id"] for r in spark.read.schema("id long").option("recursiveFileLookup", "true").parquet(target).collect())
+    assert len(read()) == 6  # the third batch is there, but not committed
+    sinks.append_stream(spark, source, "id long", target, state, files=1)
+    assert read() == [10 * k + j for k in range(5) for j in (0, 1)]
+    pq.write_table(pa.table({"id": pa.array([99], pa.int64())}), f"{source}/9.parquet")
+    sinks.append_stream(spark, source, "id long", target, state, files=1)
+    assert read()[-1] == 99 and len(read()) == 11

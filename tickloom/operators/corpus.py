@@ -95,16 +95,17 @@ def interleave(df: DataFrame, source: str, order: str, stop: str = "first_exhaus
     return r.withColumn("round", F.explode(turns)).drop("r_", "t_", "lo_", "hi_")
 
 
-def interleave_weighted(df: DataFrame, source: str, order: str, weights: Mapping[str, float], stop: str = "first_exhausted") -> DataFrame:
+def interleave_weighted(df: DataFrame, source: str, order: str, weights: Mapping[str, float] | Column, stop: str = "first_exhausted") -> DataFrame:
     """Adds ``turn``: a source's k-th row has its turn at k over the source's weight, so that sources come in their weights.
 
     ``first_exhausted`` ends where the first source does; ``all_exhausted`` goes on to the longest
-    one's end, and others begin anew. Sources without a positive weight are left out.
+    one's end, and others begin anew. Weights are given by source, or as a column that is one for a source. Sources without a positive weight are left out.
     """
     if stop not in ("first_exhausted", "all_exhausted"):
         raise ValueError(stop)
-    table = F.create_map(*(F.lit(x) for s, w in weights.items() if w > 0 for x in (s, float(w))))
-    r = with_order(df, order, "r_", [source], "t_").withColumn("w_", F.try_element_at(table, F.col(source))).where("w_ is not null")
+    if not isinstance(weights, Column):
+        weights = F.try_element_at(F.create_map(*(F.lit(x) for s, w in weights.items() for x in (s, float(w)))), F.col(source))
+    r = with_order(df, order, "r_", [source], "t_").withColumn("w_", weights.cast("double")).where("w_ > 0")
     ends = r.groupBy(source).agg((F.first("t_") / F.first("w_")).alias("e")).agg(F.min("e").alias("lo_"), F.max("e").alias("hi_"))
     r = r.crossJoin(F.broadcast(ends))  # one row
     if stop == "all_exhausted":

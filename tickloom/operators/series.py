@@ -25,11 +25,17 @@ EWM_BLOCK = 256
 def bars_from_events(events: DataFrame, per_bar: int = 3) -> DataFrame:
     """Random-walk bars of ``per_bar`` events for each event type: an input adapter for event tables.
 
-    Prices are integers (hundredths) summed exactly; incomplete last bars are left out.
+    Prices are integers (hundredths) summed exactly; incomplete last bars are left out. Events are numbered and summed within days,
+    and the days' own totals, a row a type and day, give each its start.
     """
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    step = F.round(F.col("value") * 100).cast("long") - 5000
-    walk = events.select(F.col("event_type").alias("symbol"), (F.row_number().over(w) - 1).alias("rn"), (F.lit(100000) + F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("p"))
+    d = events.select(F.col("event_type").alias("symbol"), "ts", "event_id", F.to_date("ts").alias("day"), (F.round(F.col("value") * 100).cast("long") - 5000).alias("step"))
+    inner = Window.partitionBy("symbol", "day").orderBy("ts", "event_id")
+    totals = d.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.sum("step").alias("s"))
+    before = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("symbol").alias("symbol_"), F.col("day").alias("day_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s_"))
+    d = d.select("symbol", "day", F.row_number().over(inner).alias("k"), F.sum("step").over(inner.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
+    d = d.join(starts, F.col("symbol").eqNullSafe(F.col("symbol_")) & F.col("day").eqNullSafe(F.col("day_")))
+    walk = d.select("symbol", (F.col("k") - 1 + F.col("n_")).alias("rn"), (F.lit(100000) + F.coalesce("sum", F.lit(0)) + F.col("s_")).alias("p"))
     bars = walk.groupBy("symbol", F.floor(F.col("rn") / per_bar).cast("long").alias("idx")).agg(F.count("*").alias("n"), F.min_by("p", "rn").alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", "rn").alias("c"))
     return bars.where(F.col("n") == per_bar).select("symbol", "idx", *((F.col(x[0]) / 100.0).alias(x) for x in PRICES))
 

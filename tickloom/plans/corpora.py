@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tickloom.functions import codec
@@ -40,26 +38,23 @@ LETTER_SHARE = "length(regexp_replace(text, '[^\\p{L}]', '', 'g'))"
 # sources and sinks
 
 
-@register("s1_csv_scan", Q.query(Q.BARS, "SELECT symbol, idx, round(open, 6) AS open, round(close, 6) AS close FROM bars WHERE symbol = (SELECT min(symbol) FROM bars)"))
-def _(spark, d):
-    b = bars(spark, d)
-    symbol = b.agg(F.min("symbol")).first()[0]
+def _csv_bars(spark, d):
+    """All bars through CSV files, a folder a symbol; written by ranges of position, so that files are in order, and read at once."""
     path = scratch(spark)
-    one = b.where(F.col("symbol") == symbol).orderBy("idx")
-    sinks.write_csv(one.coalesce(1).sortWithinPartitions("idx").select(*(F.col(c.lower()).alias(c) for c in ("Open", "High", "Low", "Close"))), path)
-    return readers.ohlc_csv(spark, path, symbol).select("symbol", "idx", "open", "close")
+    b = bars(spark, d).where("symbol is not null")
+    rows = b.repartitionByRange("symbol", "idx").sortWithinPartitions("symbol", "idx")
+    rows.select("symbol", *(F.col(c.lower()).alias(c) for c in ("Open", "High", "Low", "Close"))).write.partitionBy("symbol").csv(path, header=True)
+    return readers.ohlc_csv(spark, path)
+
+
+@register("s1_csv_scan", Q.query(Q.BARS, "SELECT symbol, idx, round(open, 6) AS open, round(close, 6) AS close FROM bars WHERE symbol IS NOT NULL"))
+def _(spark, d):
+    return _csv_bars(spark, d).select("symbol", "idx", "open", "close")
 
 
-@register("s1_csv_scan_all", Q.query(Q.BARS, "SELECT symbol, idx, round(open, 6) AS open, round(close, 6) AS close FROM bars"))
+@register("s1_csv_scan_all", Q.query(Q.BARS, "SELECT symbol, idx, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close FROM bars WHERE symbol IS NOT NULL"))
 def _(spark, d):
-    b = bars(spark, d)
-    scans = []
-    for symbol in sorted(r[0] for r in b.select("symbol").where("symbol is not null").distinct().collect()):
-        path = scratch(spark)
-        one = b.where(F.col("symbol") == symbol).select("idx", *(F.col(c.lower()).alias(c) for c in ("Open", "High", "Low", "Close")))
-        sinks.write_csv(one.coalesce(1).sortWithinPartitions("idx").drop("idx"), path)
-        scans.append(readers.ohlc_csv(spark, path, symbol).select("symbol", "idx", "open", "close"))
-    return reduce(DataFrame.unionByName, scans) if scans else b.select("symbol", "idx", "open", "close")
+    return _csv_bars(spark, d)
 
 
 @register("s2_parquet_scan", "SELECT doc_id, md5(text) AS digest, lang, source, n_chars FROM documents")
@@ -87,6 +82,18 @@ def _(spark, d):
     return of("documents", "n_chars").unionByName(of("events", "event_id"))
 
 
+@register("s4_unit_rows", "SELECT doc_id, md5(text) AS digest, CAST(n_chars AS BIGINT) AS n_chars FROM documents")
+def _(spark, d):
+    path = scratch(spark)
+    sinks.write_parquet(docs(spark, d).select("doc_id", "text", "n_chars"), path)
+    with_groups = readers.row_groups(spark, path)
+    first = with_groups.where("row_group % 2 = 0")  # a reader that stops here resumes with the units that are left
+    rest = with_groups.join(first, ["file", "row_group"], "left_anti")
+    schema = "doc_id long, text string, n_chars long"
+    both = readers.unit_rows(first, schema).unionByName(readers.unit_rows(rest, schema))
+    return both.select("doc_id", F.md5("text").alias("digest"), "n_chars")
+
+
 @register("s5_glob_scan", "SELECT 'nation' AS kind, count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
 def _(spark, d):
     both = readers.with_file(spark.read.option("mergeSchema", "true").parquet(f"{d}/{{nation,region}}.parquet"))
@@ -148,6 +155,25 @@ def _(spark, d):
     return spark.read.parquet(path).select(F.md5("text").alias("digest"), "source", "token_length", "meta")
 
 
+@register("k2_resumed_append", "SELECT doc_id, md5(text) AS digest, lang FROM documents")
+def _(spark, d):
+    source, target, state = scratch(spark), scratch(spark), scratch(spark)
+    sinks.write_parquet(docs(spark, d).select("doc_id", "text", "lang").repartition(6), source)
+
+    def stop(number: int) -> None:
+        if number == 1:
+            raise RuntimeError("stopped between a batch and its commit")
+
+    change = lambda df: df.select("doc_id", F.md5("text").alias("digest"), "lang")
+    schema = spark.read.parquet(source).schema
+    try:
+        sinks.append_stream(spark, source, schema, target, state, change, 2, stop)
+    except StreamingQueryException:
+        pass
+    sinks.append_stream(spark, source, schema, target, state, change, 2)
+    return spark.read.schema("doc_id long, digest string, lang string").option("recursiveFileLookup", "true").parquet(target)
+
+
 @register("k3_csv_round_trip", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def _(spark, d):
     path = scratch(spark)
@@ -281,12 +307,10 @@ def _(spark, d):
     return K.interleave(docs(spark, d).select("source", "doc_id"), "source", "doc_id", "all_exhausted")
 
 
-_WEIGHTS = {"src1": 0.5, "src2": 0.3, "src3": 0.2}
-
-
-@register("u3_weighted", f"WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) / w AS turn, count(*) OVER (PARTITION BY source) / w AS e FROM documents JOIN (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _WEIGHTS.items())}) x(source, w) USING (source)) SELECT source, doc_id, round(turn, 6) AS turn FROM r WHERE turn <= (SELECT min(e) FROM r) + 1e-9")
+@register("u3_weighted", "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) / w AS turn, count(*) OVER (PARTITION BY source) / w AS e FROM (SELECT source, doc_id, 1.5::DOUBLE + ascii(right(source, 1)) % 3 AS w FROM documents WHERE source <> '')) SELECT source, doc_id, round(turn, 6) AS turn FROM r WHERE turn <= (SELECT min(e) FROM r) + 1e-9")
 def _(spark, d):
-    return K.interleave_weighted(docs(spark, d).select("source", "doc_id"), "source", "doc_id", _WEIGHTS)
+    weight = F.when(F.col("source") != "", 1.5 + F.ascii(F.right("source", F.lit(1))) % 3)
+    return K.interleave_weighted(docs(spark, d).select("source", "doc_id"), "source", "doc_id", weight)
 
 
 RATIOS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
@@ -605,6 +629,17 @@ def _(spark, d):
     return sinks.cached(spark, path, lambda: build().limit(0))  # it is there, so this is not built
 
 
+@register("k8_cached_shards", "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE doc_id IS NOT NULL")
+def _(spark, d):
+    source, path = scratch(spark), scratch(spark)
+    rows = docs(spark, d).select("doc_id", "text")
+    sinks.write_parquet(rows.where("doc_id IS NOT NULL").withColumn("text", F.lit("old")).limit(10), f"{source}/a")
+    build = lambda df: df.select("doc_id", F.length("text").alias("n"), "shard_")
+    sinks.cached_shards(spark, path, source, build).count()
+    sinks.write_parquet(rows.where("doc_id IS NOT NULL"), f"{source}/a", mode="overwrite")  # all that was there has changed
+    return sinks.cached_shards(spark, path, source, build)
+
+
 # tokens
 
 

@@ -307,10 +307,12 @@ def _(spark, d):
     "j1_relations",
     Q.query(
         f"""{Q.events('BEAR')}, e AS MATERIALIZED (SELECT symbol, start_idx, seq, kind, candle_idx, coalesce(direction, CASE WHEN type LIKE '%HIGH%' OR type = 'BEAR' THEN 'BEAR' WHEN type LIKE '%LOW%' OR type = 'BULL' THEN 'BULL' END) AS way,
-        coalesce(gap_low, swing_level) AS lo, coalesce(gap_high, swing_level) AS hi FROM facts)""",
+        coalesce(gap_low, swing_level) AS lo, coalesce(gap_high, swing_level) AS hi FROM facts),
+        l AS MATERIALIZED (SELECT symbol, start_idx, list({{'seq': seq, 'kind': kind, 'candle_idx': candle_idx, 'way': way, 'lo': lo, 'hi': hi}} ORDER BY seq) AS ev FROM e GROUP BY symbol, start_idx),
+        f AS (SELECT symbol, start_idx, ev, unnest(ev) AS a FROM l), p AS (SELECT symbol, start_idx, a, unnest(list_filter(ev, lambda x: x.seq > a.seq)) AS b FROM f)""",
         """SELECT symbol, start_idx, a.seq::BIGINT AS event_a_idx, b.seq::BIGINT AS event_b_idx, CASE WHEN a.candle_idx < b.candle_idx THEN 'A_BEFORE_B' WHEN a.candle_idx > b.candle_idx THEN 'B_BEFORE_A'
         WHEN a.kind = 'sweep' AND b.kind = 'shift' THEN 'A_BEFORE_B' WHEN a.kind = 'shift' AND b.kind = 'sweep' THEN 'B_BEFORE_A' ELSE 'SAME_CANDLE' END AS "order", a.way = b.way AS same_direction, least(a.hi, b.hi) > greatest(a.lo, b.lo) AS overlap
-        FROM e a JOIN e b USING (symbol, start_idx) WHERE a.seq < b.seq""",
+        FROM p""",
     ),
 )
 def _(spark, d):

@@ -10,6 +10,8 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 OHLC = "Open double, High double, Low double, Close double"
 
@@ -20,20 +22,49 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def ohlc_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    """Bars of one symbol's CSV files. Positions follow the files' names and the rows' order within them.
+def ohlc_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
+    """Bars of CSV files: one symbol's, or, without ``symbol``, those of folders ``symbol=...`` below the path, read at once.
 
-    Rows are numbered within the pieces that tasks read; the pieces' counts, one row each, give their starts.
+    Positions follow the files' names and the rows' order within them. Rows are numbered within the pieces that tasks read; the
+    pieces' counts, one row each, give their starts.
     """
-    raw = spark.read.schema(OHLC).csv(path, header=True)
-    piece = [F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("from_")]
-    rows = raw.select("*", *piece, F.monotonically_increasing_id().alias("row_"))
-    sizes = rows.groupBy("file_", "from_").agg(F.count("*").alias("n_"), F.min("row_").alias("least_"))
-    ahead = F.coalesce(F.sum("n_").over(Window.orderBy("file_", "from_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fields = OHLC if symbol is not None else f"{OHLC}, symbol string"
+    raw = spark.read.schema(fields).csv(path, header=True)
+    name = F.lit(symbol) if symbol is not None else F.col("symbol")
+    piece = [name.alias("symbol"), F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("from_")]
+    rows = raw.select("Open", "High", "Low", "Close", *piece, F.monotonically_increasing_id().alias("row_"))
+    sizes = rows.groupBy("symbol", "file_", "from_").agg(F.count("*").alias("n_"), F.min("row_").alias("least_"))
+    ahead = F.coalesce(F.sum("n_").over(Window.partitionBy("symbol").orderBy("file_", "from_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(F.col("file_").alias("f_"), F.col("from_").alias("b_"), "least_", ahead.alias("ahead_"))
-    placed = rows.join(F.broadcast(sizes), (F.col("file_") == F.col("f_")) & (F.col("from_") == F.col("b_")))
+    placed = rows.join(sizes, (F.col("file_") == F.col("f_")) & (F.col("from_") == F.col("b_")))
     idx = F.col("row_") - F.col("least_") + F.col("ahead_")
-    return placed.select(F.lit(symbol).alias("symbol"), idx.cast("long").alias("idx"), *(F.col(c).alias(c.lower()) for c in ("Open", "High", "Low", "Close")))
+    return placed.select("symbol", idx.cast("long").alias("idx"), *(F.col(c).alias(c.lower()) for c in ("Open", "High", "Low", "Close")))
+
+
+def unit_rows(units: DataFrame, schema: str, tasks: int | None = None) -> DataFrame:
+    """The rows of chosen row groups: ``file, row_group, position`` and the columns of ``schema``, of the units (``file, row_group``) given.
+
+    Units are dealt to tasks one by one; a task opens a unit's file, reads that row group and of it the columns asked for, and nothing else.
+    ``position`` is the row's place in its row group. A reader resumes by the units that are left. Files must be in a store that Arrow knows.
+    """
+    spark = units.sparkSession
+    columns = spark.createDataFrame([], schema).schema
+    out = StructType([StructField("file", StringType()), StructField("row_group", LongType()), StructField("position", LongType()), *columns.fields])
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _parquet_file(name) as f:
+                    at = 0
+                    for part in f.iter_batches(8192, row_groups=[group], columns=columns.names):
+                        n = part.num_rows
+                        own = [pa.array([name] * n, pa.string()), pa.array([group] * n, pa.int64()), pa.array(range(at, at + n), pa.int64())]
+                        yield pa.RecordBatch.from_arrays([*own, *(part.column(part.schema.get_field_index(c.name)).cast(kinds.field(c.name).type) for c in columns.fields)], schema=kinds)
+                        at += n
+
+    dealt = units.select("file", F.col("row_group").cast("long")).repartition(tasks or spark.sparkContext.defaultParallelism * 4, "file", "row_group")
+    return dealt.mapInArrow(read, out)
 
 
 def parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | Callable[[DataFrame], Column] | None = None) -> DataFrame:

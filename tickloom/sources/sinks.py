@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CORPUS = "text string, source string, token_length long, meta string"
 
@@ -110,3 +111,61 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], previ
         if previous is not None:
             fs.delete(_path(spark, previous)[0], True)
     return spark.read.parquet(path)
+
+
+def _listed(spark: SparkSession, path: str) -> dict[str, tuple[int, str, int]]:
+    """Size, time and key of each parquet file of a glob, by name: metadata, without a look into the files. The key is a hash of the name as rows have it."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rows = found.select("path", "length", "modificationTime", F.xxhash64("_metadata.file_path")).collect()
+    return {r[0]: (r[1], str(r[2]), r[3]) for r in sorted(rows) if r[0].endswith(".parquet")}
+
+
+def cached_shards(spark: SparkSession, path: str, source: str, build: Callable[[DataFrame], DataFrame], version: str = "") -> DataFrame:
+    """What ``build`` makes of the parquet files of ``source``, kept at ``path`` by input file: only files that are new or changed are built.
+
+    A manifest lists the input files with sizes and times, and the folder that holds what was made of each. Changed files are built in one
+    job into a folder of their own; then the manifest is swapped, and shards that it no longer names are deleted, so a reader sees
+    the old state or the new one, and a run that is stopped leaves the old. ``build`` must work row by row, as a file's rows are its shard's; ``version``
+    names it, and another one builds all anew. Files are metadata on the driver; their rows never are.
+    """
+    state = load_state(spark, f"{path}/manifest.json") or {"version": version, "files": {}}
+    known = state["files"] if state["version"] == version else {}
+    now = _listed(spark, source)
+    kept = {name: known[name] for name, (size, time, _) in now.items() if name in known and known[name][:2] == [size, time]}
+    fresh = sorted(set(now) - set(kept))
+    if fresh:
+        folder = f"shards-{uuid.uuid4().hex}"
+        rows = build(spark.read.parquet(*fresh).withColumn("shard_", F.xxhash64("_metadata.file_path")))
+        rows.write.partitionBy("shard_").parquet(f"{path}/{folder}")
+        schema = rows.drop("shard_").schema.json()
+        kept |= {name: [*now[name][:2], folder, now[name][2], schema] for name in fresh}
+    if fresh or set(kept) != set(known) or state["version"] != version:
+        save_state(spark, f"{path}/manifest.json", {"version": version, "files": kept})
+        live = {(v[2], v[3]) for v in kept.values()}
+        for _, _, folder, key, _ in state["files"].values():
+            if (folder, key) not in live:
+                target, fs = _path(spark, f"{path}/{folder}/shard_={key}")
+                fs.delete(target, True)
+    if not kept:
+        raise FileNotFoundError(source)
+    schema = StructType.fromJson(json.loads(next(iter(kept.values()))[4]))
+    shards = [p for p in (f"{path}/{v[2]}/shard_={v[3]}" for v in kept.values()) if (t := _path(spark, p))[1].exists(t[0])]  # a file without rows has none
+    return spark.read.schema(schema).parquet(*shards) if shards else spark.createDataFrame([], schema)
+
+
+def append_stream(spark: SparkSession, source: str, schema: str | StructType, path: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] = lambda df: df, files: int = 100, fault: Callable[[int], None] | None = None) -> None:
+    """Appends what ``change`` makes of parquet files that are new at ``source`` to ``path``, each file's rows once, whatever fails between.
+
+    A stream reads files in batches of ``files``; which files are in which batch is in its checkpoint before the batch is written. A batch's
+    folder is named by its number and written over, so a batch that is done again after a failure replaces what the first try left.
+    ``fault`` is called after a batch is written and before it is committed, for tests.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        change(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if fault is not None:
+            fault(number)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
