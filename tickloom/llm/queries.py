@@ -94,7 +94,7 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     with working(spark) as keep:
         archives = stash(warc.write_archives(_table(spark, sf_dir, "pages")), "manifest")
-        records = warc.resolved(warc.read_archives(archives))
+        records = warc.resolved(stash(warc.read_archives(archives), "read"))  # read once, used on both sides of a join
         return keep(stash(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"), "records"))
 
 
