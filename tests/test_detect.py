@@ -1,11 +1,14 @@
 """Golden charts of the detectors, the codec and what is built on them."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import candles as C
 from tickloom.functions import codec
 from tickloom.operators import detect as D
+from tickloom.operators import long_scan
 from tickloom.operators import render as R
 from tickloom.operators import validate as V
 
@@ -149,3 +152,23 @@ def test_rejection_sweeps(frame):
     got = {r["start_idx"]: r for r in D.rejection_sweeps(frame(flat, closed, [(10, 10, 10, 10)] * 7)).collect()}
     assert got[0]["type"] == "BEARISH_SWEEP" and got[0]["swing_level"] == 15 and got[0]["depth"] == 1
     assert set(got) == {0}
+
+
+@pytest.mark.parametrize("block", [12, 40, 4096])
+def test_scans_of_series_are_those_of_one_chart(spark, block):
+    rng = random.Random(block)
+    rows = []
+    for symbol, n in (("a", 400), ("b", 37), ("c", 3), ("d", 12), (None, 60)):
+        at = 1000
+        for k in range(n):
+            at += rng.randint(-6, 6)
+            high, low = at + rng.randint(0, 5), at - rng.randint(0, 5)
+            rows.append((symbol, k, at, high, low, rng.randint(low, high)))
+    df = spark.createDataFrame(rows, "symbol string, idx long, o int, h int, l int, c int").repartition(4)
+    near = D.with_nearest_swings(D.with_swings(df.select("symbol", F.lit(0).alias("start_idx"), F.col("idx").cast("int").alias("i"), "o", "h", "l", "c"), 2), 10)
+    plain = lambda f, drop: sorted((tuple(x for c, x in r.asDict().items() if c not in drop) for r in f.collect()), key=str)
+    assert plain(long_scan.sweeps_of_series(df, block=block), ()) == plain(D.sweep_scan(near).select("symbol", "i", "type", "swing_idx", "swing_level", "depth"), ())
+    for trend in ("BULL", "BEAR"):
+        assert plain(long_scan.shifts_of_series(df, trend, block=block), ()) == plain(D.shift_scan(near, trend).select("symbol", "i", "type", "direction", "swing_idx", "swing_level", "broken_type"), ())
+    with pytest.raises(ValueError):
+        long_scan.sweeps_of_series(df, block=11)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tickloom.sources.sinks import materialised
 
-BUCKETS = 1024
+BUCKETS = 1 << 14
 #: Ranges of the order of a column.
-RANGES = 256
+RANGES = 2048
 
 
 def with_rank(df: DataFrame, number: Column, ties: Sequence[str], out: str = "rank", groups: Sequence[str] = (), total: str | None = None, upper: float = float(1 << 32)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import candles as C
 from tickloom.functions import codec
 from tickloom.operators import detect as D
+from tickloom.operators import long_scan as L
 from tickloom.operators import series as S
 
 from . import sql as Q
@@ -277,6 +278,24 @@ def _(spark, d):
     return D.shift_scan(near(spark, d), "BULL")
 
 
+#: Whole series as one chart each, in hundredths.
+_SERIES = Q.near(base=Q.BARS + ", candles AS MATERIALIZED (SELECT symbol, 0::BIGINT AS start_idx, idx::INTEGER AS i, round(open * 100)::INTEGER AS o, round(high * 100)::INTEGER AS h, round(low * 100)::INTEGER AS l, round(close * 100)::INTEGER AS c FROM bars)")
+
+
+def series(spark, d):
+    return bars(spark, d).select("symbol", "idx", *(F.round(F.col(c) * 100).cast("int").alias(c[0]) for c in ("high", "low", "close")))
+
+
+@register("d10_sweeps_of_series", Q.query(f"{_SERIES}, {Q.SWEEPS}", "SELECT symbol, i::BIGINT AS i, type, swing_idx::BIGINT AS swing_idx, swing_level::BIGINT AS swing_level, depth::BIGINT AS depth FROM sweeps"))
+def _(spark, d):
+    return L.sweeps_of_series(series(spark, d))
+
+
+@register("d12_shifts_of_series", Q.query(f"{_SERIES}, {Q.shifts('BEAR')}", "SELECT symbol, i::BIGINT AS i, type, direction, swing_idx::BIGINT AS swing_idx, swing_level::BIGINT AS swing_level, broken_type FROM shifts"))
+def _(spark, d):
+    return L.shifts_of_series(series(spark, d), "BEAR")
+
+
 _REJ = """pairs AS (SELECT a.symbol, a.start_idx, a.i, a.h, a.l, a.c, max(CASE WHEN s.swing_high AND NOT EXISTS (SELECT 1 FROM sw k WHERE k.symbol = a.symbol AND k.start_idx = a.start_idx AND k.i > s.i AND k.i < a.i AND k.c > s.h) THEN s.i END) AS jh,
   max(CASE WHEN s.swing_low AND NOT EXISTS (SELECT 1 FROM sw k WHERE k.symbol = a.symbol AND k.start_idx = a.start_idx AND k.i > s.i AND k.i < a.i AND k.c < s.l) THEN s.i END) AS jl
   FROM sw a JOIN sw s ON s.symbol = a.symbol AND s.start_idx = a.start_idx AND s.i <= a.i - 3 AND s.i >= greatest(a.i - 20, 2) GROUP BY ALL),
