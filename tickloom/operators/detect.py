@@ -138,18 +138,18 @@ def shift_scan(near: DataFrame, trend: str) -> DataFrame:
 def rejection_sweeps(candles: DataFrame, window: int = 2, lookback: int = 20) -> DataFrame:
     """Sweeps that the close rejects, of the nearest swing that no close has passed since.
 
-    Unlike the scan, a broken swing does not hide older ones. Charts' swings are joined to their
-    candles within the lookback by chart, which bounds the pairs by the chart's length.
+    Unlike the scan, a broken swing does not hide older ones. A swing is dealt to the ``lookback`` candles after it.
     """
     s = with_swings(candles, window)
-    # the first candle whose close passes a swing's level, found among those that follow
-    follow = s.select(*CHART, F.col("i").alias("k"), F.col("c").alias("ck"))
     swings = s.where("swing_high or swing_low").select(*CHART, F.col("i").alias("j"), "h", "l", "swing_high", "swing_low")
-    passed = swings.join(follow, list(CHART)).where((F.col("k") > F.col("j")) & (F.col("k") < F.col("j") + lookback))
-    broken = passed.groupBy(*CHART, "j").agg(F.min(F.when(F.col("swing_high") & (F.col("ck") > F.col("h")), F.col("k"))).alias("up_at"), F.min(F.when(F.col("swing_low") & (F.col("ck") < F.col("l")), F.col("k"))).alias("down_at"))
-    swings = swings.join(broken, [*CHART, "j"], "left")
-    now = s.select(*CHART, "i", F.col("h").alias("hi"), F.col("l").alias("li"), F.col("c").alias("ci"))
-    pairs = now.join(swings, list(CHART)).where((F.col("j") <= F.col("i") - window - 1) & (F.col("j") >= F.greatest(F.col("i") - lookback, F.lit(window))))
+    # each swing meets the candles after it, within the lookback, by equal keys
+    after = F.explode(F.sequence(F.col("j") + 1, F.col("j") + lookback))
+    seen = swings.withColumn("i", after).join(s.select(*CHART, "i", F.col("h").alias("hi"), F.col("l").alias("li"), F.col("c").alias("ci")), [*CHART, "i"])
+    # a close beyond the level, before this candle
+    past = Window.partitionBy(*CHART, "j").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    first = lambda hit: F.min(F.when(hit, F.col("i"))).over(past)
+    pairs = seen.withColumns({"up_at": first(F.col("swing_high") & (F.col("ci") > F.col("h"))), "down_at": first(F.col("swing_low") & (F.col("ci") < F.col("l")))})
+    pairs = pairs.where((F.col("j") <= F.col("i") - window - 1) & (F.col("j") >= window))
     whole = lambda at: F.col(at).isNull() | (F.col(at) >= F.col("i"))
     near = lambda flag, at, level: F.max(F.when(F.col(flag) & whole(at), F.struct("j", F.col(level).alias("level"))))
     found = pairs.groupBy(*CHART, "i", "hi", "li", "ci").agg(near("swing_high", "up_at", "h").alias("sh"), near("swing_low", "down_at", "l").alias("sl"))
@@ -161,18 +161,27 @@ def rejection_sweeps(candles: DataFrame, window: int = 2, lookback: int = 20) ->
     return found.withColumn("type", kind).where("type is not null").select(*CHART, "i", "type", swing["j"].alias("swing_idx"), swing["level"].alias("swing_level"), depth.alias("depth"))
 
 
-def events(candles: DataFrame, trend: str, window: int = 2, lookback: int = 10) -> DataFrame:
-    """All events of each chart (the fact): sweeps, then gaps, then shifts, numbered by ``seq`` from 0."""
-    _check(trend)
+def _shaped(df: DataFrame, kind: str, rank: int) -> DataFrame:
+    have = set(df.columns)
+    kinds = {"type": "string", "direction": "string", "swing_idx": "int", "swing_level": "int", "depth": "int", "gap_low": "int", "gap_high": "int", "gap_size": "int", "fill_pct": "double", "broken_type": "string"}
+    cols = [F.col(c).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    return df.select(*CHART, F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), F.col("i").alias("candle_idx"), *cols)
+
+
+def trendless(candles: DataFrame, window: int = 2, lookback: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What events of both trends share: candles with their nearest swings, and the sweeps and gaps, which no trend changes.
+
+    Callers that want events of more than one trend write both (``materialised``) and give them to ``events``.
+    """
     near = with_nearest_swings(with_swings(candles, window), lookback)
-    null = lambda t: F.lit(None).cast(t)
-    def shaped(df: DataFrame, kind: str, rank: int) -> DataFrame:
-        have = set(df.columns)
-        kinds = {"type": "string", "direction": "string", "swing_idx": "int", "swing_level": "int", "depth": "int", "gap_low": "int", "gap_high": "int", "gap_size": "int", "fill_pct": "double", "broken_type": "string"}
-        cols = [F.col(c).cast(t).alias(c) if c in have else null(t).alias(c) for c, t in kinds.items()]
-        return df.select(*CHART, F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), F.col("i").alias("candle_idx"), *cols)
-
-    out = shaped(sweep_scan(near), "sweep", 0).unionByName(shaped(graded_gaps(candles), "gap", 1)).unionByName(shaped(shift_scan(near, trend), "shift", 2))
+    return near, _shaped(sweep_scan(near), "sweep", 0).unionByName(_shaped(graded_gaps(candles), "gap", 1))
+
+
+def events(candles: DataFrame, trend: str, window: int = 2, lookback: int = 10, shared: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """All events of each chart (the fact): sweeps, then gaps, then shifts, numbered by ``seq`` from 0. ``shared`` is what ``trendless`` gives."""
+    _check(trend)
+    near, fixed = shared or trendless(candles, window, lookback)
+    out = fixed.unionByName(_shaped(shift_scan(near, trend), "shift", 2))
     seq = F.row_number().over(Window.partitionBy(*CHART).orderBy("rank", "candle_idx")).cast("int") - 1
     return out.withColumn("seq", seq).select(*CHART, *EVENT)
 

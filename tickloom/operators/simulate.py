@@ -64,10 +64,15 @@ def simulate(forward: DataFrame, length: int, spread: int = 2, stops: Sequence[i
     return g.withColumn("score", score(F.col("exit_type"), F.col("pnl_bins"), F.col("max_dd_bins"), F.col("candle_exit"), length, min(stops)))
 
 
-def trade_samples(trades: DataFrame, charts: DataFrame) -> DataFrame:
-    """A sample's text for each trade and size of position; the size changes nothing but the action."""
+def with_actions(trades: DataFrame) -> DataFrame:
+    """A row for each trade and size of position; the size changes nothing but the action."""
     actions = F.when(F.col("side") == "long", F.array(*map(F.lit, ACTIONS[:3]))).otherwise(F.array(*map(F.lit, ACTIONS[3:])))
-    t = trades.withColumn("action", F.explode(actions)).join(charts.select("symbol", "start_idx", F.col("text").alias("chart")), ["symbol", "start_idx"])
+    return trades.withColumn("action", F.explode(actions))
+
+
+def trade_samples(actions: DataFrame, charts: DataFrame) -> DataFrame:
+    """A sample's text for each row of ``with_actions``."""
+    t = actions.join(charts.select("symbol", "start_idx", F.col("text").alias("chart")), ["symbol", "start_idx"])
     text = F.format_string("%s\n<action>%s</action>\n<sl>%d</sl>\n<tp>%d</tp>\n<result>%s | candle:%d | pnl_bins:%+d | max_dd_bins:%+d | score:%s</result>", "chart", "action", "sl", "tp", "exit_type", "candle_exit", "pnl_bins", "max_dd_bins", F.col("score").cast("string"))
     return t.select("symbol", "start_idx", "action", "sl", "tp", "exit_type", text.alias("text"))
 

@@ -152,7 +152,7 @@ SAMPLES = f"{Q.events()}, {_SAMPLES}"
 
 
 def samples(spark, d, trend: str = "BULL"):
-    k = candles(spark, d)
+    k = materialised(candles(spark, d))  # the scans, the gaps, the texts and the renderer all read them
     return R.samples(D.events(k, trend), k, S.chart_texts(k))
 
 
@@ -276,9 +276,10 @@ def long_slices(spark, d):
 def corpus(spark, d):
     """Sliced charts, both trends, all samples: rows of the corpus schema."""
     s = materialised(long_slices(spark, d))
-    k = s.select("symbol", "start_idx", F.posexplode("candles").alias("i", "x")).select("symbol", "start_idx", "i", "x.*")
+    k = materialised(s.select("symbol", "start_idx", F.posexplode("candles").alias("i", "x")).select("symbol", "start_idx", "i", "x.*"))
     texts = s.select("symbol", "start_idx", codec.chart_text(F.col("candles")).alias("text"))
-    both = R.samples(D.events(k, "BULL"), k, texts).unionByName(R.samples(D.events(k, "BEAR"), k, texts))
+    shared = tuple(map(materialised, D.trendless(k)))
+    both = R.samples(D.events(k, "BULL", shared=shared), k, texts).unionByName(R.samples(D.events(k, "BEAR", shared=shared), k, texts))
     rows = both.join(s.select("symbol", "start_idx", "source_idx", "lo", "hi"), ["symbol", "start_idx"])
     meta = F.to_json(F.struct(F.col("source_idx").alias("chart_index"), F.array("lo", "hi").alias("sub_range"), "sample_type"))
     return rows.select("text", F.col("request").alias("source"), F.length("text").cast("long").alias("token_length"), meta.alias("meta"))
@@ -319,8 +320,8 @@ trades AS MATERIALIZED (SELECT *, CASE exit_type WHEN 'sl_hit' THEN 0.0::DOUBLE
   round_even(least(5.0::DOUBLE + (1.0::DOUBLE - candle_exit / {FWD}.0::DOUBLE) * 2.5 + greatest(1.0::DOUBLE - abs(max_dd_bins) / 80.0::DOUBLE, 0) * 2.5, 10), 1) END AS score FROM outs)"""
 
 
-def trades(spark, d):
-    w = S.windows(ranged(spark, d), 20, 10, FWD)
+def trades(spark, d, windows=None):
+    w = S.windows(ranged(spark, d), 20, 10, FWD) if windows is None else windows
     return T.simulate(T.forward_bins(w, 20, Q.SCALE), FWD)
 
 
@@ -341,10 +342,11 @@ texts AS MATERIALIZED (SELECT symbol, start_idx, action, sl, tp, exit_type, char
 
 
 def trade_texts(spark, d):
-    texts = S.windows(ranged(spark, d), 20, 10, FWD).where("i < 20").groupBy("symbol", "start_idx")
+    w = materialised(S.windows(ranged(spark, d), 20, 10, FWD))  # for the trades and for the texts
+    texts = w.where("i < 20").groupBy("symbol", "start_idx")
     bins = F.struct("i", *(codec.to_bin(F.col(p), F.col("anchor_open"), F.col("anchor_atr"), Q.SCALE).alias(p[0]) for p in S.PRICES))
     texts = texts.agg(codec.chart_text(F.array_sort(F.collect_list(bins))).alias("text"))
-    return T.trade_samples(trades(spark, d), texts)
+    return T.trade_samples(T.with_actions(trades(spark, d, w)), texts)
 
 
 @register("t3_trade_samples", Q.query(TRADE_TEXTS, "SELECT symbol, start_idx, action, sl::BIGINT AS sl, tp::BIGINT AS tp, md5(text) AS digest, text[strpos(text, '<result>'):] AS result FROM texts"))
@@ -364,8 +366,8 @@ b AS (SELECT * FROM h WHERE rank <= (SELECT min(n) FROM (SELECT count(*) AS n FR
 
 @register("t5_balanced_trades", Q.query(_BALANCED, "SELECT symbol, start_idx, action, sl::BIGINT AS sl, tp::BIGINT AS tp, exit_type, rank::BIGINT AS rank FROM b"))
 def _(spark, d):
-    b = T.balance(trade_texts(spark, d), "exit_type", ("symbol", "start_idx", "action", "sl", "tp"))
-    return b.drop("text")
+    rows = materialised(T.with_actions(trades(spark, d)).select("symbol", "start_idx", "action", "sl", "tp", "exit_type"))  # texts can be joined to those that are chosen
+    return T.balance(rows, "exit_type", ("symbol", "start_idx", "action", "sl", "tp"))
 
 
 @register("t6_exit_distribution", Q.query(TRADE_TEXTS, "SELECT exit_type, count(*)::BIGINT AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM texts GROUP BY exit_type"))
