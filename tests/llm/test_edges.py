@@ -106,3 +106,11 @@ def test_chat_edges(spark):
     assert out[2]["back"][0]["role"] == "" and not out[2]["valid"]
     assert out[3]["back"][0]["role"] == "tool" and out[3]["back"][0]["text"] == "a\\[b<c"
     assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_very_long_turns_and_conversations(spark):
+    long = "</s>[INST] word " * 60_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(4000)]
+    got = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).withColumn("back", chat.read_back(F.col("formatted"))).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["back"]] == [("user", long), ("assistant", long)]
+    assert [t["text"] for t in got[2]["back"]] == [f"turn {k}" for k in range(4000)] and got[2]["valid"]
