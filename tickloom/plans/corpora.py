@@ -429,6 +429,28 @@ def _(spark, d):
     return lines(spark, d).groupBy("doc").agg(F.count("*").alias("n"), F.max("line_no").alias("last"))
 
 
+def _packed_lines(content: bytes):
+    """Lines of a packed file: document, page, number and text, by tabs; where on its page a line is follows from its number."""
+    for line in content.split(b"\n")[:-1]:
+        doc, page, number, text = line.decode().split("\t", 3)
+        top = float(int(number) % PAGE_LINES)
+        yield int(page), int(number), f"{doc}\t{text}", top, top + 1
+
+
+PAGE_LINES = 40
+
+
+@register("s11_page_lines", f"SELECT doc_id, ((k - 1) // {PAGE_LINES})::BIGINT AS page, (k - 1)::BIGINT AS line_no, ((k - 1) % {PAGE_LINES})::DOUBLE AS top, md5(line) AS digest FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))")
+def _(spark, d):
+    path = scratch(spark)
+    rows = docs(spark, d).where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
+    packed = rows.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.floor(F.col("k") / PAGE_LINES).cast("string"), F.col("k").cast("string"), "line").alias("value"))
+    packed.write.option("maxRecordsPerFile", 50_000).text(path)  # a file is read whole by one task
+    found = readers.page_lines(spark, path, _packed_lines, "part-*")
+    both = F.split("text", "\t", 2)
+    return found.select(both[0].cast("long").alias("doc_id"), "page", "line_no", "top", F.md5(both[1]).alias("digest"))
+
+
 @register("j2_window_rows", Q.query(Q.wins(), "SELECT symbol, start_idx, i::BIGINT AS i, idx FROM wins"))
 def _(spark, d):
     return market.wins(spark, d).select("symbol", "start_idx", "i", "idx")
