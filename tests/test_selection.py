@@ -76,3 +76,41 @@ def test_parts_against_a_pass_over_the_files(spark, seed):
 
 def test_parts_of_no_files(spark):
     assert compaction_parts(spark.createDataFrame([], "name string, bytes long"), 5).count() == 0
+
+
+def plain_plan(units, ratios, turn, part, chunk, resume):
+    """Unit by unit, as the rule says it."""
+    queues = {c: sorted(u for u in units if u[0] == c)[resume.get(c, 0) :] for c in ratios}
+    given, rows = dict.fromkeys(ratios, 0), []
+    at_chunk = at_part = in_chunk = in_part = 0
+    while any(queues.values()):
+        pick = min((c for c in ratios if queues[c]), key=lambda c: given[c] / max(in_chunk, 1) - ratios[c])
+        room = min(part, chunk - (in_chunk - in_part)) - in_part
+        taken = 0
+        while queues[pick] and taken < max(1, min(turn, room)):
+            unit = queues[pick].pop(0)
+            rows.append((*unit[:3], unit[3] or 0, at_chunk, at_part, len(rows)))
+            taken += unit[3] or 0
+        given[pick] += taken
+        in_chunk, in_part = in_chunk + taken, in_part + taken
+        if in_part >= min(part, chunk - (in_chunk - in_part)):
+            at_part, in_part = at_part + 1, 0
+        if in_chunk >= chunk:
+            at_chunk, at_part, in_chunk, in_part = at_chunk + 1, 0, 0, 0
+            given = dict.fromkeys(ratios, 0)
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_against_one_unit_at_a_time(spark, seed):
+    from tickloom.operators import mixer
+
+    rng = random.Random(seed)
+    ratios = {"b": 0.5, "a": 0.3, "c": 0.15, "none": 0.05}
+    units = [(c, f"f{k // 5}", k % 5, rng.choice([0, None, rng.randint(1, 9), rng.randint(1, 60)])) for c, n in (("a", 23), ("b", 40), ("c", 3), ("other", 4)) for k in range(n)]
+    df = spark.createDataFrame(units, "category string, file string, row_group long, tokens long").repartition(3)
+    resume = {"a": 4, "c": 9} if seed % 2 else {}
+    for turn, part, chunk in ((10, 50, 200), (1, 7, 30), (1000, 100, 10**6)):
+        got = mixer.mix_plan(df, ratios, turn, part, chunk, resume, block=[4, 16384][seed // 2]).orderBy("seq").collect()
+        assert [tuple(r) for r in got] == plain_plan(units, ratios, turn, part, chunk, resume)
+    assert mixer.mix_plan(df.limit(0), ratios).count() == 0
