@@ -55,8 +55,8 @@ def test_training_against_a_plain_trainer(spark, seed):
     letters = ["ab", "abcdefgh", "aé日", "abcdefghijklmnopqrstuvwxyz "][seed]
     words = {"".join(rng.choices(letters, k=rng.randint(1, 9))): rng.randint(1, 30) for _ in range(120)}
     words |= {"aaaaaaa": 9, "a": 100, "": 4}
-    got = bpe.train(frame(spark, list(words.items())).repartition(3), 40)
-    assert [(m.rank, m.left, m.right, m.count) for m in got] == plain_training(list(words.items()), 40)
+    got = bpe.train(frame(spark, list(words.items())).repartition(3), 24)
+    assert [(m.rank, m.left, m.right, m.count) for m in got] == plain_training(list(words.items()), 24)
 
 
 def test_training_ends_where_nothing_is_frequent(spark):
