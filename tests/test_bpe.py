@@ -106,3 +106,38 @@ def test_price_tokens_come_after_the_words(spark):
     assert price(strict[5]) == [4096, 1, 3 * 1024 + 7, 4097] and price(loose[5]) == [4096, 1, 3 * 1024 + 7, 4097, 5, 4097]
     assert price(strict[7]) == [] and price(loose[7]) == [1023]
     assert bytes(i for i in strict[5] if i < base).decode() == " H_2000  then O_5 and </chart>"
+
+
+class _Map:
+    """Stands for a table: gives the function that would run on its batches."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_an_encoder_sends_rows_in_batches_of_bounded_size():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    words = bpe.FLUSH // 8
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab " * words, None, ""] * 10)], names=["t"])
+    run = bpe.encoded(_Map(T.StructType([T.StructField("t", T.StringType())])), "t", [bpe.Merge(0, 97, 98, 1)], prices=False)
+    out = list(run(iter([batch])))
+    assert sum(b.num_rows for b in out) == 30 and len(out) > 1
+    assert all(sum(len(t.split()) for t in b.column("t").to_pylist() if t) <= bpe.FLUSH + words for b in out)
+    assert out[0].column("ids").to_pylist()[:3] == [[256, *[32, 256] * (words - 1), 32], None, []]
+
+
+def test_words_are_packed_many_a_row():
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([b"aaaa", b"", b"xaab"] * 1000), pa.array([3, 5, 2] * 1000)], names=["word", "n"])
+    packed = list(bpe._cut(iter([batch.slice(1)])))
+    assert [b.num_rows for b in packed] == [1]
+    pairs = dict(zip(*(c.to_pylist() for c in next(bpe._pair_counts([bpe.Merge(0, 97, 97, 1)], 257)(iter(packed))).columns), strict=True))
+    assert pairs == {256 * 257 + 256: 999 * 3, 120 * 257 + 256: 2000, 256 * 257 + 98: 2000}
+    assert bpe._merged(np.array([97, 97, 97, bpe.GAP, 97, 97], np.int32), [bpe.Merge(0, 97, 97, 1)]).tolist() == [256, 97, bpe.GAP, 256]
