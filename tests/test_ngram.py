@@ -78,3 +78,29 @@ def test_model_of_nothing(spark):
     got = ngram.losses(spark.createDataFrame([(1, ["a"])], "i int, t array<string>"), "t", model, "i").first()
     assert got["n"] == 2 and got["loss"] == 0.0  # one token, the unknown one, is all there is
     assert ngram.losses(none, "t", model, "i").count() == 0
+
+
+def test_packs_send_distinct_trigrams_only():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array([["a", "b"] * 200_000, None, [], ["a"] * ngram.PACK] * 3)], names=["t"])
+    packs = list(ngram._packs(iter([rows]), "t"))
+    assert sum(p.num_rows for p in packs) == 9 and len(packs) > 2
+    grams = ngram._grams(packs[0], "t", ("<s>", "</s>"))
+    place, first = ngram._dense(grams.parts())
+    assert len(grams.row) >= 400_001 and len(first) < 12
+    seen = set(zip(*(c.to_pylist() for c in grams.columns(first)), strict=True))
+    assert {("<s>", "<s>", "a"), ("a", "b", "a"), ("a", "b", "</s>")} <= seen
+
+
+def test_losses_of_rows_in_many_packs_and_by_several_columns(spark):
+    seqs = [(i % 5, None if i % 7 == 0 else "x", [3, i % 4, 3] * (i % 6)) for i in range(90)]
+    df = spark.createDataFrame(seqs, "i int, k string, t array<int>").repartition(7)
+    model = ngram.fit(df, "t", -1, -2)
+    got = {(r["i"], r["k"]): r["n"] for r in ngram.losses(df, "t", model, "i", "k").collect()}
+    want = Counter()
+    for i, k, t in seqs:
+        want[i, k] += len(t) + 1
+    assert got == dict(want)
+    by = ngram.counted(df, "t", "k", marks=(-1, -2)).groupBy("k").agg(F.sum("c").alias("c")).collect()
+    assert {r["k"]: r["c"] for r in by} == {k: sum(n for (_, x), n in want.items() if x == k) for k in (None, "x")}

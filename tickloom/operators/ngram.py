@@ -7,14 +7,24 @@ predicted tokens and the unknown one, so that each context's probabilities sum t
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.sources.sinks import materialised
 
 ORDER = 3
+#: Tokens that are counted at once, about, and such packs a file where they are written.
+PACK, PACKS_A_FILE = 1 << 21, 4
+
+Mark = str | int
 
 
 @dataclass(frozen=True)
@@ -30,11 +40,11 @@ class Model:
     discounts: tuple[float, float, float]
     total: int
     kinds: int
-    begin: str
-    end: str
+    begin: Mark
+    end: Mark
 
 
-def marked(tokens: Column, begin: str = "<s>", end: str = "</s>") -> Column:
+def marked(tokens: Column, begin: Mark = "<s>", end: Mark = "</s>") -> Column:
     """A sequence with its marks."""
     return F.concat(F.array(F.lit(begin), F.lit(begin)), tokens, F.array(F.lit(end)))
 
@@ -46,15 +56,114 @@ def trigrams(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
     return df.where(tokens.isNotNull()).select(*keep, F.posexplode(z).alias("place", "g")).select(*keep, "place", "g.u", "g.v", "g.w")
 
 
+def _packs(batches: Iterator[pa.RecordBatch], tokens: str) -> Iterator[pa.Table]:
+    """Rows that together hold about ``PACK`` tokens; a longer row is one pack. Null arrays are left out."""
+    held, size = [], 0
+    for b in batches:
+        b = b.filter(pc.is_valid(b.column(tokens)))
+        ends = np.cumsum(pc.list_value_length(b.column(tokens)).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        lo = 0
+        while lo < b.num_rows:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + PACK - size, side="right")))
+            held.append(b.slice(lo, hi - lo))
+            size += int(ends[hi - 1]) - before
+            lo = hi
+            if size >= PACK or lo < b.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _dense(parts: Sequence[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of several numbers below given sizes: each row's place among the distinct ones, and a row of each."""
+    code, size = parts[0][0].astype(np.int64), parts[0][1]
+    for part, n in parts[1:]:
+        if size * n >= 1 << 62:
+            enc = pa.array(code).dictionary_encode()
+            code, size = enc.indices.to_numpy().astype(np.int64), len(enc.dictionary)
+        code, size = code * n + part, size * n
+    enc = pa.array(code).dictionary_encode()
+    place = enc.indices.to_numpy()
+    first = np.zeros(len(enc.dictionary), dtype=np.int64)
+    first[place[::-1]] = np.arange(len(place))[::-1]
+    return place, first
+
+
+@dataclass
+class _Grams:
+    """The trigrams of a pack: of each its row; the tokens as numbers, where each trigram begins, and the tokens' values."""
+
+    row: np.ndarray
+    tokens: np.ndarray
+    at: np.ndarray
+    values: pa.Array
+
+    def columns(self, which: np.ndarray) -> list[pa.Array]:
+        return [self.values.take(pa.array(self.tokens[self.at[which] + k])) for k in range(ORDER)]
+
+    def parts(self) -> list[tuple[np.ndarray, int]]:
+        return [(self.tokens[self.at + k], len(self.values)) for k in range(ORDER)]
+
+
+def _grams(table: pa.Table, tokens: str, marks: tuple[Mark, Mark] | None) -> _Grams:
+    lists = table.column(tokens).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat = lists.flatten().dictionary_encode(null_encoding="encode")
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, codes = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+    ahead, behind = (2, 1) if marks else (0, 0)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes + ahead + behind)])
+    out = np.empty(int(starts[-1]), dtype=np.int64)
+    out[np.arange(len(codes)) + rows * (ahead + behind) + ahead] = codes
+    if marks:
+        places = []
+        for m in marks:
+            k = pc.index(values, pa.scalar(m, values.type)).as_py()
+            if k < 0:
+                k = len(values)
+                values = pa.concat_arrays([values, pa.array([m], values.type)])
+            places.append(k)
+        out[starts[:-1]] = out[starts[:-1] + 1] = places[0]
+        out[starts[1:] - 1] = places[1]
+    n = np.maximum(np.diff(starts) - (ORDER - 1), 0)
+    row = np.repeat(np.arange(len(sizes)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + starts[:-1][row]
+    return _Grams(row, out, at, values)
+
+
+def counted(df: DataFrame, tokens: str, *by: str, marks: tuple[Mark, Mark] | None = ("<s>", "</s>")) -> DataFrame:
+    """``*by, u, v, w, c``: how often each trigram is there. Packs of rows are counted as arrays, so that only their distinct trigrams are sent."""
+    token = df.schema[tokens].dataType.elementType
+    names = [*by, "u", "v", "w", "c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _packs(batches, tokens):
+            g = _grams(table, tokens, marks)
+            if len(g.row):
+                keys = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in by]
+                keys = [k.combine_chunks() if isinstance(k, pa.ChunkedArray) else k for k in keys]
+                keys = [k.chunk(0) if isinstance(k, pa.ChunkedArray) else k for k in keys]
+                place, first = _dense([*g.parts(), *((k.indices.to_numpy()[g.row], len(k.dictionary)) for k in keys)])
+                rows = pa.array(g.row[first])
+                own = [k.dictionary.take(k.indices.take(rows)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, *g.columns(first), pa.array(np.bincount(place, minlength=len(first)))], names=names)
+
+    schema = T.StructType([*(df.schema[c] for c in by), *(T.StructField(c, token) for c in "uvw"), T.StructField("c", T.LongType())])
+    return df.select(*by, tokens).mapInArrow(run, schema).groupBy(*names[:-1]).agg(F.sum("c").alias("c"))
+
+
 def discount(counts: DataFrame) -> float:
     """n1 / (n1 + 2 n2) of the counts of counts; 0.5 where nothing is there once."""
     n1, n2 = counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     return n1 / (n1 + 2 * n2) if n1 else 0.5
 
 
-def fit(df: DataFrame, tokens: str, begin: str = "<s>", end: str = "</s>") -> Model:
+def fit(df: DataFrame, tokens: str, begin: Mark = "<s>", end: Mark = "</s>") -> Model:
     """Counts are partial aggregates, so that a very common trigram or context is no task's alone; all but the discounts and two totals stay tables."""
-    three = materialised(trigrams(df, marked(F.col(tokens), begin, end)).groupBy("u", "v", "w").agg(F.count("*").alias("c")))
+    three = materialised(counted(df, tokens, marks=(begin, end)))
     two = materialised(three.groupBy("v", "w").agg(F.count("*").alias("c")))
     one = materialised(two.groupBy("w").agg(F.count("*").alias("c")))
     after_two = materialised(three.groupBy("u", "v").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")))
@@ -95,13 +204,54 @@ def losses(df: DataFrame, tokens: str, model: Model, *keep: str, whole: bool = T
     """``*keep, n, loss``: predicted tokens of each row and the sum of their negative log probabilities.
 
     Whole sequences get their marks, that after them counts as predicted; else the first two tokens are the context of the others, and shorter sequences have no row.
-    ``keep`` names a row; rows that share it count together. Distinct trigrams are looked up once and joined back to their occurrences.
+    ``keep`` names a row; rows that share it count together. Packs of rows keep the places of their trigrams among their distinct ones; only these meet
+    the model, and come back to their pack as one array of chances.
     """
-    t = marked(F.col(tokens), model.begin, model.end) if whole else F.col(tokens)
-    seen = trigrams(df, t, *keep).groupBy(*keep, "u", "v", "w").agg(F.count("*").alias("times"))
-    chance = with_chance(seen, model).select(F.col("u").alias("u_"), F.col("v").alias("v_"), F.col("w").alias("w_"), "p")
-    all_ = seen.join(chance, (F.col("u") == F.col("u_")) & (F.col("v") == F.col("v_")) & (F.col("w") == F.col("w_")))
-    return all_.groupBy(*keep).agg(F.sum("times").alias("n"), F.sum(-F.log("p") * F.col("times")).alias("loss"))
+    marks = (model.begin, model.end) if whole else None
+    token = df.schema[tokens].dataType.elementType
+    fields = [df.schema[c] for c in keep]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _packs(batches, tokens):
+            g = _grams(table, tokens, marks)
+            if len(g.row):
+                place, first = _dense(g.parts())
+                n = np.bincount(g.row, minlength=table.num_rows).astype(np.int32)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                whole_ = lambda x: pa.concat_arrays(x.chunks)
+                own = [one(whole_(table.column(c))) for c in keep]
+                data = pa.array([place.astype(np.int32).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *own, one(pa.array(n)), data, *map(one, g.columns(first))], names=packs_schema.fieldNames())
+
+    listed = [T.StructField(f"keep_{k}", T.ArrayType(f.dataType)) for k, f in enumerate(fields)]
+    packs_schema = T.StructType([T.StructField("pack", T.StringType()), *listed, T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("places", T.BinaryType()), *(T.StructField(c, T.ArrayType(token)) for c in "uvw")])
+    packs = materialised(df.select(*keep, tokens).mapInArrow(pack, packs_schema), PACKS_A_FILE)
+    grams = packs.select("pack", F.posexplode(F.arrays_zip("u", "v", "w")).alias("place", "g")).select("pack", "place", "g.u", "g.v", "g.w")
+    chance = with_chance(grams, model).select(F.col("u").alias("u_"), F.col("v").alias("v_"), F.col("w").alias("w_"), "p")
+    found = grams.join(chance, (F.col("u") == F.col("u_")) & (F.col("v") == F.col("v_")) & (F.col("w") == F.col("w_"))).select(F.col("pack").alias("pack_"), "place", "p")
+    names = [f"keep_{k}" for k in range(len(keep))]
+
+    def spread(rows: pa.Table, chances: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return out_schema_empty
+        loss = np.zeros(chances.num_rows)
+        loss[chances.column("place").to_numpy()] = -np.log(chances.column("p").to_numpy())
+        sizes = rows.column("sizes")[0].values.to_numpy().astype(np.int64)
+        places = np.frombuffer(rows.column("places")[0].as_buffer(), dtype=np.int32)
+        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), loss[places], minlength=len(sizes))
+        out = pa.Table.from_arrays([*(rows.column(c)[0].values for c in names), pa.array(sizes), pa.array(sums)], names=[*names, "n", "loss"])
+        return out.filter(pc.greater(out.column("n"), 0))  # shorter ones have no row
+
+    out_schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True)), T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType())])
+    out_schema_empty = _empty(out_schema)
+    each = packs.select(F.col("pack").alias("own_"), *names, "sizes", "places").groupBy("own_").cogroup(found.groupBy("pack_")).applyInArrow(spread, out_schema)
+    return each.groupBy(*(F.col(n).alias(k) for n, k in zip(names, keep, strict=True))).agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+
+
+def _empty(schema: T.StructType) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema).empty_table()
 
 
 def next_chances(contexts: DataFrame, model: Model) -> DataFrame:
