@@ -104,3 +104,16 @@ def test_losses_of_rows_in_many_packs_and_by_several_columns(spark):
     assert got == dict(want)
     by = ngram.counted(df, "t", "k", marks=(-1, -2)).groupBy("k").agg(F.sum("c").alias("c")).collect()
     assert {r["k"]: r["c"] for r in by} == {k: sum(n for (_, x), n in want.items() if x == k) for k in (None, "x")}
+
+
+def test_packs_serve_the_model_and_its_losses(spark):
+    seqs = [(i, i % 3 == 0 if i % 10 else None, [i % 4, 2, i % 5] * (i % 4)) for i in range(60)]
+    df = spark.createDataFrame(seqs, "i int, held boolean, t array<int>").repartition(3)
+    packs = ngram.packed(df, "t", "i", "held", marks=(-1, -2), apart="held")
+    model = ngram.fit(df.where("NOT held"), "t", -1, -2)
+    both = ngram.fit_counts(packs.counts(False), -1, -2)
+    assert sorted(both.three.collect()) == sorted(model.three.collect())
+    want = {r["i"]: r for r in ngram.losses(df, "t", model, "i").collect()}
+    got = {r["i"]: r for r in ngram.losses_of(packs, both).collect()}
+    assert set(got) == set(want) == set(range(60))
+    assert all(got[i]["n"] == want[i]["n"] and math.isclose(got[i]["loss"], want[i]["loss"], rel_tol=1e-9) for i in want)

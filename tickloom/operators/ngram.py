@@ -163,7 +163,12 @@ def discount(counts: DataFrame) -> float:
 
 def fit(df: DataFrame, tokens: str, begin: Mark = "<s>", end: Mark = "</s>") -> Model:
     """Counts are partial aggregates, so that a very common trigram or context is no task's alone; all but the discounts and two totals stay tables."""
-    three = materialised(counted(df, tokens, marks=(begin, end)))
+    return fit_counts(counted(df, tokens, marks=(begin, end)), begin, end)
+
+
+def fit_counts(counts: DataFrame, begin: Mark = "<s>", end: Mark = "</s>") -> Model:
+    """The model of trigrams that are counted already: ``u, v, w, c``."""
+    three = materialised(counts)
     two = materialised(three.groupBy("v", "w").agg(F.count("*").alias("c")))
     one = materialised(two.groupBy("w").agg(F.count("*").alias("c")))
     after_two = materialised(three.groupBy("u", "v").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")))
@@ -204,15 +209,34 @@ def losses(df: DataFrame, tokens: str, model: Model, *keep: str, whole: bool = T
     """``*keep, n, loss``: predicted tokens of each row and the sum of their negative log probabilities.
 
     Whole sequences get their marks, that after them counts as predicted; else the first two tokens are the context of the others, and shorter sequences have no row.
-    ``keep`` names a row; rows that share it count together. Packs of rows keep the places of their trigrams among their distinct ones; only these meet
-    the model, and come back to their pack as one array of chances.
+    ``keep`` names a row; rows that share it count together. Rows are packed and only the distinct trigrams of a pack are looked up.
     """
-    marks = (model.begin, model.end) if whole else None
+    return losses_of(packed(df, tokens, *keep, marks=(model.begin, model.end) if whole else None), model)
+
+
+@dataclass(frozen=True)
+class Packs:
+    """Packs of rows: what names the rows, their numbers of trigrams, the places of these among the pack's distinct ones, and those with their counts; ``apart`` tells packs of one kind."""
+
+    table: DataFrame
+    keep: tuple[T.StructField, ...]
+
+    def grams(self) -> DataFrame:
+        """``pack, apart, place, u, v, w, c`` of the distinct trigrams of each pack."""
+        return self.table.select("pack", "apart", F.posexplode(F.arrays_zip("u", "v", "w", "c")).alias("place", "g")).select("pack", "apart", "place", "g.u", "g.v", "g.w", "g.c")
+
+    def counts(self, apart: bool) -> DataFrame:
+        """``u, v, w, c`` over the packs that are ``apart``, or those that are not."""
+        return self.grams().where(F.col("apart") == apart).groupBy("u", "v", "w").agg(F.sum("c").alias("c"))
+
+
+def packed(df: DataFrame, tokens: str, *keep: str, marks: tuple[Mark, Mark] | None = ("<s>", "</s>"), apart: str | None = None) -> Packs:
+    """Packs of the rows of ``df``, written; rows whose boolean ``apart`` (one of ``keep``) is true or null are in packs of their own."""
     token = df.schema[tokens].dataType.elementType
     fields = [df.schema[c] for c in keep]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _packs(batches, tokens):
+        for table, kind in ((t, k) for whole in _packs(batches, tokens) for t, k in _sorted_apart(whole, apart)):
             g = _grams(table, tokens, marks)
             if len(g.row):
                 place, first = _dense(g.parts())
@@ -221,12 +245,30 @@ def losses(df: DataFrame, tokens: str, model: Model, *keep: str, whole: bool = T
                 whole_ = lambda x: pa.concat_arrays(x.chunks)
                 own = [one(whole_(table.column(c))) for c in keep]
                 data = pa.array([place.astype(np.int32).tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *own, one(pa.array(n)), data, *map(one, g.columns(first))], names=packs_schema.fieldNames())
+                count = one(pa.array(np.bincount(place, minlength=len(first)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([kind]), *own, one(pa.array(n)), data, *map(one, g.columns(first)), count], names=packs_schema.fieldNames())
 
     listed = [T.StructField(f"keep_{k}", T.ArrayType(f.dataType)) for k, f in enumerate(fields)]
-    packs_schema = T.StructType([T.StructField("pack", T.StringType()), *listed, T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("places", T.BinaryType()), *(T.StructField(c, T.ArrayType(token)) for c in "uvw")])
-    packs = materialised(df.select(*keep, tokens).mapInArrow(pack, packs_schema), PACKS_A_FILE)
-    grams = packs.select("pack", F.posexplode(F.arrays_zip("u", "v", "w")).alias("place", "g")).select("pack", "place", "g.u", "g.v", "g.w")
+    packs_schema = T.StructType([T.StructField("pack", T.StringType()), T.StructField("apart", T.BooleanType()), *listed, T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("places", T.BinaryType()), *(T.StructField(c, T.ArrayType(token)) for c in "uvw"), T.StructField("c", T.ArrayType(T.IntegerType()))])
+    table = materialised(df.select(*keep, tokens).mapInArrow(pack, packs_schema), PACKS_A_FILE)
+    return Packs(table, tuple(fields))
+
+
+def _sorted_apart(table: pa.Table, apart: str | None) -> Iterator[tuple[pa.Table, bool]]:
+    if apart is None:
+        yield table, False
+        return
+    kind = pc.fill_null(table.column(apart), True)
+    for value, rows in ((False, pc.invert(kind)), (True, kind)):
+        some = table.filter(rows)
+        if some.num_rows:
+            yield some.combine_chunks(), value
+
+
+def losses_of(packs: Packs, model: Model) -> DataFrame:
+    """``losses`` of packed rows. Only a pack's distinct trigrams meet the model; they come back to their pack as one array of chances."""
+    keep, fields = [f.name for f in packs.keep], packs.keep
+    grams = packs.grams().select("pack", "place", "u", "v", "w")
     chance = with_chance(grams, model).select(F.col("u").alias("u_"), F.col("v").alias("v_"), F.col("w").alias("w_"), "p")
     found = grams.join(chance, (F.col("u") == F.col("u_")) & (F.col("v") == F.col("v_")) & (F.col("w") == F.col("w_"))).select(F.col("pack").alias("pack_"), "place", "p")
     names = [f"keep_{k}" for k in range(len(keep))]
@@ -244,7 +286,7 @@ def losses(df: DataFrame, tokens: str, model: Model, *keep: str, whole: bool = T
 
     out_schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True)), T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType())])
     out_schema_empty = _empty(out_schema)
-    each = packs.select(F.col("pack").alias("own_"), *names, "sizes", "places").groupBy("own_").cogroup(found.groupBy("pack_")).applyInArrow(spread, out_schema)
+    each = packs.table.select(F.col("pack").alias("own_"), *names, "sizes", "places").groupBy("own_").cogroup(found.groupBy("pack_")).applyInArrow(spread, out_schema)
     return each.groupBy(*(F.col(n).alias(k) for n, k in zip(names, keep, strict=True))).agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
 
 
