@@ -172,3 +172,22 @@ def test_scans_of_series_are_those_of_one_chart(spark, block):
         assert plain(long_scan.shifts_of_series(df, trend, block=block), ()) == plain(D.shift_scan(near, trend).select("symbol", "i", "type", "direction", "swing_idx", "swing_level", "broken_type"), ())
     with pytest.raises(ValueError):
         long_scan.sweeps_of_series(df, block=11)
+
+
+def test_fields_of_a_block_are_parsed_once(spark):
+    block = "<eval>" + " ".join(f"E{k}_T=BULL E{k}_C={k} E{k}_FP={k}.5 E3_GS={k}" for k in range(1, 30)) + " E2_T=a=b E20000_C=7</eval>"
+    df = spark.createDataFrame([(block,), ("",), ("<eval>T=BOS C=4</eval>",)], "eval string")
+    plan = df.select(V.eval_fields(F.col("eval")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # not again for each field
+    got = {(r["event"], r["key"]): r["value"] for r in V.event_fields(df.where("eval like '%E1_%'")).collect()}
+    want = {(k, key): v for k in range(1, 30) for key, v in (("T", "BULL"), ("C", str(k)), ("FP", f"{k}.5"))}
+    assert got == want | {(3, "GS"): "29", (2, "T"): "a=b", (20000, "C"): "7"}
+    assert sorted((r["event"], r["key"], r["value"]) for r in V.event_fields(df.where("eval like '%BOS%'")).collect()) == [(1, "C", "4"), (1, "T", "BOS")]
+
+
+def test_inconsistent_fields_read_the_fields_once(spark):
+    rows = [("a", s, e, k, v) for s, e, size in (("gap", 1, "5"), ("gap", 2, "6"), ("synthesis", 1, "5"), ("synthesis", 2, "7")) for k, v in (("T", "BULL"), ("C", str(e)), ("GS", size), ("GL", "1"))]
+    df = spark.createDataFrame(rows, "symbol string, sample_type string, event int, key string, value string")
+    found = V.inconsistent_fields(df, ("symbol",), "sample_type")
+    assert [tuple(r) for r in found.collect()] == [("a", "BULL", "2", "GS", 1)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +30,35 @@ def request_type(request: Column) -> Column:
 
 
 def eval_fields(block: Column) -> Column:
-    """``KEY=VALUE`` pairs of an evaluation block as a map; of a repeated key the last counts."""
+    """``KEY=VALUE`` pairs of an evaluation block as a map; of a repeated key the last counts.
+
+    A block is parsed once: what is used again inside a lambda is bound to a variable, as an expression there would be evaluated anew for each element.
+    """
     inner = F.regexp_extract(block, "(?s)<eval>(.*)</eval>", 1)
     found = F.regexp_extract_all(inner, F.lit(r"(\w+)=(\S+)"), F.lit(0))
-    pairs = F.transform(found, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_extract(x, r"=(\S+)", 1).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+
+    def last(pairs: Column) -> Column:
+        back = F.reverse(F.transform(pairs, lambda p: p["key"]))
+        return _bound(back, lambda keys: F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == F.size(keys) - i))
+
+    def unique(pairs: Column) -> Column:
+        keys = F.transform(pairs, lambda p: p["key"])
+        return F.when(F.size(F.array_distinct(keys)) == F.size(pairs), pairs).otherwise(last(pairs))
+
+    pairs = F.transform(found, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substring(x, F.position(F.lit("="), x) + 1, F.length(x)).alias("value")))
+    return F.map_from_entries(_bound(pairs, unique))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def event_fields(samples: DataFrame, block: str = "eval") -> DataFrame:
     """One row for each field of each event: adds ``event`` (1 where fields are not numbered), ``key, value``."""
     out = samples.select("*", F.explode(eval_fields(F.col(block))).alias("k_", "value"))
     number = F.regexp_extract("k_", r"^E(\d+)_", 1)
-    return out.withColumns({"event": F.when(number == "", 1).otherwise(F.try_to_number(number, F.lit("9999")).cast("int")), "key": F.regexp_replace("k_", r"^E\d+_", "")}).drop("k_")
+    return out.withColumns({"event": F.when(number == "", 1).otherwise(number.try_cast("int")), "key": F.regexp_replace("k_", r"^E\d+_", "")}).drop("k_")
 
 
 def leaks(explanation: Column, block: Column) -> Column:
@@ -51,9 +69,9 @@ def leaks(explanation: Column, block: Column) -> Column:
 
 def inconsistent_fields(fields: DataFrame, group: tuple[str, ...], order: str) -> DataFrame:
     """Fields of one event, told by type and candle, that differ from the first sample's in the group: ``group, T, C, key`` and how often."""
-    event = [*group, order, "event"]
-    told = fields.groupBy(*event).agg(F.max(F.when(F.col("key") == "T", F.col("value"))).alias("T"), F.max(F.when(F.col("key") == "C", F.col("value"))).alias("C"))
-    named = fields.where("key not in ('T', 'C')").join(told, event)
+    event = Window.partitionBy(*group, order, "event")
+    told = lambda key: F.max(F.when(F.col("key") == key, F.col("value"))).over(event)
+    named = fields.withColumns({"T": told("T"), "C": told("C")}).where("key not in ('T', 'C')")
     w = Window.partitionBy(*group, "T", "C", "key").orderBy(order, "event").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return named.withColumn("first_", F.first("value").over(w)).where("value <> first_").groupBy(*group, "T", "C", "key").agg(F.count("*").alias("n"))
 

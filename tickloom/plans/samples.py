@@ -152,7 +152,7 @@ SAMPLES = f"{Q.events()}, {_SAMPLES}"
 
 
 def samples(spark, d, trend: str = "BULL"):
-    k = candles(spark, d)
+    k = materialised(candles(spark, d))  # for the events, the ranks of gaps and the texts
     return R.samples(D.events(k, trend), k, S.chart_texts(k))
 
 
