@@ -69,6 +69,14 @@ def test_trades(spark):
     assert len(T.setups(strict=True)) == 12
 
 
+def test_trades_copy_no_candle(spark):
+    df = spark.createDataFrame([("a", 0, k, 500 + k, 500 - k, 500, 500) for k in range(1, 31)], "symbol string, start_idx long, k int, h int, l int, c int, entry int")
+    plan = T.simulate(df, 30)._jdf.queryExecution()
+    nodes = plan.optimizedPlan().toString()
+    assert nodes.index("Generate") < nodes.index("Aggregate")  # above it: charts become trades once they are one row
+    assert "SortAggregate" not in plan.executedPlan().toString()
+
+
 def test_balance(spark):
     df = spark.createDataFrame([(i, "a" if i % 5 else "b") for i in range(100)], "i long, b string")
     got = T.balance(df, "b", ["i"]).groupBy("b").count().collect()

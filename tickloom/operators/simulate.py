@@ -40,27 +40,31 @@ def simulate(forward: DataFrame, length: int, spread: int = 2, stops: Sequence[i
     """``symbol, start_idx, side, sl, tp, exit_type, candle_exit, pnl_bins, max_dd_bins, score`` of every setup on both sides.
 
     The first candle that reaches stop or target ends a trade; on one candle the stop counts. What
-    a trade risks before its exit is a minimum over the candles up to it, so first hits and drawdown
-    are aggregates of the same rows: drawdowns are running minima, taken at the exit.
+    a trade risks before its exit is a running minimum, taken at the exit. A chart is one row of aggregates of fixed size, the
+    first hit of each stop and each target with the extreme up to it, and becomes its trades only then: no candle is copied to them.
     """
     long = [("long", 1, s, t) for s, t in setups(stops, targets, min_ratio, strict)] + [("short", -1, s, t) for s, t in setups(stops, targets, min_ratio, strict)]
-    table = F.array(*(F.struct(F.lit(n).alias("side"), F.lit(g).alias("sign"), F.lit(s).alias("sl"), F.lit(t).alias("tp")) for n, g, s, t in long))
     w = Window.partitionBy("symbol", "start_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     f = forward.withColumns({"low_so_far": F.min("l").over(w), "high_so_far": F.max("h").over(w)})
-    f = f.withColumn("t", F.explode(table)).select("*", "t.*").drop("t")
-    is_long = F.col("sign") == 1
-    f = f.withColumn("e", F.col("entry") + F.col("sign") * spread)
-    f = f.withColumns({"stop": F.col("e") + F.col("sign") * F.col("sl"), "target": F.col("e") + F.col("sign") * F.col("tp")})
-    stopped = F.when(is_long, F.col("l") <= F.col("stop")).otherwise(F.col("h") >= F.col("stop"))
-    reached = F.when(is_long, F.col("h") >= F.col("target")).otherwise(F.col("l") <= F.col("target"))
-    drawdown = F.least(F.when(is_long, F.col("low_so_far") - F.col("e")).otherwise(F.col("e") - F.col("high_so_far")), F.lit(0))
-    f = f.withColumns({"ends": stopped | reached, "stopped": stopped, "dd": drawdown})
-    first = F.min(F.when(F.col("ends"), F.struct("k", "stopped", "dd")))
-    keys = ("symbol", "start_idx", "side", "sign", "sl", "tp", "e", "stop", "target")
-    g = f.groupBy(*keys).agg(first.alias("x"), F.max_by("c", "k").alias("last"), F.min("dd").alias("all_dd"))
-    kind = F.when(F.col("x").isNull(), "timeout").when(F.col("x.stopped"), "sl_hit").otherwise("tp_hit")
-    out = F.when(F.col("x").isNull(), F.col("last")).when(F.col("x.stopped"), F.col("stop")).otherwise(F.col("target"))
-    g = g.select("symbol", "start_idx", "side", "sl", "tp", kind.alias("exit_type"), F.coalesce("x.k", F.lit(length)).alias("candle_exit"), (F.col("sign") * (out - F.col("e"))).alias("pnl_bins"), F.coalesce("x.dd", "all_dd").alias("max_dd_bins"))
+    stop_of = {(g, s): f"stop{n}_" for n, (g, s) in enumerate(sorted({(g, s) for _, g, s, _ in long}))}
+    target_of = {(g, t): f"target{n}_" for n, (g, t) in enumerate(sorted({(g, t) for _, g, _, t in long}))}
+    # a hit is its candle and the extreme up to it, packed in one number, so that the least is the first
+    hit = lambda test, extreme: F.min(F.when(test, F.shiftleft(F.col("k").cast("long"), 32) + F.col(extreme) + F.lit(1 << 31)))
+    level = lambda g, x: F.col("entry") + g * spread + g * x
+    seen = {1: "low_so_far", -1: "high_so_far"}
+    hits = [hit(F.col("l") <= level(g, s) if g > 0 else F.col("h") >= level(g, s), seen[g]).alias(n) for (g, s), n in stop_of.items()]
+    hits += [hit(F.col("h") >= level(g, t) if g > 0 else F.col("l") <= level(g, t), seen[g]).alias(n) for (g, t), n in target_of.items()]
+    g = f.groupBy("symbol", "start_idx", "entry").agg(*hits, F.max_by("c", "k").alias("last"), F.min("l").alias("low_"), F.max("h").alias("high_"))
+    table = F.array(*(F.struct(F.lit(n).alias("side"), F.lit(g).alias("sign"), F.lit(s).alias("sl"), F.lit(t).alias("tp"), F.col(stop_of[g, s]).alias("s_"), F.col(target_of[g, t]).alias("t_"), F.col("low_" if g > 0 else "high_").alias("all_")) for n, g, s, t in long))
+    g = g.select("symbol", "start_idx", "entry", "last", F.explode(table).alias("x")).select("symbol", "start_idx", "entry", "last", "x.*")
+    at = lambda x: F.shiftright(x, 32)
+    stopped = F.col("s_").isNotNull() & (F.col("t_").isNull() | (at(F.col("s_")) <= at(F.col("t_"))))
+    kind = F.when(stopped, "sl_hit").when(F.col("t_").isNotNull(), "tp_hit").otherwise("timeout")
+    g = g.withColumns({"e": F.col("entry") + F.col("sign") * spread, "exit_type": kind, "hit_": F.when(stopped, F.col("s_")).otherwise(F.col("t_"))})
+    extreme = F.coalesce((F.col("hit_").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int"), F.col("all_"))
+    pnl = F.when(F.col("exit_type") == "sl_hit", F.col("sl")).when(F.col("exit_type") == "tp_hit", F.col("tp")).otherwise(F.col("sign") * (F.col("last") - F.col("e")))
+    drawdown = F.least(F.col("sign") * (extreme - F.col("e")), F.lit(0))
+    g = g.select("symbol", "start_idx", "side", "sl", "tp", "exit_type", F.coalesce(at(F.col("hit_")).cast("int"), F.lit(length)).alias("candle_exit"), pnl.alias("pnl_bins"), drawdown.alias("max_dd_bins"))
     return g.withColumn("score", score(F.col("exit_type"), F.col("pnl_bins"), F.col("max_dd_bins"), F.col("candle_exit"), length, min(stops)))
 
 
