@@ -10,7 +10,9 @@ from tickloom.functions import codec
 from tickloom.operators import detect as D
 from tickloom.operators import long_scan
 from tickloom.operators import render as R
+from tickloom.operators import stats as A
 from tickloom.operators import validate as V
+from tickloom.plans import samples
 
 M16 = [(495, 505, 490, 500), (498, 508, 493, 503), (505, 530, 500, 525), (520, 518, 510, 515), (515, 513, 505, 510), (510, 535, 505, 512), (512, 516, 508, 514), (514, 522, 510, 518), (519, 521, 517, 520), (525, 535, 524, 530), (528, 532, 522, 525), (523, 528, 518, 520), (520, 545, 515, 540), (535, 533, 525, 528), (525, 523, 515, 518), (515, 555, 510, 550)]
 T12 = [(525, 530, 520, 525), (520, 525, 515, 520), (505, 510, 480, 495), (495, 505, 490, 500), (500, 510, 495, 505), (510, 515, 470, 475), (470, 475, 460, 465), (465, 480, 460, 475), (475, 495, 470, 490), (480, 485, 470, 475), (475, 470, 460, 465), (470, 505, 465, 500)]
@@ -191,3 +193,29 @@ def test_inconsistent_fields_read_the_fields_once(spark):
     found = V.inconsistent_fields(df, ("symbol",), "sample_type")
     assert [tuple(r) for r in found.collect()] == [("a", "BULL", "2", "GS", 1)]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_swings_of_all_sizes_in_one_pass(frame):
+    charts = [M16, T12, M16[::-1], FIVE]
+    m = A.swing_measures(frame(*charts), (1, 2, 3))
+    assert "Union" not in m._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for n, c in enumerate(charts):
+        for size in (1, 2, 3):
+            for kind, col, sign in (("high", 1, 1), ("low", 2, -1)):
+                before = None
+                for i in range(size, len(c) - size):
+                    least = min(sign * (c[i][col] - x[col]) for x in c[i - size : i] + c[i + 1 : i + size + 1])
+                    if least >= 0:
+                        want.add((n, size, kind, i, least, None if before is None else i - before))
+                        before = i
+    assert {(r["start_idx"], r["win"], r["kind"], r["i"], r["prominence"], r["gap"]) for r in m.collect()} == want
+
+
+def test_events_are_dealt_to_tasks_of_like_numbers(frame, monkeypatch):
+    monkeypatch.setattr(samples, "EVENTS_A_TASK", 10)
+    found = D.events(frame(M16, T12, M16, T12), "BULL")
+    n = found.count()
+    assert n > 20
+    assert samples.dealt(found).rdd.getNumPartitions() == -(-n // 10)
+    assert samples.dealt(found.where("false")).count() == 0

@@ -20,16 +20,18 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, at: Sequence[in
 def swing_measures(candles: DataFrame, windows: Sequence[int] = (1, 2, 3, 5)) -> DataFrame:
     """Every swing for each window size: ``win, kind, gap`` (candles since the last of its kind) and ``prominence`` over its neighbours."""
     w = Window.partitionBy(*D.CHART).orderBy("i")
-    out = None
+    around = {"n": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}
     for size in windows:
         left, right = w.rowsBetween(-size, -1), w.rowsBetween(1, size)
-        s = D.with_swings(candles, size)
-        s = s.withColumns({"oh": F.greatest(F.max("h").over(left), F.max("h").over(right)), "ol": F.least(F.min("l").over(left), F.min("l").over(right))})
-        for kind, flag, prominence in (("high", "swing_high", F.col("h") - F.col("oh")), ("low", "swing_low", F.col("ol") - F.col("l"))):
-            one = s.where(flag).select(*D.CHART, F.lit(size).alias("win"), F.lit(kind).alias("kind"), "i", prominence.alias("prominence"))
-            one = one.withColumn("gap", F.col("i") - F.lag("i").over(w))
-            out = one if out is None else out.unionByName(one)
-    return out
+        around |= {f"oh{size}": F.greatest(F.max("h").over(left), F.max("h").over(right)), f"ol{size}": F.least(F.min("l").over(left), F.min("l").over(right))}
+    # all sizes in one pass: a candle is a row for each size and kind that it is a swing of
+    found = []
+    for size in windows:
+        inside = (F.col("i") >= size) & (F.col("i") + size < F.col("n"))
+        for kind, prominence in (("high", F.col("h") - F.col(f"oh{size}")), ("low", F.col(f"ol{size}") - F.col("l"))):
+            found.append(F.when(inside & (prominence >= 0), F.struct(F.lit(size).alias("win"), F.lit(kind).alias("kind"), prominence.alias("prominence"))))
+    s = candles.withColumns(around).select(*D.CHART, "i", F.explode(F.array_compact(F.array(*found))).alias("s")).select(*D.CHART, "s.win", "s.kind", "i", "s.prominence")
+    return s.withColumn("gap", F.col("i") - F.lag("i").over(Window.partitionBy(*D.CHART, "win", "kind").orderBy("i")))
 
 
 def swing_report(candles: DataFrame, windows: Sequence[int] = (1, 2, 3, 5), at: Sequence[int] = (10, 25, 50, 75, 90, 95, 99)) -> DataFrame:

@@ -42,7 +42,7 @@ def _swings(size: int, kind: str) -> str:
     ),
 )
 def _(spark, d):
-    return A.swing_report(candles(spark, d))
+    return A.swing_report(materialised(candles(spark, d)))
 
 
 def _sweeps(lookback: int) -> str:
@@ -151,9 +151,19 @@ samples AS MATERIALIZED (SELECT g.*, chart || chr(10) || request || chr(10) || e
 SAMPLES = f"{Q.events()}, {_SAMPLES}"
 
 
+#: Events that a task makes samples of: their number of tasks grows with the table, and no task's memory does.
+EVENTS_A_TASK = 1 << 16
+
+
+def dealt(events):
+    """Events written and dealt by charts to as many tasks as there are ``EVENTS_A_TASK`` of them."""
+    e = materialised(events)
+    return e.repartition(-(-e.count() // EVENTS_A_TASK) or 1, *D.CHART)
+
+
 def samples(spark, d, trend: str = "BULL"):
     k = materialised(candles(spark, d))  # for the events, the ranks of gaps and the texts
-    return R.samples(D.events(k, trend), k, S.chart_texts(k))
+    return R.samples(dealt(D.events(k, trend)), k, S.chart_texts(k))
 
 
 @register("r1_sentences", Q.query(SAMPLES, "SELECT symbol, start_idx, sample_type, explanation FROM samples"))
@@ -279,7 +289,7 @@ def corpus(spark, d):
     k = materialised(s.select("symbol", "start_idx", F.posexplode("candles").alias("i", "x")).select("symbol", "start_idx", "i", "x.*"))
     texts = s.select("symbol", "start_idx", codec.chart_text(F.col("candles")).alias("text"))
     shared = tuple(map(materialised, D.trendless(k)))
-    both = R.samples(D.events(k, "BULL", shared=shared), k, texts).unionByName(R.samples(D.events(k, "BEAR", shared=shared), k, texts))
+    both = R.samples(dealt(D.events(k, "BULL", shared=shared)), k, texts).unionByName(R.samples(dealt(D.events(k, "BEAR", shared=shared)), k, texts))
     rows = both.join(s.select("symbol", "start_idx", "source_idx", "lo", "hi"), ["symbol", "start_idx"])
     meta = F.to_json(F.struct(F.col("source_idx").alias("chart_index"), F.array("lo", "hi").alias("sub_range"), "sample_type"))
     return rows.select("text", F.col("request").alias("source"), F.length("text").cast("long").alias("token_length"), meta.alias("meta"))
