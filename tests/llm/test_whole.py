@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tickloom.llm import decontam, fingerprint, line_dedup, mixing
 
 
@@ -83,3 +85,13 @@ def test_short_items_are_always_found(spark):
     got = {r["doc_id"]: r for r in decontam.find_leaks(docs, bench).collect()}
     assert [i for i in range(len(items)) if str(i) not in got[i]["items"].split(",")] == []
     assert not got[1000]["contaminated"] and not got[1001]["contaminated"]
+
+
+def test_subtracted_sketches_are_those_of_the_difference(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.getrandbits(62) for _ in range(20)], [rng.getrandbits(62) for _ in range(3 * k)]) for k in range(8)]
+    df = spark.createDataFrame([(k, a, b + a[:9]) for k, a, b in rows], "i int, a array<bigint>, b array<bigint>")
+    for width in fingerprint.WIDTHS:
+        one = fingerprint.sketch(F.col("a"), width, F.col("b"))
+        apart = fingerprint.subtract(fingerprint.sketch(F.col("a"), width), fingerprint.sketch(F.col("b"), width))
+        assert df.where(~one.eqNullSafe(apart)).count() == 0

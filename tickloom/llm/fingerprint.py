@@ -70,20 +70,26 @@ def _placed(key: Column, width: int) -> list[Column]:
     return [(_place(key, t, width) + t * width).alias(x) for t, x in enumerate("xyz")]
 
 
-def sketch(keys: Column, width: int) -> Column:
-    """Cells of three tables of ``width`` each."""
+def sketch(keys: Column, width: int, less: Column | None = None) -> Column:
+    """Cells of three tables of ``width`` each; those of the keys ``less`` are subtracted."""
     nothing = F.struct(F.lit(0).alias("c"), F.expr("0L").alias("k"), F.expr("0L").alias("h"))
 
     def add(cell: Column, p: Column) -> Column:
-        return F.struct((cell["c"] + 1).alias("c"), cell["k"].bitwiseXOR(p["k"]).alias("k"), cell["h"].bitwiseXOR(p["h"]).alias("h"))
+        return F.struct((cell["c"] + p["s"]).alias("c"), cell["k"].bitwiseXOR(p["k"]).alias("k"), cell["h"].bitwiseXOR(p["h"]).alias("h"))
 
     def tables(placed: Column) -> Column:
         def table(t: int, x: str) -> Column:
-            return F.transform(F.sequence(F.lit(t * width), F.lit((t + 1) * width - 1)), lambda i: F.aggregate(F.filter(placed, lambda p: p[x] == i), nothing, add))
+            held = lambda i: F.aggregate(F.filter(placed, lambda p: p[x] == i), nothing, add)
+            cells = F.sequence(F.lit(t * width), F.lit((t + 1) * width - 1))
+            if width == WIDTHS[0]:  # few cells are empty
+                return F.transform(cells, held)
+            # most are: they are told apart before any key is looked at
+            return _let(F.transform(placed, lambda p: p[x]), lambda used: F.transform(cells, lambda i: F.when(F.array_contains(used, i), held(i)).otherwise(nothing)))
 
         return F.concat(*(table(t, x) for t, x in enumerate("xyz")))
 
-    placed = F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k).alias("h"), *_placed(k, width)))
+    place = lambda keys, sign: F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k).alias("h"), F.lit(sign).alias("s"), *_placed(k, width)))
+    placed = place(keys, 1) if less is None else F.concat(place(keys, 1), place(less, -1))
     return _let(placed, tables).cast(f"array<{_CELL}>")
 
 
@@ -106,7 +112,9 @@ def peel(cells: Column, width: int) -> Column:
             mine = F.filter(out, lambda p: (p["x"] == i) | (p["y"] == i) | (p["z"] == i))
             return F.aggregate(mine, c, lambda x, p: F.struct((x["c"] - p["s"]).alias("c"), x["k"].bitwiseXOR(p["k"]).alias("k"), x["h"].bitwiseXOR(p["h"]).alias("h")).cast(_CELL))
 
-        return F.transform(cells, less).cast(f"array<{_CELL}>")
+        # the cells of no key of ``out`` stay as they are
+        used = F.flatten(F.transform(out, lambda p: F.array(p["x"], p["y"], p["z"])))
+        return _let(used, lambda used: F.transform(cells, lambda c, i: F.when(F.array_contains(used, i), less(c, i)).otherwise(c))).cast(f"array<{_CELL}>")
 
     def step(acc: Column, _: Column) -> Column:
         def go(out: Column) -> Column:
@@ -129,7 +137,7 @@ def _recover(cells: Column, one: Column, other: Column) -> Column:
     """
     out = F.concat(F.array_except(one, other), F.array_except(other, one))
     for width in reversed(WIDTHS[1:]):
-        out = _try(peel(subtract(sketch(one, width), sketch(other, width)), width), out)
+        out = _try(peel(sketch(one, width, other), width), out)
     return _try(peel(cells, WIDTHS[0]), out)
 
 
@@ -150,9 +158,14 @@ def likeness(one: Column, other: Column, missing: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(1 - F.size(missing) / total)
 
 
-def sketches(keys: Column) -> Column:
-    """A sketch of the least width for each group of all keys; equal sets have equal ones."""
-    return F.transform(groups(keys, level(F.size(keys))), lambda g: sketch(g, WIDTHS[0]))
+def grouped(keys: Column) -> Column:
+    """All keys in the groups that their number asks for."""
+    return groups(keys, level(F.size(keys)))
+
+
+def sketches(parts: Column) -> Column:
+    """A sketch of the least width for each group of keys; equal sets have equal ones."""
+    return F.transform(parts, lambda g: sketch(g, WIDTHS[0]))
 
 
 def folded(cells: Column, bits: Column) -> Column:
@@ -168,11 +181,17 @@ def folded(cells: Column, bits: Column) -> Column:
     return F.when(ratio == 1, cells).otherwise(F.transform(F.sequence(F.lit(0), _power(bits) - 1), merge))
 
 
+def joined(parts: Column, bits: Column) -> Column:
+    """Keys in ``2 ** bits`` groups from as many or more: neighbours are put together."""
+    ratio = (F.size(parts) / _power(bits)).cast("int")
+    return F.when(ratio == 1, parts).otherwise(F.transform(F.sequence(F.lit(0), _power(bits) - 1), lambda i: F.flatten(F.slice(parts, i * ratio + 1, ratio))))
+
+
 def differing_of(cells_one: Column, cells_other: Column, one: Column, other: Column) -> Column:
-    """``differing`` from the sketches that each set has already, at the fewer groups of the two; the keys serve where a group's fails."""
-    bits = F.least(level(F.size(one)), level(F.size(other)))
+    """``differing`` of two sets in groups, from the sketches that each has already, at the fewer groups of the two; the keys serve where a group's fails."""
+    bits = F.log2(F.least(F.size(one), F.size(other)).cast("double")).cast("int")
     cells = F.zip_with(folded(cells_one, bits), folded(cells_other, bits), lambda a, b: subtract(a, b))
-    keys = F.zip_with(groups(one, bits), groups(other, bits), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    keys = F.zip_with(joined(one, bits), joined(other, bits), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     return F.flatten(F.zip_with(cells, keys, lambda c, g: _recover(c, g["a"], g["b"])))
 
 
@@ -245,7 +264,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     out = compare_with_edit(docs, id_col, text_col)
     kinds = ("", "edited_", "next_")
-    out = out.withColumns({f"{k}cells": sketches(F.col(f"{k}keys")) for k in kinds})
-    near = [likeness(F.col("keys"), F.col(f"{k}keys"), differing_of(F.col("cells"), F.col(f"{k}cells"), F.col("keys"), F.col(f"{k}keys"))).alias(f"near_{k[:-1]}") for k in kinds[1:]]
+    out = out.withColumns({f"{k}parts": grouped(F.col(f"{k}keys")) for k in kinds}).withColumns({f"{k}cells": sketches(F.col(f"{k}parts")) for k in kinds})
+    near = [likeness(F.col("keys"), F.col(f"{k}keys"), differing_of(F.col("cells"), F.col(f"{k}cells"), F.col("parts"), F.col(f"{k}parts"))).alias(f"near_{k[:-1]}") for k in kinds[1:]]
     prints = [serialised(F.col(f"{k}order"), F.col(f"{k}keys"), F.col(f"{k}cells")).alias(f"{k}fingerprint") for k in kinds[:2]]
     return out.select("doc_id", "version", "n_chars", "edited", *prints, *near)
