@@ -5,9 +5,10 @@ import random
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import common
+from tickloom.llm import common, near_dup
 
 
 def there(spark):
@@ -92,3 +93,36 @@ def test_near_copies_go_and_own_lines_stay(spark, small):
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_duplicate_filter(spark, lines, small).collect()}
     assert kept[900] == "\n".join(own)
     assert set(kept) == {i for i, _ in rows} - {10 * i + k for i in range(10) for k in (1, 2)}
+
+
+def test_components_end_when_edges_are_stars(spark, monkeypatch):
+    def found(pairs):
+        written = []
+        with monkeypatch.context() as m:
+            m.setattr(common, "stash", lambda df, name="t", real=common.stash: written.append(name) or real(df, name))
+            rows = common.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        assert len(rows) == len({r["node"] for r in rows})
+        return {r["node"]: r["root"] for r in rows}, len(written)
+
+    stars = [(10 * i, 10 * i + k) for i in range(5) for k in range(1, 6)]
+    roots = {x: 10 * i for i in range(5) for x in range(10 * i, 10 * i + 6)}
+    assert found([*stars, *stars, (7, 7), (None, 3)]) == (roots, 1)  # no round
+    assert found([]) == ({}, 1)
+    chain = [(k, k + 1) for k in range(40)]
+    assert found([*chain, (100, 101)])[0] == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
+    assert found([(1, 5), (2, 5), (2, 9), (3, 9), (20, 21)])[0] == dict.fromkeys((1, 2, 3, 5, 9), 1) | {20: 20, 21: 20}
+
+
+def test_near_duplicates_leave_only_their_result(spark):
+    before = there(spark)
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "x y"), (None, "a")], "doc_id long, text string")
+    out = near_dup.near_duplicates(docs)
+    assert len(there(spark) - before) == 1
+    assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in out.collect() if r["doc_id"]) == [(1, 1, True), (2, 1, False), (3, 3, True)]
+
+
+def test_few_rows_that_go_are_sent_to_the_texts(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x "), 200).alias("text"))
+    out = corpus_pipeline._without(docs, "doc_id", spark.range(0, 1000, 10).select(F.col("id").alias("doc_id")))
+    assert out.count() == 900
+    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()

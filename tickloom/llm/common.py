@@ -95,32 +95,34 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
         return keep(stash(make(), name))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """True where each ``u`` of the edges has one ``v``, which is no edge's ``u``."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).where("up > 1 or up = 1 and least = 0").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node of an edge list: root is the smallest node that it reaches.
 
     Alternates large-star and small-star steps, so the number of rounds is logarithmic in the
     longest path. Least neighbours are partial aggregates. They are joined back by another key than
     the aggregate's, so that both sides of the join are dealt anew and the adaptive planner can
-    split a node with very many neighbours. Edges with a null end and loops are left out.
+    split a node with very many neighbours. Edges with a null end and loops are left out. The rounds
+    end as soon as the edges are stars, which one aggregate tells.
     """
     pair = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v")
     now = stash(pair.distinct(), "edges")
-    last = None
 
     def with_least(rows: DataFrame, low: DataFrame) -> DataFrame:
         return rows.join(low.select(F.bitwise_not("u").alias("key"), "m"), F.bitwise_not(F.col("u")) == F.col("key"))
 
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == last:
-            break
-        last = mark
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = with_least(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = with_least(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))  # a row an edge; what repeats goes below
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = with_least(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        new = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        small = with_least(large, low).select(F.explode(F.array(*(F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in "uv"))).alias("e")).select("e.*")
+        new = stash(small.where("u <> v").distinct(), "edges")
         drop_stash(now)
         now = new
     out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

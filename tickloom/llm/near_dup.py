@@ -8,7 +8,7 @@ Within a bucket not all pairs are compared. Documents with equal sets are one cl
 has one hub, its member that meets the most other documents over all its buckets; members are
 verified against their hubs on full sets; links give components. What a bucket leaves open, pairs
 of different components, is settled exactly. The members of such buckets are grouped by the
-components of the candidate graph. Two sets of a group that are alike enough share one of the rarest
+components that open buckets have in common. Two sets of a group that are alike enough share one of the rarest
 runs of each, at a place that their sizes bound, so a document that shares no rare run with another
 component is done with. Runs that few have give pairs, which are verified; the members with a rare
 run that many share are compared in blocks of bounded size, which only links leave.
@@ -181,12 +181,12 @@ def near_duplicates(
     with working(spark) as keep:
         bands = band_count(num / den, rows)
         base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        signed = keep(stash(base.mapInArrow(_sign(width, bands, rows), "id long, n long, k1 long, k2 long, bands array<long>"), "signed"))
+        signed = stash(base.mapInArrow(_sign(width, bands, rows), "id long, n long, k1 long, k2 long, bands array<long>"), "signed")
         full = signed.where("n > 0 and id is not null")
 
         # equal sets, told by a digest of all their elements in order, are one class, named by its smallest id
         classes = full.groupBy("n", "k1", "k2").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"))
-        classes = keep(stash(classes, "classes"))
+        classes = stash(classes, "classes")
         member = classes.select("node", "n", F.posexplode("bands").alias("band", "key")).select("node", "n", F.xxhash64("band", "key").alias("key"))
         buckets = member.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
         # counts and hubs are joined back by another key than their own, so that a bucket with very many members can be split
@@ -213,22 +213,23 @@ def near_duplicates(
 
         # buckets with members of different components are open
         rooted = member.join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        open_nodes = stash(with_bucket(rooted, open_).select("node", "root", "key").distinct(), "open")
-        more = _settle(open_nodes, with_bucket(open_nodes, hubs), texts, width, num, den)
-        links = links.unionByName(more)
-        found = keep(components(links))
+        open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "lo")
+        open_nodes = stash(with_bucket(rooted, open_).select("node", "root", "lo").distinct(), "open")
+        more = _settle(open_nodes, texts, width, num, den)
+        # what the links reach is stars already, which only the links between them join
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
         named = classes.select("n", "k1", "k2", "node").join(found, "node", "left").select("n", "k1", "k2", F.coalesce("root", "node").alias("component"))
         out = signed.select("id", "n", "k1", "k2").join(named.withColumnRenamed("n", "n_").withColumnRenamed("k1", "k1_").withColumnRenamed("k2", "k2_"), (F.col("n") == F.col("n_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")), "left")
         component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "id"))
-        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        return keep(stash(out, "near"))  # a few numbers a document; bands and classes go
 
 
-def _settle(open_nodes: DataFrame, starred: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links between different components that share an open bucket."""
-    group = stash(components(starred.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "groups")
-    nodes = open_nodes.select("node", "root").distinct().join(group.withColumnRenamed("root", "grp"), "node")
+def _settle(open_nodes: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between different components that share an open bucket; ``lo`` is the least component of a bucket."""
+    group = stash(components(open_nodes.select(F.col("root").alias("a"), F.col("lo").alias("b"))), "groups")
+    nodes = open_nodes.select("node", "root").distinct().join(group.select(F.col("node").alias("root"), F.col("root").alias("grp")), "root")
     nodes = stash(nodes, "nodes")
     texts = texts.withColumnRenamed("id", "node")
     pairs, crowded = _rare(nodes.join(texts, "node").select("node", "root", "grp", "text"), width, num, den)
