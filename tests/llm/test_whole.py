@@ -95,3 +95,17 @@ def test_subtracted_sketches_are_those_of_the_difference(spark):
         one = fingerprint.sketch(F.col("a"), width, F.col("b"))
         apart = fingerprint.subtract(fingerprint.sketch(F.col("a"), width), fingerprint.sketch(F.col("b"), width))
         assert df.where(~one.eqNullSafe(apart)).count() == 0
+
+
+def test_large_groups_are_peeled_and_not_settled_by_sets(spark, monkeypatch):
+    rng = random.Random(6)
+    draw = lambda n: [rng.getrandbits(62) for _ in range(n)]
+    few, many = draw(3), draw(900)
+    rows = [(few, many), (many, []), (few, few), (many, [*many[5:], *draw(40)]), ([], [])]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
+    df = df.withColumns({f"{c}_parts": fingerprint.grouped(F.col(c)) for c in "ab"}).withColumns({f"{c}_cells": fingerprint.sketches(F.col(f"{c}_parts")) for c in "ab"})
+    with monkeypatch.context() as m:
+        m.setattr(fingerprint.F, "array_except", lambda one, other: F.array().cast("array<bigint>"))
+        found = fingerprint.differing_of(*(F.col(f"{c}_{x}") for x in ("cells", "parts") for c in "ab"))
+    for r in df.select("a", "b", found.alias("found")).collect():
+        assert sorted(r["found"]) == sorted(set(r["a"]) ^ set(r["b"]))

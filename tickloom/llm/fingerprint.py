@@ -5,7 +5,7 @@ short documents have several). A sketch has three tables of cells; a paragraph's
 one cell of each: cells hold a count, the exclusive-or of the hashes and the exclusive-or of their
 checks. The cells of two versions are subtracted, which leaves the paragraphs that only one has;
 peeling reads them off cells with one paragraph, takes those out of their other cells, and goes on. Where a
-sketch is too small to be peeled to the end, a larger one is tried, and after the largest the sets themselves.
+sketch is too small to be peeled to the end, its paragraphs are dealt to parts with larger ones, and after the largest come the sets themselves.
 
 All paragraphs of a text are in cells. So that the work grows with their number and not with its square,
 they are dealt to groups by bits of the hash, about ``GROUP`` of them each, and each group has a small sketch.
@@ -55,10 +55,10 @@ def _deal(keys: Column, last: Column, bits: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), _power(bits) - 1), lambda i: F.filter(keys, lambda k: digit(k) == i))
 
 
-def groups(keys: Column, bits: Column) -> Column:
-    """Keys in ``2 ** bits`` groups, dealt in two steps, each by about half of the bits."""
+def groups(keys: Column, bits: Column, after: Column | int = 0) -> Column:
+    """Keys in ``2 ** bits`` groups by the bits ``after`` those that dealt them already, in two steps, each by about half of the bits."""
     half = F.shiftright(bits, 1)
-    return F.when(bits == 0, F.array(keys)).otherwise(F.flatten(F.transform(_deal(keys, half, half), lambda part: _deal(part, bits, bits - half))))
+    return F.when(bits == 0, F.array(keys)).otherwise(F.flatten(F.transform(_deal(keys, half + after, half), lambda part: _deal(part, bits + after, bits - half))))
 
 
 def _place(key: Column, table: int, width: int) -> Column:
@@ -130,26 +130,35 @@ def _empty(cells: Column) -> Column:
     return F.forall(cells, lambda c: (c["c"] == 0) & (c["k"] == 0))
 
 
-def _recover(cells: Column, one: Column, other: Column) -> Column:
-    """Hashes that only one of two groups has, from their subtracted cells of the least width; larger sketches follow one that fails.
+def _recover(cells: Column, one: Column, other: Column, bits: Column) -> Column:
+    """Hashes that only one of two groups has, from their subtracted cells of the least width; ``bits`` dealt the groups.
 
-    Where even the largest fails, the difference of the sets themselves.
+    Where that fails, the groups are dealt on until their parts have about ``GROUP`` keys, so that the work grows with the keys
+    and not with their number times that of cells; a part's larger sketches follow one that fails, and after the largest the difference of the sets themselves.
     """
-    out = F.concat(F.array_except(one, other), F.array_except(other, one))
-    for width in reversed(WIDTHS[1:]):
-        out = _try(peel(sketch(one, width, other), width), out)
-    return _try(peel(cells, WIDTHS[0]), out)
 
+    def part(one: Column, other: Column) -> Column:
+        tries = [_found(peel(sketch(one, width, other), width)) for width in WIDTHS[1:]]
+        return F.coalesce(*tries, F.concat(F.array_except(one, other), F.array_except(other, one)))
 
-def _try(peeled: Column, rest: Column) -> Column:
-    return _let(peeled, lambda p: F.when(_empty(p["cells"]), p["found"]).otherwise(rest))
+    more = F.least(level(F.size(one) + F.size(other)), F.lit(GROUP_BITS) - bits)
+    deal = F.struct(more.alias("more"), bits.alias("bits"))
+    rest = _let(deal, lambda d: F.flatten(F.zip_with(groups(one, d["more"], d["bits"]), groups(other, d["more"], d["bits"]), part)))
+    # cells that are all in use, or of sets whose sizes are further apart than the cells can tell, are hardly ever peeled to the end
+    full = F.forall(cells, lambda c: (c["c"] != 0) | (c["k"] != 0)) | (F.abs(F.size(one) - F.size(other)) > 3 * WIDTHS[0])
+    return F.coalesce(F.when(~full, _found(peel(cells, WIDTHS[0]))), rest)
+
+
+def _found(peeled: Column) -> Column:
+    """The hashes found, or null where peeling did not come to its end; the next of several tries is made then only."""
+    return _let(peeled, lambda p: F.when(_empty(p["cells"]), p["found"]))
 
 
 def differing(one: Column, other: Column) -> Column:
     """Hashes that only one of two key sets of any size has, by peeling group by group."""
     bits = level(F.size(one) + F.size(other))
     cells = lambda a, b: subtract(sketch(a, WIDTHS[0]), sketch(b, WIDTHS[0]))
-    return F.flatten(F.zip_with(groups(one, bits), groups(other, bits), lambda a, b: _recover(cells(a, b), a, b)))
+    return F.flatten(F.zip_with(groups(one, bits), groups(other, bits), lambda a, b: _recover(cells(a, b), a, b, bits)))
 
 
 def likeness(one: Column, other: Column, missing: Column) -> Column:
@@ -192,7 +201,7 @@ def differing_of(cells_one: Column, cells_other: Column, one: Column, other: Col
     bits = F.log2(F.least(F.size(one), F.size(other)).cast("double")).cast("int")
     cells = F.zip_with(folded(cells_one, bits), folded(cells_other, bits), lambda a, b: subtract(a, b))
     keys = F.zip_with(joined(one, bits), joined(other, bits), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.flatten(F.zip_with(cells, keys, lambda c, g: _recover(c, g["a"], g["b"])))
+    return F.flatten(F.zip_with(cells, keys, lambda c, g: _recover(c, g["a"], g["b"], bits)))
 
 
 def serialised(order: Column, keys: Column, cells: Column) -> Column:
