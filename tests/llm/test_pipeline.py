@@ -3,12 +3,14 @@
 import os
 import random
 import threading
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import common, near_dup
+from tickloom.llm import common, line_dedup, mixing, near_dup, textnum
 
 
 def there(spark):
@@ -126,3 +128,39 @@ def test_few_rows_that_go_are_sent_to_the_texts(spark):
     out = corpus_pipeline._without(docs, "doc_id", spark.range(0, 1000, 10).select(F.col("id").alias("doc_id")))
     assert out.count() == 900
     assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_sources_reach_the_plan_without_python_workers(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * (i % 7 + 1)) for i in range(60)], "doc_id long, source string, text string")
+    plan = mixing.schedule(docs, block_tokens=50)
+    assert {r["doc_id"] for r in plan.collect()} == set(range(60))
+    assert "LogicalRDD" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+def _traced(run, batch):
+    """MB of Python memory at most (numpy's included) while ``run`` works on one batch."""
+    tracemalloc.start()
+    for _ in run(iter([batch])):
+        pass
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return most
+
+
+def test_tasks_work_in_small_slices():
+    rng = random.Random(3)
+    word = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(3000)]
+    texts = ["\n".join(" ".join(rng.choices(word, k=8)) for _ in range(40)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts)], names=["id", "text"])
+    assert _traced(line_dedup._emit_lines(2, 20, 0), batch) < 40
+
+
+def test_workers_give_memory_back_at_the_end_of_a_task(monkeypatch):
+    said = []
+    monkeypatch.setattr(textnum.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: said.append("freed")})())
+    run = textnum.freed(lambda batches: (said.append(x) or x for x in batches))
+    assert list(run(iter([1, 2]))) == [1, 2] and said == [1, 2, "freed"]
+    part = run(iter([3, 4]))  # a task that is not read to its end, as under a limit
+    next(part)
+    part.close()
+    assert said[3:] == [3, "freed"]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import U64, hash_spans, mix64, slices, utf8, word_spans, words
+from .textnum import U64, freed, hash_spans, mix64, slices, utf8, word_spans, words
 
 BLOCK = 24
 #: Rows of the sparse matrix that are multiplied at once, with the terms that they use.
@@ -194,7 +194,7 @@ def _sum_rows(table: pa.Table) -> pa.Table:
 
 
 def _summed(sample: DataFrame, terms: np.ndarray, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
-    parts = sample.mapInArrow(_product(terms, idf, right), "term long, row array<double>")
+    parts = sample.mapInArrow(freed(_product(terms, idf, right)), "term long, row array<double>")
     found = parts.groupBy(F.floor(F.col("term") / 64).alias("part")).applyInArrow(_sum_rows, "term long, row array<double>").toArrow()
     out = np.zeros((len(terms), right.shape[1]))
     if found.num_rows:
@@ -215,7 +215,7 @@ def build_index(docs: DataFrame, items: list[tuple[int, str, str | None]], text_
         return None
     terms = np.unique(np.concatenate([x.words for x in kept]))
     text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counted = text.mapInArrow(_term_counts(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    counted = text.mapInArrow(freed(_term_counts(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     df, total = np.zeros(len(terms), dtype=np.int64), 0
     for t, n in zip(counted["term"], counted["n"], strict=True):
         if t < 0:
@@ -380,7 +380,7 @@ def find_leaks(
         rows = own.select(F.col(item_col).cast("long"), F.col(item_text_col), F.col(answer_col) if answer_col else F.lit(None).cast("string")).collect()
         index = build_index(base, sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1])), "text", **fit)
         if index is not None:
-            parts.append((index, base.mapInArrow(_search(index, partial, whole), "id long, version long, items array<long>, shares array<double>")))
+            parts.append((index, base.mapInArrow(freed(_search(index, partial, whole)), "id long, version long, items array<long>, shares array<double>")))
     if len(parts) == 1:
         out = parts[0][1].select("id", F.arrays_zip(F.col("items").alias("item"), F.col("shares").alias("share")).alias("found"))
     elif parts:  # only documents with items are brought together, by id and text, as an id can be null or shared

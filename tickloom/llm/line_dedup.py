@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, fresh, stash, working
-from .textnum import U64, mix64, slices
+from .textnum import U64, freed, mix64, slices
 
 #: Bits of the table that tells which lines are in a candidate pair: 1 MB, whatever the input.
 TABLE_BITS = 23
@@ -314,7 +314,7 @@ def read_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, leas
     if least <= max_edits:
         raise ValueError("lines must be longer than the threshold")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return base, stash(base.mapInArrow(_emit_lines(max_edits, least, floor), "doc long, position int, line long, signature long, segments array<long>, probes array<long>"), "lines")
+    return base, stash(base.mapInArrow(freed(_emit_lines(max_edits, least, floor)), "doc long, position int, line long, signature long, segments array<long>, probes array<long>"), "lines")
 
 
 def line_links(base: DataFrame, lines: DataFrame, max_edits: int, least: int) -> DataFrame:
@@ -339,10 +339,10 @@ def line_links(base: DataFrame, lines: DataFrame, max_edits: int, least: int) ->
     slot = F.shiftrightunsigned("line", 64 - TABLE_BITS)
     words = wanted.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()  # bounded by the table
     table = np.stack([words["w"].to_numpy(dtype=np.int64).view(U64), words["v"].to_numpy(dtype=np.int64).view(U64)], axis=1)
-    texts = base.mapInArrow(_emit_texts(least, table), "line long, text string").join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
+    texts = base.mapInArrow(freed(_emit_texts(least, table)), "line long, text string").join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
     texts = stash(texts, "texts")
     left, right = (texts.select(F.col("line").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(max_edits), "a long, b long")
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(freed(_verify(max_edits)), "a long, b long")
     if n_crowded:
         links = links.unionByName(_crowded_links(members, texts, max_edits))
     return stash(links, "links")

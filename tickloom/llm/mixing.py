@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,8 +118,10 @@ def schedule(
     found = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).collect()
     plans = plan_weights([(r["source"], r["tokens"], r["docs"]) for r in found], target_entropy, max_repeats, budget)
     spark = docs.sparkSession
-    fields = "source string, total long, quota double, share double, buckets int, epochs int"
-    table = spark.createDataFrame([(p.source, p.tokens, float(p.budget), p.weight * block_tokens, max(1, min(-(-p.docs // 512), math.isqrt(p.docs) * 8)), max(1, math.ceil(p.budget / p.tokens - 1e-9)) if p.tokens else 1) for p in plans], fields)
+    fields = {"source": pa.string(), "total": pa.int64(), "quota": pa.float64(), "share": pa.float64(), "buckets": pa.int32(), "epochs": pa.int32()}
+    lines = [(p.source, p.tokens, float(p.budget), p.weight * block_tokens, max(1, min(-(-p.docs // 512), math.isqrt(p.docs) * 8)), max(1, math.ceil(p.budget / p.tokens - 1e-9)) if p.tokens else 1) for p in plans]
+    # by Arrow, as a list of rows would start Python workers on the executors only to read it
+    table = spark.createDataFrame(pa.table([pa.array([r[k] for r in lines], kind) for k, kind in enumerate(fields.values())], names=list(fields)))
     # a row a source: broadcast up to a bound, so that a hot source is not one task; beyond it AQE splits it
     table = F.broadcast(table) if len(plans) <= MAX_BROADCAST else table.hint("merge")
     taken = rows.join(table, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stash, working
-from .textnum import U64, mix64, shingle_sets, slices
+from .textnum import U64, freed, mix64, shingle_sets, slices
 
 RING = 1 << 17
 BLOCK = 256
@@ -181,7 +181,7 @@ def near_duplicates(
     with working(spark) as keep:
         bands = band_count(num / den, rows)
         base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        signed = stash(base.mapInArrow(_sign(width, bands, rows), "id long, n long, k1 long, k2 long, bands array<long>"), "signed")
+        signed = stash(base.mapInArrow(freed(_sign(width, bands, rows)), "id long, n long, k1 long, k2 long, bands array<long>"), "signed")
         full = signed.where("n > 0 and id is not null")
 
         # equal sets, told by a digest of all their elements in order, are one class, named by its smallest id
@@ -208,7 +208,7 @@ def near_duplicates(
         texts = stash(texts, "texts")
         left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         pairs = close.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        links = stash(pairs.mapInArrow(_verify(width, num, den), "a long, b long"), "links")
+        links = stash(pairs.mapInArrow(freed(_verify(width, num, den)), "a long, b long"), "links")
         found = stash(components(links), "found")
 
         # buckets with members of different components are open
@@ -234,7 +234,7 @@ def _settle(open_nodes: DataFrame, texts: DataFrame, width: int, num: int, den:
     texts = texts.withColumnRenamed("id", "node")
     pairs, crowded = _rare(nodes.join(texts, "node").select("node", "root", "grp", "text"), width, num, den)
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, num, den), "a long, b long")
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(freed(_verify(width, num, den)), "a long, b long")
     nodes = nodes.join(crowded, "node")
     sized = nodes.groupBy("grp", "root").agg(F.count("*").alias("k"))
     main = sized.groupBy("grp").agg(F.max(F.struct("k", "root")).getField("root").alias("main"), F.sum("k").alias("size"), F.max("k").alias("most"))
@@ -262,7 +262,7 @@ def _rare(rows: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
     c = num * (n + m) / (den + num) runs in common or more; the first of those, in that order, is
     then at a place before n - c + 1 in the one and before m - c + 1 in the other.
     """
-    sets = rows.mapInArrow(_tokens(width), "node long, root long, tokens array<long>")
+    sets = rows.mapInArrow(freed(_tokens(width)), "node long, root long, tokens array<long>")
     each = stash(sets.select("node", "root", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "runs")
     # counts are joined back by another key than their own, so that a very common run can be split
     count = each.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select(F.bitwise_not("token").alias("key"), "k")

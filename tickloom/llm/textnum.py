@@ -10,13 +10,13 @@ its own).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U64 = np.uint64
 
 
@@ -82,6 +82,21 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = min(hi, n)
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def freed(run: Run) -> Run:
+    """``run``, which gives what it no longer uses back to the system at its end: a worker is kept for later tasks, and with it what Arrow's pool holds."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return out
+
+
 def _offsets(column: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     raw = np.frombuffer(column.buffers()[1], dtype=kind, count=len(column) + column.offset + 1)

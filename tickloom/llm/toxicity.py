@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, stash, working
-from .textnum import U64, hash_spans, hash_stems, mix64, slices, utf8, word_spans
+from .textnum import U64, freed, hash_spans, hash_stems, mix64, slices, utf8, word_spans
 
 #: Words that name groups of people; any other list can be given.
 IDENTITY_TERMS = (
@@ -143,7 +143,7 @@ def train(
     known = known.orderBy(place, "id").limit(max_rows)  # bounded, so it can be broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     terms = _terms(identity_terms)
-    rows = rows.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(_word_sets(terms), "id long, y int, words array<long>, swapped array<long>, paired boolean")
+    rows = rows.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(freed(_word_sets(terms)), "id long, y int, words array<long>, swapped array<long>, paired boolean")
     with working(docs.sparkSession):  # the model has all that is needed
         rows = stash(rows, "words")
         size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
@@ -154,7 +154,7 @@ def train(
         seen = rows.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).where(F.col("n") >= min_rows)
         telling = seen.where(F.abs(F.col("pos") - F.col("n") * share) > 3 * F.sqrt(F.col("n") * share * (1 - share))).select("w").toArrow()
         keys = np.union1d(telling.column("w").to_numpy().view(U64), np.unique(terms[:, 0]))
-        table = rows.mapInArrow(_only(keys), rows.schema).toArrow().combine_chunks().sort_by([("id", "ascending")])
+        table = rows.mapInArrow(freed(_only(keys)), rows.schema).toArrow().combine_chunks().sort_by([("id", "ascending")])
         own, pairs = _Sparse(table.column("words")), _Sparse(table.column("swapped"))
         return _fit(own, pairs, np.flatnonzero(table.column("paired").to_numpy()), table.column("y").to_numpy().astype(np.float64), counterfactual, l1, rounds)
 
@@ -268,4 +268,4 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     results; a null id stays null. A model that is not fitted scores 0.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.mapInArrow(_score(model, threshold), "doc_id long, score double, predicted int")
+    return base.mapInArrow(freed(_score(model, threshold)), "doc_id long, score double, predicted int")
